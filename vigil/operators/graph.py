@@ -66,7 +66,7 @@ def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALP
     ``max_iter`` iterations. Lineage is cut with reliable checkpoints every
     ``checkpoint_every`` iterations.
 
-    Returns ``(package_id, node, pagerank, converged_iter)``.
+    Returns ``(package_id, node, pagerank, iterations, converged)``.
     """
     deg = node_degrees(edges, key)
     nodes = deg.select(key, "node", "out_w")
@@ -103,7 +103,8 @@ def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALP
             state = checkpoint(state)
             if tol is not None and state.where(~F.col("done")).limit(1).count() == 0:
                 break
-    return state.select(key, "node", F.col("rank").alias("pagerank"), F.col("it").alias("converged_iter"))
+    return state.select(key, "node", F.col("rank").alias("pagerank"), F.col("it").alias("iterations"),
+                        F.col("done").alias("converged"))
 
 
 def api_rank(api_counts: DataFrame, stats: DataFrame, top: int = 100, key: str = KEY) -> DataFrame:

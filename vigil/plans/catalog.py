@@ -233,3 +233,189 @@ def q_api_rank(spark, sf_dir):
     facts = event_facts(spark, sf_dir)
     ranked = G.api_rank(C.count_names(facts, "call"), G.graph_stats(C.edge_weights(facts)), top=100)
     return ranked.select("name", F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------- text on documents ---
+# Stand-ins: package = doc_id (or source), text = documents.text, lines = its '\n' lines.
+
+from ..functions import numeric as N  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..functions import vocab  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+
+_DOC_LINES_SQL = """
+dl AS (SELECT doc_id, source, l.line, l.ln
+       FROM (SELECT doc_id, source,
+                    unnest(CASE WHEN text IS NULL OR text = '' THEN []::VARCHAR[]
+                                ELSE string_split(regexp_replace(text, '\\n$', ''), chr(10)) END) AS line,
+                    unnest(generate_series(1, CASE WHEN text IS NULL OR text = '' THEN 0
+                           ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END)) AS ln
+             FROM documents) l)"""
+
+
+def doc_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", F.posexplode(T.split_lines("text")).alias("pos", "line")) \
+            .select("doc_id", "source", "line", (F.col("pos") + 1).alias("ln"))
+
+
+@register("entropy_docs", """
+WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0),
+cnt AS (SELECT doc_id, c, count(*) AS k FROM ch GROUP BY 1, 2),
+tot AS (SELECT doc_id, sum(k) AS n, sum(k * log2(k)) AS s FROM cnt GROUP BY 1)
+SELECT d.doc_id, round(coalesce(log2(t.n) - t.s / t.n, 0.0), 6) AS entropy
+FROM documents d LEFT JOIN tot t ON d.doc_id = t.doc_id
+""")
+def q_entropy_docs(spark, sf_dir):
+    """F2 on every document."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(T.shannon_entropy("text"), 6).alias("entropy"))
+
+
+@register("top_words", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')) AS w,
+                  unnest(generate_series(1, len(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')))) AS pos
+           FROM documents),
+c AS (SELECT doc_id, w, count(*) AS cnt, min(pos) AS fpos FROM t GROUP BY 1, 2),
+r AS (SELECT doc_id, w AS word, CAST(cnt AS BIGINT) AS cnt,
+             CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, fpos) AS BIGINT) AS rank FROM c)
+SELECT * FROM r WHERE rank <= {vocab.WORD_TOPK}
+""")
+def q_top_words(spark, sf_dir):
+    """F5 + W1: per document, top 500 words by count, ties by first occurrence."""
+    d = table(spark, sf_dir, "documents")
+    wc = FE.word_counts(d.select(F.col("doc_id").alias("package_id"), F.lit(0).alias("piece"), "text"))
+    top = R.top_k_names(wc, vocab.WORD_TOPK)
+    return top.select(F.col("package_id").alias("doc_id"), F.col("name").alias("word"), "cnt",
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("hashed_words", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')) AS w,
+                  unnest(generate_series(1, len(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')))) AS pos
+           FROM documents),
+c AS (SELECT doc_id, w, count(*) AS cnt, min(pos) AS fpos FROM t GROUP BY 1, 2),
+r AS (SELECT doc_id, w, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, fpos) AS rank FROM c)
+SELECT doc_id, 'code_hash_' || CAST({S.md5_bucket('w', vocab.HASH_BUCKETS)} AS VARCHAR) AS feature,
+       round(sum(least(cnt, {vocab.WORD_CAP}) / {float(vocab.WORD_CAP)}), 6) AS value
+FROM r WHERE rank <= {vocab.WORD_TOPK} GROUP BY 1, 2
+""")
+def q_hashed_words(spark, sf_dir):
+    """M2 + F1: top-500 words hashed into 128 buckets, sum of min(cnt,10)/10."""
+    d = table(spark, sf_dir, "documents")
+    wc = FE.word_counts(d.select(F.col("doc_id").alias("package_id"), F.lit(0).alias("piece"), "text"))
+    h = FE.hashed_counts(wc, "code", vocab.WORD_TOPK, vocab.WORD_CAP)
+    return h.select(F.col("package_id").alias("doc_id"), "feature", F.round("value", 6).alias("value"))
+
+
+# Stand-in dictionary of frequent words in the generated prose, next to the real one.
+COMMON_WORDS = ("the", "and", "les", "que", "der", "tion", "ent")
+
+
+@register("keyword_scores", f"""
+SELECT doc_id,
+       CAST({S.keyword_presence_count('text')} AS BIGINT) AS presence,
+       CAST({S.keyword_occurrence_count('text')} AS BIGINT) AS occurrences,
+       CAST({S.keyword_presence_count('text', COMMON_WORDS)} AS BIGINT) AS presence_common,
+       CAST({S.keyword_occurrence_count('text', COMMON_WORDS)} AS BIGINT) AS occurrences_common,
+       round({S.keyword_presence_count('text')} / 20.0, 6) AS meta_suspicious_words,
+       round({S.keyword_occurrence_count('text')} / 50.0, 6) AS snippet_suspicious_words
+FROM documents
+""")
+def q_keyword_scores(spark, sf_dir):
+    """F7 + F8 with the suspicious-word dictionary and a frequent-word dictionary."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id",
+                    T.keyword_presence_count("text").cast("bigint").alias("presence"),
+                    T.keyword_occurrence_count("text").cast("bigint").alias("occurrences"),
+                    T.keyword_presence_count("text", COMMON_WORDS).cast("bigint").alias("presence_common"),
+                    T.keyword_occurrence_count("text", COMMON_WORDS).cast("bigint").alias("occurrences_common"),
+                    F.round(T.keyword_presence("text"), 6).alias("meta_suspicious_words"),
+                    F.round(T.keyword_occurrences("text"), 6).alias("snippet_suspicious_words"))
+
+
+@register("string_counters", f"""
+WITH {_DOC_LINES_SQL[1:]},
+ch AS (SELECT doc_id, ln, unnest(string_split(line, '')) AS c FROM dl WHERE length(line) > 30),
+cnt AS (SELECT doc_id, ln, c, count(*) AS k FROM ch GROUP BY 1, 2, 3),
+ent AS (SELECT doc_id, ln, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM cnt GROUP BY 1, 2)
+SELECT dl.doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE ent.h > 4.2) AS BIGINT) AS high_entropy_strings,
+       CAST(count(*) FILTER (WHERE {S.url_string('dl.line')}) AS BIGINT) AS url_strings,
+       CAST(count(*) FILTER (WHERE length(dl.line) > 120) AS BIGINT) AS long_strings,
+       round(least(count(*) FILTER (WHERE ent.h > 4.2), 100) / 100.0, 6) AS high_entropy_string_count,
+       round(least(count(*) FILTER (WHERE length(dl.line) > 120), 200) / 200.0, 6) AS long_string_count
+FROM dl LEFT JOIN ent ON dl.doc_id = ent.doc_id AND dl.ln = ent.ln
+GROUP BY 1
+""")
+def q_string_counters(spark, sf_dir):
+    """P4-P6 + A7 over document lines as string literals."""
+    lines = doc_lines(spark, sf_dir)
+    g = lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(P.is_high_entropy_string("line")).alias("high_entropy_strings"),
+        F.count_if(P.is_url_string("line")).alias("url_strings"),
+        F.count_if(P.is_long_string("line")).alias("long_strings"))
+    return g.select("doc_id", "n_lines", "high_entropy_strings", "url_strings", "long_strings",
+                    F.round(N.clamp_scale("high_entropy_strings", 100), 6).alias("high_entropy_string_count"),
+                    F.round(N.clamp_scale("long_strings", 200), 6).alias("long_string_count"))
+
+
+@register("url_strings", f"""
+SELECT page_id, {S.url_string('url')} AS is_url, {S.url_string('html')} AS html_has_url FROM pages
+""")
+def q_url_strings(spark, sf_dir):
+    """P4 on page URLs and page bodies."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", P.is_url_string("url").alias("is_url"), P.is_url_string("html").alias("html_has_url"))
+
+
+_KW_RE = "|".join(w.replace(".", "\\.") for w in vocab.SUSPICIOUS_WORDS)
+
+
+@register("context_frame", f"""
+WITH {_DOC_LINES_SQL[1:]},
+sel AS (SELECT doc_id, ln FROM dl WHERE regexp_matches(lower(line), '{_KW_RE}'))
+SELECT sel.doc_id, sel.ln, md5(string_agg(dl.line, chr(10) ORDER BY dl.ln)) AS context_md5,
+       CAST(count(*) AS BIGINT) AS context_lines
+FROM sel JOIN dl ON dl.doc_id = sel.doc_id AND dl.ln BETWEEN sel.ln - {vocab.SNIPPET_RADIUS} AND sel.ln + {vocab.SNIPPET_RADIUS}
+GROUP BY 1, 2
+""")
+def q_context_frame(spark, sf_dir):
+    """+-18 line frame around every line that mentions a suspicious word."""
+    lines = doc_lines(spark, sf_dir)
+    ctx = R.line_context(lines, vocab.SNIPPET_RADIUS, ["doc_id"])
+    w = F.expr(f"count(1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN {vocab.SNIPPET_RADIUS} PRECEDING "
+               f"AND {vocab.SNIPPET_RADIUS} FOLLOWING)")
+    ctx = ctx.withColumn("context_lines", w)
+    hit = F.lower("line").rlike(_KW_RE)
+    return ctx.where(hit).select("doc_id", "ln", F.md5("context").alias("context_md5"),
+                                 F.col("context_lines").cast("bigint").alias("context_lines"))
+
+
+@register("context_snippets", f"""
+WITH {_DOC_LINES_SQL[1:]},
+calls AS (SELECT source AS package_id, CAST(doc_id AS VARCHAR) AS path, ln AS lineno FROM dl
+          WHERE regexp_matches(lower(line), '{_KW_RE}')),
+sel AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY path, lineno) AS snippet_seq FROM calls),
+kept AS (SELECT * FROM sel WHERE snippet_seq <= {vocab.MAX_SNIPPETS})
+SELECT package_id, snippet_seq, path, lineno,
+       '# ' || path || ':' || CAST(lineno AS VARCHAR) || chr(10) || body AS text
+FROM (SELECT k.package_id, CAST(k.snippet_seq AS BIGINT) AS snippet_seq, k.path, CAST(k.lineno AS BIGINT) AS lineno,
+             string_agg(dl.line, chr(10) ORDER BY dl.ln) AS body
+      FROM kept k JOIN dl ON CAST(dl.doc_id AS VARCHAR) = k.path
+           AND dl.ln BETWEEN k.lineno - {vocab.SNIPPET_RADIUS} AND k.lineno + {vocab.SNIPPET_RADIUS}
+      GROUP BY 1, 2, 3, 4)
+""")
+def q_context_snippets(spark, sf_dir):
+    """J3 + A8: lines with a suspicious word act as sensitive calls (package = source,
+    file = doc_id); +-18-line snippets, first 80 per package."""
+    d = table(spark, sf_dir, "documents")
+    units = d.select(F.col("source").alias("package_id"), F.col("doc_id").cast("string").alias("path"), "text")
+    lines = units.select("package_id", "path", F.posexplode(T.split_lines("text")).alias("pos", "line"))
+    calls = lines.where(F.lower("line").rlike(_KW_RE)).select(
+        "package_id", "path", (F.col("pos") + 1).alias("seq"), (F.col("pos") + 1).alias("lineno"))
+    s = J.context_snippets(calls, units)
+    return s.select("package_id", F.col("snippet_seq").cast("bigint").alias("snippet_seq"), "path",
+                    F.col("lineno").cast("bigint").alias("lineno"), "text")
