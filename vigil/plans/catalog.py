@@ -419,3 +419,202 @@ def q_context_snippets(spark, sf_dir):
     s = J.context_snippets(calls, units)
     return s.select("package_id", F.col("snippet_seq").cast("bigint").alias("snippet_seq"), "path",
                     F.col("lineno").cast("bigint").alias("lineno"), "text")
+
+
+# ------------------------------------------------------ round trip: features ---
+
+from ..operators import scoring as SC  # noqa: E402
+from ..operators import views as V  # noqa: E402
+
+_PIPE_CACHE: dict[tuple, dict] = {}
+
+META_EMPTY_SCHEMA = "package_id string, field string, value string, source_priority int"
+
+
+def event_pipeline(spark, sf_dir) -> dict:
+    """Features of the events-derived corpus (facts and snippets checkpointed)."""
+    key = (id(spark), sf_dir)
+    if key not in _PIPE_CACHE:
+        facts = event_facts(spark, sf_dir)
+        units = event_units(spark, sf_dir)
+        packages = facts.where(F.col("kind") == "file").select("package_id").distinct()
+        snippets = checkpoint(J.context_snippets(FE.sensitive_call_sites(facts), units))
+        metadata = spark.createDataFrame([], META_EMPTY_SCHEMA)
+        out = FE.build_features(facts, units, metadata, packages, snippets=snippets)
+        out["named"] = checkpoint(out["named"])
+        out["metadata"] = metadata
+        out["packages"] = packages
+        _PIPE_CACHE[key] = out
+    return _PIPE_CACHE[key]
+
+
+_SNIP = fixtures.ORACLE_EVENT_SNIPPETS.format(sensitive=S.sensitive_call("api"), radius=vocab.SNIPPET_RADIUS,
+                                              cap=vocab.MAX_SNIPPETS)
+
+_SNIPPET_FEATURES_CTE = f"""
+sagg AS (SELECT package_id, count(*) AS n, sum({S.keyword_occurrence_count('text')}) AS occ,
+                string_agg(text, chr(10) ORDER BY snippet_seq) AS joined FROM snips GROUP BY 1),
+sch AS (SELECT package_id, unnest(string_split(joined, '')) AS c FROM sagg),
+scnt AS (SELECT package_id, c, count(*) AS k FROM sch GROUP BY 1, 2),
+sent AS (SELECT package_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM scnt GROUP BY 1),
+sfeat AS (SELECT sagg.package_id, least(n, {vocab.MAX_SNIPPETS}) / {float(vocab.MAX_SNIPPETS)} AS snippet_count,
+                 occ / 50.0 AS snippet_suspicious_words, coalesce(h, 0.0) / 8.0 AS snippet_entropy
+          FROM sagg LEFT JOIN sent ON sagg.package_id = sent.package_id)"""
+
+
+@register("rt_snippet_features", f"""
+WITH {OK}{_SNIP}, {_SNIPPET_FEATURES_CTE}
+SELECT package_id, round(snippet_count, 6) AS snippet_count,
+       round(snippet_suspicious_words, 6) AS snippet_suspicious_words,
+       round(snippet_entropy, 6) AS snippet_entropy FROM sfeat
+""")
+def q_rt_snippet_features(spark, sf_dir):
+    """J3 + A8 + M5 on the generated corpus: snippets around sensitive calls."""
+    s = event_pipeline(spark, sf_dir)["snippet_stats"]
+    return s.select("package_id", *[F.round(c, 6).alias(c) for c in
+                                    ("snippet_count", "snippet_suspicious_words", "snippet_entropy")])
+
+
+def _named_sql() -> str:
+    meta = []
+    for f in vocab.METADATA_FIELDS:
+        meta.append(f"0.0 AS \"meta_has_{f}\"")
+        meta.append(f"0.0 AS \"meta_len_{f}\"")
+    return ", ".join(meta)
+
+
+_NAMED_CTE = f"""
+{_IMPORTS_CTE[1:]},
+ac AS (SELECT package_id, api AS name, count(*) AS cnt, min(path) AS fpath FROM okev GROUP BY 1, 2),
+tot AS (SELECT p.package_id,
+          coalesce((SELECT count(*) FROM ac WHERE ac.package_id = p.package_id), 0) AS api_unique,
+          coalesce((SELECT sum(cnt) FROM ac WHERE ac.package_id = p.package_id), 0) AS api_total,
+          coalesce((SELECT count(*) FROM ac WHERE ac.package_id = p.package_id AND {S.sensitive_call('ac.name')}), 0) AS sau,
+          coalesce((SELECT sum(cnt) FROM ac WHERE ac.package_id = p.package_id AND {S.sensitive_call('ac.name')}), 0) AS sat,
+          coalesce((SELECT count(*) FROM ic WHERE ic.package_id = p.package_id AND {S.sensitive_import('ic.name')}), 0) AS siu,
+          coalesce((SELECT sum(cnt) FROM ic WHERE ic.package_id = p.package_id AND {S.sensitive_import('ic.name')}), 0) AS sit
+        FROM (SELECT DISTINCT package_id FROM files) p),
+fc AS (SELECT package_id, count(*) AS nfiles, count(*) FILTER (WHERE broken) AS nerr FROM files GROUP BY 1),
+blk AS (SELECT package_id, count(*) FILTER (WHERE event_id % 3 IN (0, 1)) AS cn,
+               max(CASE WHEN event_id % 3 IN (0, 1) THEN 1 ELSE 0 END) AS mn FROM okev GROUP BY 1),
+strs AS (SELECT package_id, count(*) FILTER (WHERE {S.url_string('props')}) AS url_n,
+                count(*) FILTER (WHERE length(props) > 120) AS long_n FROM okev WHERE props <> '' GROUP BY 1),
+named AS (
+  SELECT fc.package_id, {_named_sql()},
+         1.0 AS meta_missing_ratio, 0.0 AS meta_entropy, 0.0 AS meta_suspicious_words,
+         least(fc.nfiles, 1000) / 1000.0 AS source_file_count,
+         fc.nerr / greatest(1, fc.nfiles) AS parse_error_ratio,
+         least(tot.api_unique, 1000) / 1000.0 AS api_unique_count,
+         least(tot.api_total, 10000) / 10000.0 AS api_total_count,
+         least(tot.sau, 100) / 100.0 AS sensitive_api_unique,
+         least(tot.sat, 500) / 500.0 AS sensitive_api_total,
+         least(tot.siu, 100) / 100.0 AS sensitive_import_unique,
+         least(tot.sit, 500) / 500.0 AS sensitive_import_total,
+         least(coalesce(gs.n, 0), 10000) / 10000.0 AS graph_nodes,
+         least(coalesce(gs.m, 0), 10000) / 10000.0 AS graph_edges,
+         least(coalesce(gs.m / greatest(1.0, gs.n * (gs.n - 1.0)), 0.0), 1.0) AS graph_density,
+         least(coalesce(gs.max_in, 0), 10000) / 10000.0 AS max_indegree,
+         least(coalesce(gs.max_out, 0), 10000) / 10000.0 AS max_outdegree,
+         least(coalesce(gs.deg / gs.n, 0), 10000) / 10000.0 AS avg_degree,
+         least(coalesce(blk.cn, 0), 5000) / 5000.0 AS cfg_nodes,
+         least(2 * coalesce(blk.cn, 0), 10000) / 10000.0 AS cfg_edges,
+         least(coalesce(blk.mn, 0), 50) / 50.0 AS max_nesting,
+         coalesce(sfeat.snippet_count, 0.0) AS snippet_count,
+         coalesce(sfeat.snippet_suspicious_words, 0.0) AS snippet_suspicious_words,
+         coalesce(sfeat.snippet_entropy, 0.0) AS snippet_entropy,
+         0.0 AS high_entropy_string_count,
+         least(coalesce(strs.url_n, 0), 100) / 100.0 AS url_string_count,
+         least(coalesce(strs.long_n, 0), 200) / 200.0 AS long_string_count
+  FROM fc JOIN tot ON fc.package_id = tot.package_id
+       LEFT JOIN gs ON fc.package_id = gs.package_id
+       LEFT JOIN blk ON fc.package_id = blk.package_id
+       LEFT JOIN sfeat ON fc.package_id = sfeat.package_id
+       LEFT JOIN strs ON fc.package_id = strs.package_id)"""
+
+_RT_FEATURE_WITH = f"WITH {OK}{_SNIP}, {_SNIPPET_FEATURES_CTE}, {_EDGES_CTE[1:]}, {_NAMED_CTE}"
+
+
+def _unpivot_named() -> str:
+    parts = [f"SELECT package_id, '{c}' AS feature, CAST(\"{c}\" AS DOUBLE) AS value FROM named"
+             for c in FE.NAMED_FEATURES]
+    return " UNION ALL ".join(parts)
+
+
+_HASHED_SQL = f"""
+hashed AS (
+  SELECT package_id, 'api_hash_' || CAST({S.md5_bucket('name', vocab.HASH_BUCKETS)} AS VARCHAR) AS feature,
+         sum(least(cnt, 20) / 20.0) AS value FROM ac GROUP BY 1, 2
+  UNION ALL
+  SELECT package_id, 'sapi_hash_' || CAST({S.md5_bucket('name', vocab.HASH_BUCKETS)} AS VARCHAR),
+         sum(least(cnt, 20) / 20.0) FROM ac WHERE {S.sensitive_call('name')} GROUP BY 1, 2
+  UNION ALL
+  SELECT package_id, 'import_hash_' || CAST({S.md5_bucket('name', vocab.HASH_BUCKETS)} AS VARCHAR),
+         sum(least(cnt, 20) / 20.0) FROM ic GROUP BY 1, 2
+  UNION ALL
+  SELECT package_id, 'simport_hash_' || CAST({S.md5_bucket('name', vocab.HASH_BUCKETS)} AS VARCHAR),
+         sum(least(cnt, 20) / 20.0) FROM ic WHERE {S.sensitive_import('name')} GROUP BY 1, 2
+  UNION ALL
+  SELECT package_id, 'code_hash_' || CAST({S.md5_bucket('w', vocab.HASH_BUCKETS)} AS VARCHAR),
+         sum(least(cnt, 10) / 10.0)
+  FROM (SELECT package_id, w, cnt, row_number() OVER (PARTITION BY package_id ORDER BY cnt DESC, fs, fp) AS rk
+        FROM (SELECT package_id, w, count(*) AS cnt, min(snippet_seq) AS fs, min(pos) FILTER (WHERE first_s) AS fp
+              FROM (SELECT package_id, snippet_seq, w, pos,
+                           snippet_seq = min(snippet_seq) OVER (PARTITION BY package_id, w) AS first_s
+                    FROM (SELECT package_id, snippet_seq,
+                                 unnest(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')) AS w,
+                                 unnest(generate_series(1, len(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')))) AS pos
+                          FROM snips))
+              GROUP BY 1, 2))
+  WHERE rk <= {vocab.WORD_TOPK} GROUP BY 1, 2)"""
+
+
+@register("feature_long", f"""
+{_RT_FEATURE_WITH}, {_HASHED_SQL}
+SELECT package_id, feature, round(value, 6) AS value FROM ({_unpivot_named()} UNION ALL SELECT * FROM hashed)
+""")
+def q_feature_long(spark, sf_dir):
+    """M1-M7: the 40 named and the hashed features of every generated package."""
+    long = event_pipeline(spark, sf_dir)["long"]
+    return long.select("package_id", "feature", F.round("value", 6).alias("value"))
+
+
+def _rule_sql() -> tuple[str, str]:
+    score = " + ".join(f"(CASE WHEN {f} > 0 THEN {w} * {f} ELSE 0 END)" for f, w, _ in vocab.HEURISTIC_RULES)
+    reasons = "concat_ws('; ', " + ", ".join(
+        f"CASE WHEN {f} > 0 THEN '{r}' END" for f, _w, r in vocab.HEURISTIC_RULES) + ")"
+    return score, reasons
+
+
+_RULE_SCORE, _RULE_REASONS = _rule_sql()
+
+
+@register("heuristic_score", f"""
+{_RT_FEATURE_WITH},
+sc AS (SELECT package_id, {_RULE_SCORE} AS s, {_RULE_REASONS} AS reasons FROM named)
+SELECT package_id, round(s, 6) AS rule_score, round({S.sigmoid('s - 2.2')}, 6) AS probability,
+       CASE WHEN {S.sigmoid('s - 2.2')} >= 0.5 THEN 'malicious' ELSE 'benign' END AS prediction, reasons
+FROM sc
+""")
+def q_heuristic_score(spark, sf_dir):
+    """M9 + F3 + P7: rule score, probability, verdict and reasons per package."""
+    h = SC.heuristic_score(event_pipeline(spark, sf_dir)["named"])
+    return h.select("package_id", F.round("rule_score", 6).alias("rule_score"),
+                    F.round("probability", 6).alias("probability"), "prediction",
+                    F.array_join("reasons", "; ").alias("reasons"))
+
+
+@register("logistic_score", f"""
+{_RT_FEATURE_WITH},
+sc AS (SELECT package_id, {" + ".join(f"{w} * {f}" for f, w, _ in vocab.HEURISTIC_RULES)} AS s FROM named)
+SELECT package_id, round(s - 2.2, 6) AS logit, round({S.sigmoid('s - 2.2')}, 6) AS probability,
+       CASE WHEN {S.sigmoid('s - 2.2')} >= 0.5 THEN 'malicious' ELSE 'benign' END AS prediction
+FROM sc
+""")
+def q_logistic_score(spark, sf_dir):
+    """M11 + J4 + M8: a logistic model (the rule weights as a model table, bias -2.2)
+    scored through the feature-vocabulary join."""
+    p = event_pipeline(spark, sf_dir)
+    weights = spark.createDataFrame([(f, float(w)) for f, w, _ in vocab.HEURISTIC_RULES], "feature string, weight double")
+    s = SC.logistic_score(p["long"], weights, vocab.HEURISTIC_BIAS, packages=p["packages"])
+    return s.select("package_id", F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability"),
+                    "prediction")

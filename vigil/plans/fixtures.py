@@ -103,3 +103,37 @@ ORACLE_EVENT_FACTS = """
     SELECT ev.*, 4 * (row_number() OVER (PARTITION BY ev.package_id, ev.path ORDER BY event_id) - 1) + 5 AS lineno
     FROM ev JOIN files USING (package_id, path) WHERE NOT files.broken)
 """
+
+# Lines of the parseable generated files and the snippets around sensitive calls
+# (append after ORACLE_EVENT_FACTS; needs a {sensitive} predicate on ``api``).
+ORACLE_EVENT_SNIPPETS = """,
+  lines AS (
+    SELECT package_id, path, 1 AS ln, 'import ' || event_type || '.core' AS line FROM files WHERE NOT broken
+    UNION ALL
+    SELECT package_id, path, 2, CASE event_type WHEN 'error' THEN 'import xml.dom.minidom'
+                                   WHEN 'purchase' THEN 'from subprocess import Popen'
+                                   ELSE 'from json import loads' END FROM files WHERE NOT broken
+    UNION ALL SELECT package_id, path, lineno - 2, 'def f' || CAST(event_id AS VARCHAR) || '():' FROM okev
+    UNION ALL SELECT package_id, path, lineno - 1, '    s = ''' || props || '''' FROM okev
+    UNION ALL
+    SELECT package_id, path, lineno,
+           CASE event_id % 3 WHEN 0 THEN '    if ' || CAST(event_id AS VARCHAR) || ' % 2: '
+                             WHEN 1 THEN '    try: ' ELSE '    ' END
+           || api || '(' || CAST(event_id AS VARCHAR) || ')' FROM okev
+    UNION ALL
+    SELECT package_id, path, lineno + 1,
+           CASE WHEN event_id % 3 = 1 THEN '    except Exception: pass' ELSE '    pass' END FROM okev),
+  scalls AS (
+    SELECT package_id, path, lineno,
+           row_number() OVER (PARTITION BY package_id ORDER BY path, lineno) AS snippet_seq
+    FROM okev WHERE {sensitive}),
+  snips AS (
+    SELECT package_id, snippet_seq, path, lineno,
+           '# ' || path || ':' || CAST(lineno AS VARCHAR) || chr(10) || body AS text
+    FROM (SELECT s.package_id, s.snippet_seq, s.path, s.lineno,
+                 string_agg(l.line, chr(10) ORDER BY l.ln) AS body
+          FROM scalls s JOIN lines l ON l.package_id = s.package_id AND l.path = s.path
+               AND l.ln BETWEEN s.lineno - {radius} AND s.lineno + {radius}
+          WHERE s.snippet_seq <= {cap}
+          GROUP BY 1, 2, 3, 4))
+"""
