@@ -618,3 +618,158 @@ def q_logistic_score(spark, sf_dir):
     s = SC.logistic_score(p["long"], weights, vocab.HEURISTIC_BIAS, packages=p["packages"])
     return s.select("package_id", F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability"),
                     "prediction")
+
+
+# ------------------------------------------------------------ graph on orders ---
+
+def _orders_graph(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return (o.join(c, o.o_custkey == c.c_custkey)
+             .groupBy(F.col("o_orderpriority").alias("package_id"),
+                      F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
+                      F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
+             .agg(F.count(F.lit(1)).alias("weight")))
+
+
+def _pagerank_sql(iters: int, alpha: float = vocab.PAGERANK_ALPHA) -> str:
+    ctes = ["""ew AS (SELECT o_orderpriority AS package_id, 'c' || CAST(o_custkey AS VARCHAR) AS src,
+                    'n' || CAST(c_nationkey AS VARCHAR) AS dst, count(*) AS weight
+             FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)""",
+            """nd AS (SELECT package_id, node, sum(o) AS out_w FROM
+               (SELECT package_id, src AS node, weight AS o FROM ew UNION ALL SELECT package_id, dst, 0 FROM ew)
+             GROUP BY 1, 2)""",
+            "sz AS (SELECT package_id, count(*) AS n FROM nd GROUP BY 1)",
+            """tr AS (SELECT ew.package_id, ew.src, ew.dst, ew.weight / nd.out_w AS p
+             FROM ew JOIN nd ON ew.package_id = nd.package_id AND ew.src = nd.node)""",
+            "r0 AS (SELECT nd.package_id, nd.node, 1.0 / sz.n AS rank FROM nd JOIN sz ON nd.package_id = sz.package_id)"]
+    for i in range(1, iters + 1):
+        ctes.append(f"""r{i} AS (
+  SELECT nd.package_id, nd.node, {alpha} * (coalesce(c.s, 0.0) + d.dm / sz.n) + {1 - alpha} / sz.n AS rank
+  FROM nd JOIN sz ON nd.package_id = sz.package_id
+  LEFT JOIN (SELECT tr.package_id, tr.dst AS node, sum(r.rank * tr.p) AS s
+             FROM tr JOIN r{i-1} r ON r.package_id = tr.package_id AND r.node = tr.src GROUP BY 1, 2) c
+         ON c.package_id = nd.package_id AND c.node = nd.node
+  JOIN (SELECT r.package_id, sum(CASE WHEN x.out_w = 0 THEN r.rank ELSE 0.0 END) AS dm
+        FROM r{i-1} r JOIN nd x ON x.package_id = r.package_id AND x.node = r.node GROUP BY 1) d
+         ON d.package_id = nd.package_id)""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT package_id, node, round(rank, 9) AS pagerank FROM r{iters}"
+
+
+@register("pagerank_10", _pagerank_sql(10))
+def q_pagerank_10(spark, sf_dir):
+    """Weighted PageRank, 10 fixed iterations, per order-priority graph (customer -> nation)."""
+    pr = G.pagerank(_orders_graph(spark, sf_dir), max_iter=10, tol=None)
+    return pr.select("package_id", "node", F.round("pagerank", 9).alias("pagerank"))
+
+
+@register("graph_stats_orders", """
+WITH ew AS (SELECT o_orderpriority AS package_id, 'c' || CAST(o_custkey AS VARCHAR) AS src,
+                   'n' || CAST(c_nationkey AS VARCHAR) AS dst, count(*) AS weight
+            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+ends AS (SELECT package_id, src AS node, weight AS o, 0 AS i FROM ew UNION ALL SELECT package_id, dst, 0, weight FROM ew),
+deg AS (SELECT package_id, node, sum(o) AS out_w, sum(i) AS in_w FROM ends GROUP BY 1, 2)
+SELECT package_id, CAST(count(*) AS DOUBLE) AS graph_nodes, CAST(sum(out_w) AS DOUBLE) AS graph_edges,
+       round(sum(out_w) / greatest(1.0, count(*) * (count(*) - 1.0)), 9) AS graph_density,
+       CAST(max(in_w) AS DOUBLE) AS max_indegree, CAST(max(out_w) AS DOUBLE) AS max_outdegree,
+       round(sum(out_w + in_w) / count(*), 9) AS avg_degree
+FROM deg GROUP BY 1
+""")
+def q_graph_stats_orders(spark, sf_dir):
+    """A3 + M13 on the order-priority graphs."""
+    g = G.graph_stats(_orders_graph(spark, sf_dir))
+    return g.select("package_id", "graph_nodes", "graph_edges", F.round("graph_density", 9).alias("graph_density"),
+                    "max_indegree", "max_outdegree", F.round("avg_degree", 9).alias("avg_degree"))
+
+
+# ------------------------------------------------------------ scalars & paths ---
+
+@register("scalar_pack", """
+SELECT p_partkey,
+       round(least(p_size, 20) / 20.0, 6) AS size_scaled,
+       trim(regexp_replace(p_name || chr(10) || chr(9) || ' ' || p_brand || '  ', '\\s+', ' ', 'g')) AS name_brand,
+       lower(replace(replace(p_type, ' ', '_'), '_', '-')) AS type_key,
+       string_split(lower(replace(p_type, ' ', '.')), '.')[-1] AS type_tail,
+       string_split(lower(replace(p_type, ' ', '.')), '.')[1] AS type_root,
+       p_brand || ': ' || p_name AS kv_line,
+       round(p_retailprice / 1000.0, 4) AS price_k,
+       round(CASE WHEN p_size - 25 < -50 THEN 0.0 WHEN p_size - 25 > 50 THEN 1.0
+                  ELSE 1.0 / (1.0 + exp(-(p_size - 25))) END, 6) AS size_sigmoid
+FROM part
+""")
+def q_scalar_pack(spark, sf_dir):
+    """F3, F4, F9, F10, F11, F12, F15 on part columns."""
+    p = table(spark, sf_dir, "part")
+    dotted = F.lower(F.regexp_replace("p_type", " ", "."))
+    return p.select(
+        "p_partkey",
+        F.round(N.clamp_scale("p_size", 20), 6).alias("size_scaled"),
+        T.collapse_whitespace(F.concat(F.col("p_name"), F.lit("\n\t "), F.col("p_brand"), F.lit("  "))).alias("name_brand"),
+        T.normalize_key(F.regexp_replace("p_type", " ", "_")).alias("type_key"),
+        T.last_part(dotted).alias("type_tail"), T.root_part(dotted).alias("type_root"),
+        F.concat_ws(": ", "p_brand", "p_name").alias("kv_line"),
+        N.round_prob(F.col("p_retailprice") / 1000.0, 4).alias("price_k"),
+        F.round(N.sigmoid(F.col("p_size") - 25), 6).alias("size_sigmoid"))
+
+
+_EVEN = ("0", "2", "4", "6", "8")
+
+
+@register("path_filter", f"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS rel FROM pages),
+k AS (SELECT split_part(rel, '/', 1) AS package_id, rel || '@' || CAST(page_id AS VARCHAR) AS path, page_id FROM u
+      WHERE ({' OR '.join(f"suffix(rel, '{s}')" for s in _EVEN)})
+        AND NOT list_has_any(string_split(rel, '/')[1:len(string_split(rel, '/')) - 1], {list(vocab.SKIP_DIRS)})
+        AND NOT len(list_filter(string_split(rel, '/')[1:len(string_split(rel, '/')) - 1], lambda d: starts_with(d, '.eggs'))) > 0)
+SELECT package_id, path, page_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY path) AS rn FROM k) WHERE rn <= 25
+""")
+def q_path_filter(spark, sf_dir):
+    """S3 + S4 on URL paths: suffix filter, skipped directories, first 25 per language prefix."""
+    from ..sources import files as SF
+    p = table(spark, sf_dir, "pages")
+    rel = F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1)
+    u = p.select("page_id", rel.alias("rel")).where(SF.path_is_kept("rel", _EVEN))
+    k = u.select(F.split("rel", "/").getItem(0).alias("package_id"),
+                 F.concat("rel", F.lit("@"), F.col("page_id").cast("string")).alias("path"), "page_id")
+    return SF.cap_files(k, limit=25).select("package_id", "path", "page_id")
+
+
+# ------------------------------------------------------------ dictionary joins ---
+
+@register("rt_dictionary_hits", f"""
+WITH {OK}
+SELECT package_id, api AS name, CAST(count(*) AS BIGINT) AS cnt FROM okev
+WHERE api IN {S.in_list(vocab.SENSITIVE_APIS)} GROUP BY 1, 2
+""")
+def q_rt_dictionary_hits(spark, sf_dir):
+    """S6 + U1 + J1: call counts semi-joined with the union of both API dictionaries."""
+    from ..sources.dictionaries import load_dictionary
+    d = load_dictionary(spark, "sensitive_apis")
+    c = C.count_names(event_facts(spark, sf_dir), "call").select("package_id", "name", "cnt")
+    return J.dictionary_semi_join(c, d)
+
+
+@register("rt_dictionary_misses", f"""
+WITH {OK}
+SELECT package_id, api AS name, CAST(count(*) AS BIGINT) AS cnt FROM okev
+WHERE api NOT IN {S.in_list(vocab.SENSITIVE_APIS)} GROUP BY 1, 2
+""")
+def q_rt_dictionary_misses(spark, sf_dir):
+    """J1 anti-join: calls whose exact name is in no dictionary."""
+    from ..sources.dictionaries import load_dictionary
+    d = load_dictionary(spark, "sensitive_apis")
+    c = C.count_names(event_facts(spark, sf_dir), "call").select("package_id", "name", "cnt")
+    return J.dictionary_semi_join(c, d, anti=True)
+
+
+@register("rt_sensitive_imports", f"""
+WITH {OK}, {_IMPORTS_CTE[1:]}
+SELECT package_id, name, CAST(cnt AS BIGINT) AS cnt FROM ic WHERE {S.sensitive_import('name')}
+""")
+def q_rt_sensitive_imports(spark, sf_dir):
+    """P2 via J2: import counts prefix-semi-joined with the import blacklist."""
+    from ..sources.dictionaries import load_dictionary
+    d = load_dictionary(spark, "blacklist_imports")
+    c = C.count_names(event_facts(spark, sf_dir), "import").select("package_id", "name", "cnt")
+    return J.prefix_semi_join(c, d)
