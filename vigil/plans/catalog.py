@@ -773,3 +773,174 @@ def q_rt_sensitive_imports(spark, sf_dir):
     d = load_dictionary(spark, "blacklist_imports")
     c = C.count_names(event_facts(spark, sf_dir), "import").select("package_id", "name", "cnt")
     return J.prefix_semi_join(c, d)
+
+
+# ------------------------------------------------------------------ metadata ---
+
+from ..operators import metadata as MD  # noqa: E402
+
+
+def _customer_metadata_rows(spark, sf_dir):
+    """Four ranked metadata sources per customer package (header / setup.cfg /
+    pyproject / setup.py), raw keys normalised (F10) and values collapsed (F9)."""
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    pkg = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+
+    def rows(prio, path, pairs):
+        return j.select(pkg.alias("package_id"), F.lit(path).alias("path"), F.explode(F.array(*[
+            F.struct(F.lit(k).alias("k"), v.alias("v"), F.lit(i).alias("ord")) for i, (k, v) in enumerate(pairs)
+        ])).alias("e"), F.lit(prio).alias("source_priority"))
+
+    hdr = rows(1, "PKG-INFO", [("Name", F.col("c_name")), ("Summary", F.concat(F.col("c_mktsegment"), F.lit("  \t segment")))])
+    cfg = rows(2, "setup.cfg", [("name", F.col("n_name")), ("author", F.col("n_name")),
+                                ("license", F.when(F.col("c_acctbal") < 0, F.lit("")))])
+    pyp = rows(3, "pyproject.toml", [("license", F.col("r_name")), ("description", F.concat(F.col("r_name"), F.lit(" region")))])
+    spy = rows(4, "setup.py", [("home_page", F.concat(F.lit("https://"), F.lower(F.regexp_replace("c_name", "#", "-")),
+                                                       F.lit(".example"))),
+                               ("Author_Email", F.concat(F.lower("n_name"), F.lit("@example.org")))])
+    allr = hdr.unionByName(cfg).unionByName(pyp).unionByName(spy).where(F.col("e.v").isNotNull())
+    return allr.select("package_id", "path", T.normalize_key("e.k").alias("field"),
+                       T.collapse_whitespace("e.v").alias("value"), "source_priority", F.col("e.ord").alias("ord"))
+
+
+_CUSTOMER_META_SQL = """
+j AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS package_id, * FROM customer
+      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+raw AS (
+  SELECT package_id, 'name' AS field, c_name AS value, 1 AS prio FROM j
+  UNION ALL SELECT package_id, 'summary', c_mktsegment || ' segment', 1 FROM j
+  UNION ALL SELECT package_id, 'name', n_name, 2 FROM j
+  UNION ALL SELECT package_id, 'author', n_name, 2 FROM j
+  UNION ALL SELECT package_id, 'license', '', 2 FROM j WHERE c_acctbal < 0
+  UNION ALL SELECT package_id, 'license', r_name, 3 FROM j
+  UNION ALL SELECT package_id, 'description', r_name || ' region', 3 FROM j
+  UNION ALL SELECT package_id, 'home-page', 'https://' || lower(replace(c_name, '#', '-')) || '.example', 4 FROM j
+  UNION ALL SELECT package_id, 'author-email', lower(n_name) || '@example.org', 4 FROM j),
+co AS (SELECT package_id, field, value, prio FROM
+        (SELECT *, row_number() OVER (PARTITION BY package_id, field ORDER BY prio) AS rn FROM raw) WHERE rn = 1)"""
+
+
+@register("metadata_coalesce", f"""
+WITH {_CUSTOMER_META_SQL}
+SELECT package_id, field, value, CAST(prio AS INTEGER) AS source_priority FROM co
+""")
+def q_metadata_coalesce(spark, sf_dir):
+    """A9 + F9 + F10: first source wins per field across four ranked sources."""
+    m = MD.coalesce_metadata(_customer_metadata_rows(spark, sf_dir))
+    return m.select("package_id", "field", "value", F.col("source_priority").cast("int").alias("source_priority"))
+
+
+def _meta_feature_sql():
+    cols = []
+    for f in vocab.METADATA_FIELDS:
+        v = f"coalesce(max(value) FILTER (WHERE field = '{f}'), '')"
+        cols.append(f"CASE WHEN length({v}) > 0 THEN 1.0 ELSE 0.0 END AS \"meta_has_{f}\"")
+        cols.append(f"round(least(length({v}), 5000) / 5000.0, 6) AS \"meta_len_{f}\"")
+    weak = " + ".join(
+        f"(CASE WHEN coalesce(max(value) FILTER (WHERE field = '{f}'), '') = '' OR upper(coalesce(max(value) FILTER (WHERE field = '{f}'), '')) IN {S.in_list(vocab.WEAK_METADATA_VALUES)} THEN 1 ELSE 0 END)"
+        for f in vocab.METADATA_FIELDS)
+    joined = " || ' ' || ".join(f"coalesce(max(value) FILTER (WHERE field = '{f}'), '')" for f in vocab.METADATA_FIELDS)
+    return ", ".join(cols), weak, joined
+
+
+_MF_COLS, _MF_WEAK, _MF_JOINED = _meta_feature_sql()
+
+
+@register("metadata_features", f"""
+WITH {_CUSTOMER_META_SQL},
+w AS (SELECT package_id, {_MF_COLS}, ({_MF_WEAK}) / 7.0 AS mr, {_MF_JOINED} AS txt FROM co GROUP BY 1),
+ch AS (SELECT package_id, unnest(string_split(txt, '')) AS c FROM w),
+cn AS (SELECT package_id, c, count(*) AS k FROM ch GROUP BY 1, 2),
+en AS (SELECT package_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM cn GROUP BY 1)
+SELECT w.* EXCLUDE (mr, txt), round(mr, 6) AS meta_missing_ratio, round(coalesce(en.h, 0) / 8.0, 6) AS meta_entropy,
+       round({S.keyword_presence_count('txt')} / 20.0, 6) AS meta_suspicious_words
+FROM w LEFT JOIN en ON w.package_id = en.package_id
+""")
+def q_metadata_features(spark, sf_dir):
+    """M1 + P3 on the coalesced customer metadata."""
+    m = MD.coalesce_metadata(_customer_metadata_rows(spark, sf_dir))
+    pk = m.select("package_id").distinct()
+    f = FE.metadata_features(FE.metadata_wide(m, pk))
+    return f.select("package_id", *[F.round(c, 6).alias(c) if "len" in c or c.startswith("meta_m")
+                                    or c in ("meta_entropy", "meta_suspicious_words") else F.col(c)
+                                    for c in FE.NAMED_FEATURES[:17]])
+
+
+# ------------------------------------------------------------ views & attention ---
+
+_EMBED_RE = vocab.EMBED_TOKEN_PATTERN.replace("'", "''")
+
+
+@register("signed_hash_embedding", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_EMBED_RE}')) AS tok FROM documents),
+c AS (SELECT doc_id, tok, count(*) AS cnt FROM t WHERE length(tok) > 0 GROUP BY 1, 2),
+s AS (SELECT doc_id, {S.md5_bucket('tok', vocab.EMBED_DIM)} AS dim,
+             sum(CASE WHEN {S.md5_bucket("'sign:' || tok", 2)} = 0 THEN 1.0 ELSE -1.0 END * cnt) AS v
+      FROM c GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS nn FROM s GROUP BY 1)
+SELECT s.doc_id, s.dim, round(CASE WHEN nn > 0 THEN v / nn ELSE 0.0 END, 6) AS value
+FROM s JOIN n ON s.doc_id = n.doc_id
+""")
+def q_signed_hash_embedding(spark, sf_dir):
+    """F6 + M12: 768-wide signed feature hashing of every document, L2-normalised (sparse form)."""
+    d = table(spark, sf_dir, "documents")
+    toks = V.text_tokens(d.select(F.col("doc_id").alias("package_id"), "text"), "code")
+    sp = V.signed_hash_sparse(toks)
+    return sp.select(F.col("package_id").alias("doc_id"), "dim", F.round("value", 6).alias("value"))
+
+
+def _embedding_views(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    names = F.element_at(F.array(*[F.lit(v) for v in vocab.VIEW_ORDER]), (F.col("vec_id") % 3 + 1).cast("int"))
+    return e.select(F.floor(F.col("vec_id") / 3).cast("bigint").alias("package_id"), names.alias("view"),
+                    F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@register("channel_attention", """
+WITH e AS (SELECT CAST(floor(vec_id / 3) AS BIGINT) AS package_id, vec_id % 3 AS v,
+                  sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS en
+           FROM embeddings),
+p AS (SELECT package_id, coalesce(max(en) FILTER (WHERE v = 0), 0.0) AS e0, coalesce(max(en) FILTER (WHERE v = 1), 0.0) AS e1,
+             coalesce(max(en) FILTER (WHERE v = 2), 0.0) AS e2 FROM e GROUP BY 1),
+q AS (SELECT *, greatest(e0, e1, e2) AS m FROM p)
+SELECT package_id, round(e0, 6) AS e_metadata, round(e1, 6) AS e_code, round(e2, 6) AS e_graph,
+       round(CASE WHEN e0 = 0 AND e1 = 0 AND e2 = 0 THEN 1.0 / 3 ELSE exp(e0 - m) / (exp(e0 - m) + exp(e1 - m) + exp(e2 - m)) END, 6) AS a_metadata,
+       round(CASE WHEN e0 = 0 AND e1 = 0 AND e2 = 0 THEN 1.0 / 3 ELSE exp(e1 - m) / (exp(e0 - m) + exp(e1 - m) + exp(e2 - m)) END, 6) AS a_code,
+       round(CASE WHEN e0 = 0 AND e1 = 0 AND e2 = 0 THEN 1.0 / 3 ELSE exp(e2 - m) / (exp(e0 - m) + exp(e1 - m) + exp(e2 - m)) END, 6) AS a_graph
+FROM q
+""")
+def q_channel_attention(spark, sf_dir):
+    """F13 + F14 + M17: view energies and softmax attention, embeddings grouped three per package."""
+    a = SC.channel_attention(_embedding_views(spark, sf_dir))
+    return a.select("package_id", *[F.round(f"e_{v}", 6).alias(f"e_{v}") for v in vocab.VIEW_ORDER],
+                    *[F.round(F.col("attention")[i], 6).alias(f"a_{v}") for i, v in enumerate(vocab.VIEW_ORDER)])
+
+
+@register("view_override", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_EMBED_RE}')) AS tok FROM documents),
+c AS (SELECT doc_id, tok, count(*) AS cnt FROM t WHERE length(tok) > 0 GROUP BY 1, 2),
+s AS (SELECT doc_id, {S.md5_bucket('tok', vocab.EMBED_DIM)} AS dim,
+             sum(CASE WHEN {S.md5_bucket("'sign:' || tok", 2)} = 0 THEN 1.0 ELSE -1.0 END * cnt) AS v
+      FROM c GROUP BY 1, 2),
+hv AS (SELECT doc_id, CASE WHEN sqrt(sum(v * v)) > 0 THEN 1.0 ELSE 0.0 END AS hn FROM s GROUP BY 1),
+uv AS (SELECT vec_id, len(embedding) AS dims,
+              sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS un
+       FROM embeddings)
+SELECT hv.doc_id, uv.vec_id IS NOT NULL AND uv.dims > 0 AS overridden,
+       CAST(CASE WHEN uv.vec_id IS NOT NULL AND uv.dims > 0 THEN uv.dims ELSE {vocab.EMBED_DIM} END AS INTEGER) AS dims,
+       round(CASE WHEN uv.vec_id IS NOT NULL AND uv.dims > 0 THEN uv.un ELSE hv.hn END, 6) AS norm
+FROM hv LEFT JOIN uv ON hv.doc_id = uv.vec_id
+""")
+def q_view_override(spark, sf_dir):
+    """A document's hashed code view replaced by the encoder vector when one exists."""
+    from ..functions import numeric as NUM
+    d = table(spark, sf_dir, "documents")
+    views = V.densify(V.signed_hash_sparse(V.text_tokens(d.select(F.col("doc_id").alias("package_id"), "text"), "code")))
+    user = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("package_id"), F.lit("code").alias("view"),
+                                                      F.col("embedding").alias("vector"))
+    o = J.override_vectors(views, user)
+    return o.select(F.col("package_id").alias("doc_id"), "overridden", F.size("vector").cast("int").alias("dims"),
+                    F.round(NUM.l2_norm("vector"), 6).alias("norm"))
