@@ -56,15 +56,17 @@ def graph_stats(edges: DataFrame, key: str = KEY, degrees: DataFrame | None = No
 
 def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALPHA,
              max_iter: int = vocab.PAGERANK_MAX_ITER, tol: float | None = vocab.PAGERANK_TOL,
-             checkpoint_every: int = 5) -> DataFrame:
+             checkpoint_every: int = 1) -> DataFrame:
     """Weighted PageRank of every package graph at once.
 
     Power iteration with uniform teleport, out-weights normalised per source and
     dangling mass spread evenly - the usual definition. With ``tol`` set, a
     package stops (its ranks freeze) at the first iteration whose L1 change is
     below ``n * tol``, which is the usual stopping rule; ``tol=None`` runs exactly
-    ``max_iter`` iterations. Lineage is cut with reliable checkpoints every
-    ``checkpoint_every`` iterations.
+    ``max_iter`` iterations. Each iteration reads the previous state more than
+    once, so lineage is cut with a reliable checkpoint every iteration (the
+    plan would otherwise grow geometrically); that also bounds recomputation
+    after an executor loss to one iteration.
 
     Returns ``(package_id, node, pagerank, iterations, converged)``.
     """

@@ -944,3 +944,230 @@ def q_view_override(spark, sf_dir):
     o = J.override_vectors(views, user)
     return o.select(F.col("package_id").alias("doc_id"), "overridden", F.size("vector").cast("int").alias("dims"),
                     F.round(NUM.l2_norm("vector"), 6).alias("norm"))
+
+
+# ------------------------------------------------------------------ training ---
+
+from ..operators import training as TR  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+
+
+def _doc_features(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    wc = FE.word_counts(d.select(F.col("doc_id").alias("package_id"), F.lit(0).alias("piece"), "text"))
+    return FE.hashed_counts(wc, "code", vocab.WORD_TOPK, vocab.WORD_CAP)
+
+
+def _doc_labels(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
+    lab = lab.select(F.col("doc_id").alias("package_id"), "toxic")
+    return TR.label_packages(lab.where(F.col("toxic") == 0), lab.where(F.col("toxic") == 1))
+
+
+_HW_SQL = f"""
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')) AS w,
+             unnest(generate_series(1, len(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')))) AS pos
+      FROM documents),
+c AS (SELECT doc_id, w, count(*) AS cnt, min(pos) AS fpos FROM t GROUP BY 1, 2),
+r AS (SELECT doc_id, w, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, fpos) AS rank FROM c),
+hw AS (SELECT doc_id, 'code_hash_' || CAST({S.md5_bucket('w', vocab.HASH_BUCKETS)} AS VARCHAR) AS feature,
+              sum(least(cnt, {vocab.WORD_CAP}) / {float(vocab.WORD_CAP)}) AS value
+       FROM r WHERE rank <= {vocab.WORD_TOPK} GROUP BY 1, 2),
+lab AS (SELECT l.doc_id, CAST(l.toxic AS DOUBLE) AS y FROM labels l WHERE l.doc_id IN (SELECT doc_id FROM documents))"""
+
+
+@register("training_union", """
+SELECT doc_id AS package_id, CAST(toxic AS INTEGER) AS label FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)
+""")
+def q_training_union(spark, sf_dir):
+    """S7 + U2: benign and malicious package sets tagged and unioned (both labels required)."""
+    return _doc_labels(spark, sf_dir).select("package_id", F.col("label").cast("int").alias("label"))
+
+
+@register("vocabulary", f"""
+WITH {_HW_SQL}
+SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx
+FROM (SELECT DISTINCT feature FROM hw WHERE doc_id IN (SELECT doc_id FROM lab))
+""")
+def q_vocabulary(spark, sf_dir):
+    """A11 + W4: sorted feature vocabulary of the labelled training set."""
+    feats = _doc_features(spark, sf_dir).join(_doc_labels(spark, sf_dir), "package_id", "left_semi")
+    return FE.vocabulary(feats).select("feature", "idx")
+
+
+@register("gd_step", f"""
+WITH {_HW_SQL},
+g AS (SELECT hw.feature, sum((0.5 - lab.y) * hw.value) / (SELECT count(*) FROM lab) AS g
+      FROM hw JOIN lab ON hw.doc_id = lab.doc_id WHERE hw.value <> 0 GROUP BY 1)
+SELECT feature, round(-{vocab.LOGISTIC_LR} * g, 6) AS weight FROM g
+UNION ALL SELECT '{TR.BIAS}', round(-{vocab.LOGISTIC_LR} * sum(0.5 - y) / count(*), 6) FROM lab
+""")
+def q_gd_step(spark, sf_dir):
+    """M10 (full-batch variant), one unrolled gradient step from zero weights."""
+    w = TR.gradient_descent(_doc_features(spark, sf_dir), _doc_labels(spark, sf_dir), epochs=1)
+    return w.select("feature", F.round("weight", 6).alias("weight"))
+
+
+@register("logistic_train")
+def q_logistic_train(spark, sf_dir):
+    """L-BFGS logistic regression (pyspark.ml) on hashed document words vs toxic labels."""
+    return TR.logistic_train(_doc_features(spark, sf_dir), _doc_labels(spark, sf_dir), method="lbfgs")
+
+
+@register("train_views")
+def q_train_views(spark, sf_dir):
+    """M19 (re-aimed): MLP on attention-weighted hashed views of labelled documents."""
+    d = table(spark, sf_dir, "documents")
+    views = V.densify(V.signed_hash_sparse(V.text_tokens(d.select(F.col("doc_id").alias("package_id"), "text"), "code")))
+    att = SC.channel_attention(views)
+    _model, scored = TR.train_view_classifier(views, att, _doc_labels(spark, sf_dir))
+    return scored
+
+
+# ------------------------------------------------------------ evidence merge ---
+
+@register("external_evidence", f"""
+WITH {OK}, {_EDGES_CTE[1:]},
+ext AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS package_id,
+               'scalpel:' || event_type || '_' || CAST(CAST(FLOOR(event_id / 20000) AS BIGINT) AS VARCHAR) || '.py' AS src,
+               'scalpel:pkg.' || event_type || '.handle' AS dst FROM events),
+me AS (SELECT package_id, src, dst, sum(weight) AS weight FROM
+        (SELECT package_id, src, dst, weight FROM ew UNION ALL SELECT package_id, src, dst, 1 FROM ext) GROUP BY 1, 2, 3),
+et AS (SELECT package_id, CAST(sum(weight) AS BIGINT) AS edges_total, CAST(count(*) AS BIGINT) AS distinct_edges FROM me GROUP BY 1),
+an AS (SELECT package_id, name, sum(cnt) AS cnt FROM
+        (SELECT package_id, api AS name, count(*) AS cnt FROM okev GROUP BY 1, 2
+         UNION ALL SELECT DISTINCT package_id, 'handle', 0 FROM ext) GROUP BY 1, 2),
+a AS (SELECT package_id, CAST(count(*) AS BIGINT) AS api_unique, CAST(sum(cnt) AS BIGINT) AS api_total FROM an GROUP BY 1)
+SELECT et.package_id, edges_total, distinct_edges, api_unique, api_total FROM et JOIN a ON et.package_id = a.package_id
+""")
+def q_external_evidence(spark, sf_dir):
+    """Edges reported by an external analyser merged with the extracted ones;
+    callee tails registered with count 0."""
+    facts = event_facts(spark, sf_dir)
+    ev = table(spark, sf_dir, "events")
+    ext = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("package_id"),
+                    F.concat(F.col("event_type"), F.lit("_"), F.floor(F.col("event_id") / fixtures.CHUNK).cast("bigint").cast("string"),
+                             F.lit(".py")).alias("src"),
+                    F.concat(F.lit("pkg."), F.col("event_type"), F.lit(".handle")).alias("dst"))
+    merged, zero = J.merge_external_edges(C.edge_weights(facts).select("package_id", "src", "dst", "weight"), ext)
+    e = merged.groupBy("package_id").agg(F.sum("weight").cast("bigint").alias("edges_total"),
+                                         F.count(F.lit(1)).alias("distinct_edges"))
+    names = (C.count_names(facts, "call").select("package_id", "name", "cnt").unionByName(zero)
+             .groupBy("package_id", "name").agg(F.sum("cnt").alias("cnt")))
+    a = names.groupBy("package_id").agg(F.count(F.lit(1)).alias("api_unique"), F.sum("cnt").cast("bigint").alias("api_total"))
+    return e.join(a, "package_id")
+
+
+# ------------------------------------------------------------- fused & report ---
+
+def event_views(spark, sf_dir):
+    p = event_pipeline(spark, sf_dir)
+    if "views" not in p:
+        p["views"] = checkpoint(V.view_matrix(p["metadata"], p["snippets"], p["edges"]))
+    return p["views"]
+
+
+@register("fused_score", f"""
+{_RT_FEATURE_WITH},
+ct AS (SELECT package_id, unnest(regexp_extract_all(lower(text), '{_EMBED_RE}')) AS tok FROM snips),
+cc AS (SELECT package_id, tok, count(*) AS cnt FROM ct WHERE length(tok) > 0 GROUP BY 1, 2),
+cs AS (SELECT package_id, {S.md5_bucket('tok', vocab.EMBED_DIM)} AS dim,
+              sum(CASE WHEN {S.md5_bucket("'sign:' || tok", 2)} = 0 THEN 1.0 ELSE -1.0 END * cnt) AS v FROM cc GROUP BY 1, 2),
+ce AS (SELECT package_id, CASE WHEN sum(v * v) > 0 THEN 1.0 ELSE 0.0 END AS e1 FROM cs GROUP BY 1),
+ge AS (SELECT DISTINCT package_id, 1.0 AS e2 FROM ew),
+att AS (SELECT n.package_id, 0.0 AS e0, coalesce(ce.e1, 0.0) AS e1, coalesce(ge.e2, 0.0) AS e2
+        FROM named n LEFT JOIN ce ON n.package_id = ce.package_id LEFT JOIN ge ON n.package_id = ge.package_id),
+sm AS (SELECT *, greatest(e0, e1, e2) AS m, exp(e0 - greatest(e0, e1, e2)) + exp(e1 - greatest(e0, e1, e2))
+              + exp(e2 - greatest(e0, e1, e2)) AS z FROM att),
+aw AS (SELECT package_id,
+              CASE WHEN e0 = 0 AND e1 = 0 AND e2 = 0 THEN 1.0 / 3 ELSE exp(e0 - m) / z END AS a0,
+              CASE WHEN e0 = 0 AND e1 = 0 AND e2 = 0 THEN 1.0 / 3 ELSE exp(e1 - m) / z END AS a1,
+              CASE WHEN e0 = 0 AND e1 = 0 AND e2 = 0 THEN 1.0 / 3 ELSE exp(e2 - m) / z END AS a2 FROM sm),
+sc AS (SELECT n.*, {S.sigmoid('(' + _RULE_SCORE + ') - 2.2')} AS base, aw.a0, aw.a1, aw.a2
+       FROM named n JOIN aw ON n.package_id = aw.package_id),
+fu AS (SELECT package_id, base, a0, a1, a2,
+              least(greatest(0.40 * base
+                + 0.20 * a0 * {S.sigmoid('2.5 * (meta_missing_ratio + meta_suspicious_words)')}
+                + 0.25 * a1 * {S.sigmoid('3.5 * (sensitive_api_total + snippet_suspicious_words)')}
+                + 0.15 * a2 * {S.sigmoid('2.5 * (graph_edges + cfg_edges)')}, 0.0), 1.0) AS p FROM sc)
+SELECT package_id, round(base, 6) AS rule_probability, round(p, 6) AS probability,
+       CASE WHEN p >= 0.5 THEN 'malicious' ELSE 'benign' END AS prediction,
+       round(a0, 6) AS a_metadata, round(a1, 6) AS a_code, round(a2, 6) AS a_graph
+FROM fu
+""")
+def q_fused_score(spark, sf_dir):
+    """M16 + M17 + M18: three hashed views, channel attention and the fused probability."""
+    p = event_pipeline(spark, sf_dir)
+    att = SC.channel_attention(event_views(spark, sf_dir))
+    f = SC.fused_score(p["named"], att)
+    return f.select("package_id", F.round("rule_probability", 6).alias("rule_probability"),
+                    F.round("probability", 6).alias("probability"), "prediction",
+                    *[F.round(F.col("attention")[i], 6).alias(f"a_{v}") for i, v in enumerate(vocab.VIEW_ORDER)])
+
+
+@register("graph_embedding")
+def q_graph_embedding(spark, sf_dir):
+    """PageRank/degree-weighted node tokens + edge tokens -> signed hash (graph view)."""
+    v = event_views(spark, sf_dir).where(F.col("view") == "graph")
+    from ..functions import numeric as NUM
+    return v.select("package_id", F.size(F.filter("vector", lambda x: x != 0)).alias("nonzero_dims"),
+                    F.round(NUM.l2_norm("vector"), 6).alias("norm"))
+
+
+def event_reports(spark, sf_dir):
+    p = event_pipeline(spark, sf_dir)
+    facts = event_facts(spark, sf_dir)
+    scores = SC.heuristic_score(p["named"])
+    counts = C.evidence_counts(p["scalars"], p["totals"], p["graph"], p["snippet_stats"].select(
+        "package_id", F.col("snippet_n").alias("snippet_count")))
+    mm = MD.metadata_map(p["metadata"])
+    return RP.build_report(scores, counts, p["api_counts"], p["import_counts"], mm, facts, p["snippets"])
+
+
+_IMPORT_FIRST_SQL = """
+imps2 AS (
+  SELECT package_id, path, event_type || '.core' AS name, 1 AS seq FROM okf
+  UNION ALL SELECT package_id, path, event_type, 2 FROM okf
+  UNION ALL SELECT package_id, path, CASE event_type WHEN 'error' THEN 'xml.dom.minidom'
+                                     WHEN 'purchase' THEN 'subprocess' ELSE 'json' END, 3 FROM okf
+  UNION ALL SELECT package_id, path, 'xml', 4 FROM okf WHERE event_type = 'error'),
+ifirst AS (SELECT package_id, name, count(*) AS cnt, min(path) AS fpath FROM imps2 GROUP BY 1, 2),
+iseq AS (SELECT f.package_id, f.name, f.cnt, f.fpath, min(i.seq) AS fseq FROM ifirst f
+         JOIN imps2 i ON i.package_id = f.package_id AND i.name = f.name AND i.path = f.fpath GROUP BY 1, 2, 3, 4),
+itop AS (SELECT package_id, string_agg(name || ':' || CAST(cnt AS VARCHAR), ', ' ORDER BY rk) AS top_imports
+         FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY cnt DESC, fpath, fseq) AS rk FROM iseq)
+         WHERE rk <= 15 GROUP BY 1),
+afirst AS (SELECT c.package_id, c.name, c.cnt, c.fpath, min(o.event_id) AS feid FROM
+            (SELECT package_id, api AS name, count(*) AS cnt, min(path) AS fpath FROM okev GROUP BY 1, 2) c
+           JOIN okev o ON o.package_id = c.package_id AND o.api = c.name AND o.path = c.fpath GROUP BY 1, 2, 3, 4),
+atop AS (SELECT package_id, string_agg(name || ':' || CAST(cnt AS VARCHAR), ', ' ORDER BY rk) AS top_sensitive_apis
+         FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY cnt DESC, fpath, feid) AS rk
+               FROM afirst WHERE {sens}) WHERE rk <= 20 GROUP BY 1)"""
+
+
+@register("report_fields", f"""
+{_RT_FEATURE_WITH}, {_IMPORT_FIRST_SQL.format(sens=S.sensitive_call('name'))},
+sc AS (SELECT package_id, {_RULE_SCORE} AS s, {_RULE_REASONS} AS reasons FROM named)
+SELECT sc.package_id AS input,
+       CASE WHEN {S.sigmoid('s - 2.2')} >= 0.5 THEN 'malicious' ELSE 'benign' END AS prediction,
+       round({S.sigmoid('s - 2.2')}, 4) AS malicious_probability,
+       CAST(fc.nfiles AS BIGINT) AS python_files, CAST(fc.nerr AS BIGINT) AS parse_errors,
+       CAST(fc.nerr AS BIGINT) AS analysis_errors, CAST(tot.api_unique AS BIGINT) AS unique_api_calls,
+       CAST(coalesce(gs.m, 0) AS BIGINT) AS call_graph_edges, CAST(coalesce(blk.cn, 0) AS BIGINT) AS cfg_nodes,
+       CAST(2 * coalesce(blk.cn, 0) AS BIGINT) AS cfg_edges,
+       CAST(coalesce((SELECT count(*) FROM snips WHERE snips.package_id = sc.package_id), 0) AS BIGINT) AS snippets,
+       coalesce(itop.top_imports, '') AS top_imports, coalesce(atop.top_sensitive_apis, '') AS top_sensitive_apis,
+       sc.reasons
+FROM sc JOIN fc ON sc.package_id = fc.package_id JOIN tot ON sc.package_id = tot.package_id
+     LEFT JOIN gs ON sc.package_id = gs.package_id LEFT JOIN blk ON sc.package_id = blk.package_id
+     LEFT JOIN itop ON sc.package_id = itop.package_id LEFT JOIN atop ON sc.package_id = atop.package_id
+""")
+def q_report_fields(spark, sf_dir):
+    """M20 + A12 + P7 + F15: report scalars, counts struct and top lists per package."""
+    r = event_reports(spark, sf_dir)
+    fmt = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x["cnt"].cast("string"))), ", ")
+    return r.select("input", "prediction", F.round("malicious_probability", 4).alias("malicious_probability"),
+                    *[F.col(f"counts.{c}").alias(c) for c in C.COUNT_FIELDS],
+                    fmt(F.col("top_imports")).alias("top_imports"),
+                    fmt(F.col("top_sensitive_apis")).alias("top_sensitive_apis"),
+                    F.array_join("reasons", "; ").alias("reasons"))
