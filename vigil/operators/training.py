@@ -113,7 +113,11 @@ def train_view_classifier(views: DataFrame, attention: DataFrame, labels: DataFr
     j = labels.select(key, F.col("label").cast("double").alias("label")).join(wide, key, "left") \
               .join(attention.select(key, "attention"), key, "left")
     att = F.coalesce("attention", F.array(*[F.lit(1.0 / 3.0)] * 3))
-    flat = F.concat(*[F.transform(F.coalesce(f"_v{i}", zero), lambda x, i=i: x * att[i]) for i in range(3)])
+    def scaled(k):
+        weight = att[k]
+        return F.transform(F.coalesce(f"_v{k}", zero), lambda x: x * weight)
+
+    flat = F.concat(*[scaled(k) for k in range(3)])
     data = j.select(key, "label", array_to_vector(flat).alias("features"))
     mlp = MultilayerPerceptronClassifier(layers=[3 * dim, hidden, 2], maxIter=max_iter, seed=seed)
     model = mlp.fit(data)
