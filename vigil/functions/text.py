@@ -80,12 +80,9 @@ def shannon_entropy(col: ColumnOrName) -> Column:
     """Shannon entropy in bits over characters; 0.0 for empty or null text (F2)."""
     t = _c(col)
     n = F.length(t).cast("double")
-    h = F.aggregate(
-        F.array_distinct(characters(t)),
-        F.lit(0.0),
-        lambda acc, ch: acc - ((n - F.length(F.replace(t, ch, F.lit("")))) / n)
-        * F.log2((n - F.length(F.replace(t, ch, F.lit("")))) / n),
-    )
+    # one O(len) replace per distinct character: counts first, then sum -p*log2(p)
+    counts = F.transform(F.array_distinct(characters(t)), lambda ch: n - F.length(F.replace(t, ch, F.lit(""))))
+    h = F.aggregate(counts, F.lit(0.0), lambda acc, k: acc - (k / n) * F.log2(k / n))
     return F.when(t.isNull() | (F.length(t) == 0), F.lit(0.0)).otherwise(h)
 
 

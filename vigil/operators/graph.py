@@ -83,19 +83,25 @@ def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALP
                           (F.lit(1.0) / F.col("n")).alias("rank"))
                   .withColumn("done", F.lit(False)).withColumn("it", F.lit(0)))
     state = checkpoint(state)
+    # per-package scalars (dangling mass, L1 change) are one row per package:
+    # broadcast them when the package count is proven small, so the node table
+    # is not reshuffled to attach them.
+    from .joins import broadcast_if_small
+    n_pk = sizes.count()
+    small = lambda df: broadcast_if_small(df, known_bound=n_pk)[0] if n_pk <= 1_000_000 else df
     for i in range(1, max_iter + 1):
         active = state.where(~F.col("done"))
         contrib = (trans.join(active.select(key, F.col("node").alias("src"), "rank"), [key, "src"])
                         .groupBy(key, F.col("dst").alias("node"))
                         .agg(F.sum(F.col("rank") * F.col("p")).alias("c")))
         dang = active.groupBy(key).agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("d"))
-        new = (active.join(contrib, [key, "node"], "left").join(dang, key, "left")
+        new = (active.join(contrib, [key, "node"], "left").join(small(dang), key, "left")
                      .select(key, "node", "dangling", "n", F.col("rank").alias("old"),
                              (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + F.col("d") / F.col("n"))
                               + F.lit(1.0 - alpha) / F.col("n")).alias("rank")))
         if tol is not None:
             err = new.groupBy(key).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("err"), F.first("n").alias("nn"))
-            new = (new.join(err, key)
+            new = (new.join(small(err), key)
                       .withColumn("done", F.col("err") < F.col("nn") * F.lit(tol)))
         else:
             new = new.withColumn("done", F.lit(i == max_iter))
