@@ -42,3 +42,22 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {shards} AS INT) AS sha
        CAST(NULL AS INT) AS grown_shard, CAST(row_number AS BIGINT) AS row_number
 FROM numbered JOIN walk USING (row_number), total WHERE p < n
 """
+
+
+def decontamination(span: int = 10) -> str:
+    """Every window of every item looked up at every place of every document, by its words."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, {words} AS w FROM benchmark),
+iw AS (SELECT item_id, least(len(w), {span}) AS k, w, unnest(range(len(w) - least(len(w), {span}) + 1)) AS s FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[s + 1:s + k], ' ') AS v FROM iw),
+doc AS (SELECT doc_id, row_number() OVER () AS rid, {words} AS w FROM documents),
+place AS (SELECT rid, w, unnest(range(len(w))) AS s FROM doc),
+hit AS (SELECT rid, s, win.k, item_id FROM place, (SELECT DISTINCT k FROM win) n, win
+        WHERE s + n.k <= len(w) AND win.k = n.k AND win.v = array_to_string(w[s + 1:s + n.k], ' ')),
+cover AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM hit) GROUP BY rid),
+ids AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN cover USING (rid) LEFT JOIN ids USING (rid)
+"""

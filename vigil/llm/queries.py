@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import table
+from .decontamination import contamination
 from .sharding import shard_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(rows, SHARDS, ["doc_id", "size", "text_crc32"], SHARD_SEED)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+@register("op2_decontamination", oracles.decontamination())
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of ten words of the benchmark items."""
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
