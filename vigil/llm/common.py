@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -35,3 +36,11 @@ def ascii_lower(text):
     """Lower-case A-Z only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, upper, upper.lower())
+
+
+def extended(df: DataFrame, columns: dict[str, str]) -> StructType:
+    """The schema of ``df`` with more columns; ``df`` itself keeps its own."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema

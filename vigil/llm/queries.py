@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import bpe, oracles, quality
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS, SHARD_SEED = 8, 7
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def register(name: str, oracle: str | None = None):
@@ -43,3 +44,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside windows of ten words of the benchmark items."""
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@register("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the classifier on every document; not SQL: tested against brute force and held-out labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+@register("op8_byte_bpe")
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; not SQL: tested against the tokenizer library and by round trip."""
+    import public_tokenizers
+
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
