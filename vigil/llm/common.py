@@ -40,7 +40,4 @@ def ascii_lower(text):
 
 def extended(df: DataFrame, columns: dict[str, str]) -> StructType:
     """The schema of ``df`` with more columns; ``df`` itself keeps its own."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in columns.items():
-        schema = schema.add(name, kind)
-    return schema
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])
