@@ -41,3 +41,28 @@ def ascii_lower(text):
 def extended(df: DataFrame, columns: dict[str, str]) -> StructType:
     """The schema of ``df`` with more columns; ``df`` itself keeps its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])
+
+
+def groups(batches, key: str):
+    """From Arrow batches sorted by ``key``: (value, table) for each run of equal values."""
+    import pyarrow as pa
+
+    held, value = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(batch.schema.get_field_index(key))
+        values = column.to_pylist()
+        lo = 0
+        while lo < len(values):
+            hi = lo + 1
+            while hi < len(values) and values[hi] == values[lo]:
+                hi += 1
+            if held and values[lo] != value:
+                yield value, pa.Table.from_batches(held)
+                held = []
+            value = values[lo]
+            held.append(batch.slice(lo, hi - lo))
+            lo = hi
+    if held:
+        yield value, pa.Table.from_batches(held)
