@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, oracles, quality
+from . import bpe, chunkdedup, neardup, oracles, quality
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -67,3 +67,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at 85 % of their five-word shingles; not SQL at this size: tested against brute force."""
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks that an earlier one has; not SQL: tested against a sequential version."""
+    return chunkdedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
