@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, neardup, oracles, quality
+from . import bpe, chunkdedup, lmscore, neardup, oracles, quality
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -73,3 +73,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the chunks that an earlier one has; not SQL: tested against a sequential version."""
     return chunkdedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op9_lm_score")
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; not SQL at this size: tested against brute force."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text", F.pmod(
+        F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)).alias("fold"))
+    out = lmscore.log_scores(docs)
+    return out.withColumnRenamed("row_id", "doc_id")
