@@ -66,3 +66,29 @@ def groups(batches, key: str):
             lo = hi
     if held:
         yield value, pa.Table.from_batches(held)
+
+
+BITMAP_BITS = 27
+_ROW_BITS = 15  # a row of the bitmap holds 2 ** 15 bits, as bitmap_construct_agg makes them
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the low bits of ``key`` (long): at most 4096 rows of 4 KB, whatever the number of keys."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
+    return (keys.groupBy(F.shiftright(bit, _ROW_BITS).cast("int").alias("__row"))
+            .agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias("__bits")))
+
+
+def maybe_in(df: DataFrame, key: str, bits: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows whose ``key`` may be in the bitmap: all that are, and by chance some that are not.
+
+    With ``keep`` all rows, and ``__maybe``. Broadcasts the bitmap, whose size is fixed (16 MB).
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
+    rows = df.withColumn("__bit", bit).withColumn("__row", F.shiftright("__bit", _ROW_BITS).cast("int"))
+    there = rows.join(F.broadcast(bits), "__row", "left" if keep else "inner")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__bit & {(1 << _ROW_BITS) - 1}) >> 3 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit & 7 as int))")) != 0, F.lit(False))
+    if keep:
+        return there.withColumn("__maybe", hit).drop("__bit", "__row", "__bits")
+    return there.where(hit).drop("__bit", "__row", "__bits")

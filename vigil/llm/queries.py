@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, lmscore, neardup, oracles, quality
+from . import bpe, chunkdedup, lmscore, neardup, oracles, quality, suffixdedup
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -82,3 +82,9 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)).alias("fold"))
     out = lmscore.log_scores(docs)
     return out.withColumnRenamed("row_id", "doc_id")
+
+
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of its repeated 200-byte strings; not SQL at this size: tested against brute force."""
+    return suffixdedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "kept")
