@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, lmscore, neardup, oracles, quality, suffixdedup
+from . import bpe, chunkdedup, htmlblocks, lmscore, neardup, oracles, quality, suffixdedup
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -88,3 +88,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of its repeated 200-byte strings; not SQL at this size: tested against brute force."""
     return suffixdedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "kept")
+
+
+@register("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; not SQL: tested against the known layout and on made-up ones."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmlblocks.extract(pages, htmlblocks.train(pages)).select("page_id", "url", "text", "n_chars")
