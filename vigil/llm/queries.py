@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, htmlblocks, lmscore, neardup, oracles, quality, suffixdedup
+from . import bpe, chunkdedup, htmlblocks, licenses, lmscore, neardup, oracles, quality, suffixdedup
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -95,3 +95,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page; not SQL: tested against the known layout and on made-up ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmlblocks.extract(pages, htmlblocks.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@register("op6_license_scan", oracles.license_scan())
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices among all documents."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "canonical_sha256", "license_id", "notices", "n_notices")
