@@ -1,9 +1,82 @@
-"""The corpus pipeline: placeholder until its stages are written."""
+"""The corpus pipeline: documents to token ids, in five stages, each written as Parquet and read again.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``
+(doc_id, text, lang, source, n_chars). Each works on all that the one before kept, on whole texts. Stages that call
+counts or joins over the corpus count what they are given, not the first table.
+
+Nulls and ties: a document without text fails the quality rules; of near-copies the least doc_id stays (of rows with
+that same doc_id the least text digest, of equal rows one); an empty table goes through as an empty table; columns that
+``documents`` has besides the five are carried along.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm import bpe, chunkdedup, neardup, quality
+from vigil.llm.common import table, written
+from vigil.llm.decontamination import contamination
+
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the classifier keep."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
+    found = written(neardup.near_duplicates(docs), "near")
+    kept = found.where("n_shingles > 0 and kept")
+    gone = found.where("n_shingles > 0 and not kept").select("doc_id", "text_key").unionByName(_second_rows(kept)).distinct()
+    again = kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    marks = (gone.withColumn("__mark", F.lit("gone")).unionByName(again.join(gone, ["doc_id", "text_key"], "left_anti").withColumn("__mark", F.lit("again")))
+             .withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}))
+    left = (docs.withColumn("__text_key", F.md5(F.coalesce("text", F.lit(""))))
+            .join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"))
+    out = left.where("__mark is null")
+    if not again.isEmpty():  # rows met twice, of which one stays
+        out = out.unionByName(left.where("__mark = 'again'").dropDuplicates(["doc_id", "__text_key"]))
+    return out.select(*docs.columns)
+
+
+def _second_rows(kept: DataFrame) -> DataFrame:
+    """Of rows that share the least doc_id of a component but not the text, all but the least text digest."""
+    first = kept.groupBy("component_id").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least != most")
+    return (kept.join(first, kept["component_id"].eqNullSafe(first["component_id"])).where(F.col("text_key") != F.col("least"))
+            .select("doc_id", "text_key"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the chunks that an earlier document has; n_chars is that of the new text."""
+    out = chunkdedup.deduplicate(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, token_ids and n_tokens of every document; the decoded ids give the text again."""
+    out = bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+    return (out.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+          ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages in order to ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
