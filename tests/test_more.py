@@ -7,7 +7,9 @@ from vigil.operators import metadata as MD
 
 def test_header_and_pyproject(spark):
     hdr = "Metadata-Version: 2.1\nname: x  y\nLicense: UNKNOWN\n\nThe body\n  text\n"
-    assert MD.header_fields(hdr) == [("name", "x y"), ("license", "UNKNOWN"), ("description", "The body text")]
+    files = spark.createDataFrame([("p", "PKG-INFO", "header", hdr)], "package_id string, path string, kind string, text string")
+    rows = MD.extract_metadata(files).orderBy("ord").collect()
+    assert [(r["field"], r["value"]) for r in rows] == [("name", "x y"), ("license", "UNKNOWN"), ("description", "The body text")]
     units = spark.createDataFrame([("p", "pyproject.toml", '[project]\nname = "demo "\nlicense = {text = "MIT"}\n'
                                                            '[tool.x]\ndescription = \'d\'\n')],
                                   "package_id string, path string, text string")

@@ -31,13 +31,6 @@ def l2_norm(vec: ColumnOrName) -> Column:
                               F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def l2_normalize(vec: ColumnOrName) -> Column:
-    """divide by the norm; a zero vector stays zero."""
-    v = _c(vec).cast("array<double>")
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
-
-
 def softmax3(e0: ColumnOrName, e1: ColumnOrName, e2: ColumnOrName) -> Column:
     """max-shifted softmax of three energies; all-zero energies give 1/3 each.
 

@@ -26,6 +26,17 @@ def is_sensitive_call(name: ColumnOrName, apis=vocab.SENSITIVE_APIS, keywords=vo
     return F.coalesce(n.isin(apis) | last_part(n).isin(apis) | F.lower(n).rlike(pattern), F.lit(False))
 
 
+_APIS = frozenset(vocab.SENSITIVE_APIS)
+
+
+def sensitive_name(name: str) -> bool:
+    """P1 for one name inside a task, where the extraction decides which calls get a snippet."""
+    if name in _APIS or name.rpartition(".")[2] in _APIS:
+        return True
+    low = name.lower()
+    return any(k in low for k in vocab.CALL_KEYWORDS)
+
+
 def is_sensitive_import(name: ColumnOrName, modules=vocab.BLACKLIST_IMPORTS) -> Column:
     """Exact module, or case-insensitively equal to / below a listed module."""
     n = _c(name)

@@ -82,10 +82,10 @@ COUNT_FIELDS = ("python_files", "parse_errors", "analysis_errors", "unique_api_c
                 "cfg_nodes", "cfg_edges", "snippets")
 
 
-def evidence_counts(scalars: DataFrame, totals: DataFrame, graph: DataFrame, snippet_counts: DataFrame,
-                    key: str = KEY) -> DataFrame:
-    """The eight report counts as one struct column ``counts``."""
-    j = (scalars.join(totals.select(key, "api_unique"), key, "left")
+def evidence_counts(packages: DataFrame, scalars: DataFrame, totals: DataFrame, graph: DataFrame,
+                    snippet_counts: DataFrame, key: str = KEY) -> DataFrame:
+    """The eight report counts as one struct column ``counts``, zeros for packages without sources."""
+    j = (packages.select(key).distinct().join(scalars, key, "left").join(totals.select(key, "api_unique"), key, "left")
                 .join(graph.select(key, "graph_edges"), key, "left")
                 .join(snippet_counts.select(key, "snippet_count"), key, "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")

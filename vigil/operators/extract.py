@@ -14,6 +14,10 @@ Fact kinds:
 * ``func``   - a def/async def; ``name`` is ``path:function``, ``caller`` the parent scope
 * ``string`` - non-empty string literal in ``value``
 * ``block``  - control block; ``name`` is its type, with ``branch_edges`` and ``nesting``
+* ``snippet`` - for a sensitive call, the lines around it in ``value``; ``seq`` is that of the call
+
+A file without content (unreadable, too large) gives only its ``error`` fact. Characters that
+UTF-8 can't hold (lone surrogates) are replaced by ``?`` in names and values.
 
 ``seq`` is the pre-order visit number inside the file, so ``(path, seq)`` is
 the visit order used for first-occurrence tie-breaks and snippet caps.
@@ -26,6 +30,10 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import vocab
+from ..functions.predicates import sensitive_name
 
 FACT_SCHEMA = ("package_id string, path string, seq int, kind string, name string, caller string, "
                "lineno int, branch_edges int, nesting int, value string")
@@ -56,6 +64,15 @@ def call_name(node: ast.AST) -> str:
     return ".".join(([base] if base else []) + attrs)
 
 
+def snippet_text(path: str, lines: list[str], lineno: int, radius: int = vocab.SNIPPET_RADIUS) -> str:
+    """The lines around a call, after a line that names the place."""
+    return "\n".join([f"# {path}:{lineno}", *lines[max(0, lineno - 1 - radius):lineno + radius]])
+
+
+def clean(value: str | None) -> str | None:
+    return value if value is None or value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
+
+
 def file_facts(path: str, text: str) -> list[tuple]:
     """Facts of one file as tuples ``(seq, kind, name, caller, lineno, branch_edges, nesting, value)``.
 
@@ -70,6 +87,7 @@ def file_facts(path: str, text: str) -> list[tuple]:
 
     out: list[tuple] = [(0, "file", None, None, None, None, None, None)]
     seq = 0
+    lines: list[str] = []
     scope = [MODULE_SCOPE]
     depth = [0]
     stack: list = [tree]
@@ -112,7 +130,11 @@ def file_facts(path: str, text: str) -> list[tuple]:
             name = call_name(node.func)
             if name:
                 seq += 1
-                out.append((seq, "call", name, scope[-1], max(1, node.lineno), None, None, None))
+                line = max(1, node.lineno)
+                out.append((seq, "call", name, scope[-1], line, None, None, None))
+                if sensitive_name(name):
+                    lines = lines or text.splitlines()
+                    out.append((seq, "snippet", name, None, line, None, None, snippet_text(path, lines, line)))
         elif kind is ast.Constant:
             if isinstance(node.value, str) and node.value:
                 seq += 1
@@ -129,41 +151,56 @@ def file_facts(path: str, text: str) -> list[tuple]:
     return out
 
 
+#: Facts are given back in chunks of about so many rows.
+CHUNK_ROWS = 20_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = dict(zip(FACT_COLUMNS, zip(*rows))) if rows else {c: () for c in FACT_COLUMNS}
+    numbers = {"seq", "lineno", "branch_edges", "nesting"}
+    return pd.DataFrame({c: pd.array(list(v), dtype="Int32") if c in numbers else pd.Series(list(v), dtype="object")
+                         for c, v in columns.items()})
+
+
 def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for pdf in batches:
-        cols: dict[str, list] = {c: [] for c in FACT_COLUMNS}
-        for pkg, path, text in zip(pdf["package_id"], pdf["path"], pdf["text"]):
-            for seq, kind, name, caller, lineno, edges, nesting, value in file_facts(path, text if text is not None else ""):
-                cols["package_id"].append(pkg)
-                cols["path"].append(path)
-                cols["seq"].append(seq)
-                cols["kind"].append(kind)
-                cols["name"].append(name)
-                cols["caller"].append(caller)
-                cols["lineno"].append(lineno)
-                cols["branch_edges"].append(edges)
-                cols["nesting"].append(nesting)
-                cols["value"].append(value)
-        out = pd.DataFrame({
-            "package_id": pd.Series(cols["package_id"], dtype="object"),
-            "path": pd.Series(cols["path"], dtype="object"),
-            "seq": pd.array(cols["seq"], dtype="Int32"),
-            "kind": pd.Series(cols["kind"], dtype="object"),
-            "name": pd.Series(cols["name"], dtype="object"),
-            "caller": pd.Series(cols["caller"], dtype="object"),
-            "lineno": pd.array(cols["lineno"], dtype="Int32"),
-            "branch_edges": pd.array(cols["branch_edges"], dtype="Int32"),
-            "nesting": pd.array(cols["nesting"], dtype="Int32"),
-            "value": pd.Series(cols["value"], dtype="object"),
-        })
-        yield out
+        for pkg, path, text, error in zip(pdf["package_id"], pdf["path"], pdf["text"], pdf["error"]):
+            if error is not None or text is None:
+                facts = [(0, "error", "input", None, None, None, None, f"{path}: {error or 'no content'}")]
+            else:
+                facts = file_facts(path, text)
+            for seq, kind, name, caller, lineno, edges, nesting, value in facts:
+                rows.append((pkg, path, seq, kind, clean(name), clean(caller), lineno, edges, nesting, clean(value)))
+            if len(rows) >= CHUNK_ROWS:
+                yield _frame(rows)
+                rows = []
+    yield _frame(rows)
 
 
 def extract_facts(source_units: DataFrame) -> DataFrame:
-    """``source_units(package_id, path, text)`` -> ``code_facts`` (one pass, no shuffle).
+    """``source_units(package_id, path, text[, error])`` -> ``code_facts`` (one pass, no shuffle).
+
+    Work is row-parallel: the input partitioning is kept, nothing is grouped. A row with an
+    ``error``, or without text, is no parsed file: it gives one ``error`` fact. Persist the
+    result (``vigil.session.checkpoint``) when several operators read it.
+    """
+    units = source_units if "error" in source_units.columns else source_units.withColumn("error", F.lit(None).cast("string"))
+    return units.select("package_id", "path", "text", "error").mapInPandas(_extract_batches, FACT_SCHEMA)
+
+
+def fact_snippets(facts: DataFrame, cap: int | None = None, key: str = "package_id") -> DataFrame:
+    """J3 + A8: ``(package_id, snippet_seq, path, lineno, text)`` of the snippets the extraction made.
 
-    Work is row-parallel: the input partitioning (file splits, balanced by bytes
-    by the file source) is kept, nothing is grouped. Persist the result
-    (``vigil.session.checkpoint``) when several operators read it.
+    ``snippet_seq`` numbers the snippets of a file, so no window spans a package. With ``cap`` it
+    numbers those of a package, of which the first ``cap`` stay (by path, then place); nothing is
+    cut otherwise.
     """
-    return source_units.select("package_id", "path", "text").mapInPandas(_extract_batches, FACT_SCHEMA)
+    from pyspark.sql import Window
+
+    rows = facts.where(F.col("kind") == "snippet").select(key, "path", "seq", "lineno", F.col("value").alias("text"))
+    within = [key] if cap is not None else [key, "path"]
+    out = rows.withColumn("snippet_seq", F.row_number().over(Window.partitionBy(*within).orderBy("path", "seq")))
+    if cap is not None:
+        out = out.where(F.col("snippet_seq") <= cap)
+    return out.select(key, "snippet_seq", "path", "lineno", "text")

@@ -36,18 +36,18 @@ NAMED_FEATURES = (
 
 # ------------------------------------------------------------------ M2 ---
 
-def hashed_counts(counts: DataFrame, prefix: str, k: int, cap: int, key: str = KEY,
+def hashed_counts(counts: DataFrame, prefix: str, k: int | None, cap: int, key: str = KEY,
                   hash: str = "md5", buckets: int = vocab.HASH_BUCKETS,
                   sensitive=None, sensitive_prefix: str | None = None) -> DataFrame:
-    """M2: top-``k`` names per package (count desc, first occurrence), then per
-    bucket sum of ``min(cnt, cap) / cap``.
+    """M2: per bucket the sum of ``min(cnt, cap) / cap`` over all names of a package, or with
+    ``k`` over its top ``k`` (count desc, first occurrence). Without ``k`` nothing is ranked.
 
     ``counts`` is ``(package_id, name, cnt, first)``. When ``sensitive`` (a
     Column predicate on ``name``) is given, the sensitive subset *of the same
-    top-k* is also emitted under ``sensitive_prefix``. The hash runs once per
+    names* is also emitted under ``sensitive_prefix``. The hash runs once per
     distinct (package, name), after counting.
     """
-    top = R.top_k_names(counts, k, key).select(key, "name", "cnt")
+    top = (counts if k is None else R.top_k_names(counts, k, key)).select(key, "name", "cnt")
     top = top.withColumn("_b", T.bucket("name", buckets, hash)).withColumn(
         "_v", N.clamp_scale("cnt", cap))
     fams = [F.struct(F.lit(prefix).alias("fam"), F.col("_v").alias("v"))]
@@ -133,18 +133,22 @@ def sensitive_call_sites(facts: DataFrame, key: str = KEY) -> DataFrame:
 
 # ------------------------------------------------------------------ M7 ---
 
-def build_features(facts: DataFrame, units: DataFrame, metadata: DataFrame, packages: DataFrame,
+def build_features(facts: DataFrame, metadata: DataFrame, packages: DataFrame,
                    snippets: DataFrame | None = None, hash: str = "md5", key: str = KEY,
                    extra_api_counts: DataFrame | None = None,
-                   edges: DataFrame | None = None) -> dict[str, DataFrame]:
+                   edges: DataFrame | None = None, block_counts: DataFrame | None = None,
+                   top_words: int | None = None, top_apis: int | None = None,
+                   top_imports: int | None = None) -> dict[str, DataFrame]:
     """M3-M7: per-package named features (wide) and hashed features (long).
 
     Returns a dict with ``named`` (one row per package, 40 feature columns),
     ``hashed`` (package_id, feature, value), ``long`` (both stacked) and the
-    intermediate frames reused by views and reports (``snippets``, ``api_counts``,
+    intermediate frames reused by views and reports. ``top_words``, ``top_apis`` and
+    ``top_imports`` hash only the most frequent names; by default all are hashed. Frames: (``snippets``, ``api_counts``,
     ``import_counts``, ``edges``, ``graph``, ``scalars``, ``meta_wide``).
     """
-    from .joins import context_snippets
+    from .extract import fact_snippets
+    from .joins import merge_external_blocks
 
     pk = packages.select(key).distinct()
     api_counts = C.count_names(facts, "call")
@@ -154,11 +158,13 @@ def build_features(facts: DataFrame, units: DataFrame, metadata: DataFrame, pack
             .groupBy(key, "name").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")))
     import_counts = C.count_names(facts, "import")
     scalars = C.package_scalars(facts)
+    if block_counts is not None:
+        scalars = merge_external_blocks(scalars, block_counts)
     totals = C.name_totals(api_counts, import_counts)
     e = edges if edges is not None else C.edge_weights(facts)
     graph = G.graph_stats(e)
     if snippets is None:
-        snippets = context_snippets(sensitive_call_sites(facts), units)
+        snippets = fact_snippets(facts)
     snip = snippet_features(snippets)
     meta_w = metadata_wide(metadata, pk)
     meta_f = metadata_features(meta_w)
@@ -190,13 +196,13 @@ def build_features(facts: DataFrame, units: DataFrame, metadata: DataFrame, pack
         N.clamp_scale(z("url_strings"), 100).alias("url_string_count"),
         N.clamp_scale(z("long_strings"), 200).alias("long_string_count"),
     )
-    snippet_words = word_counts(snippets.select(key, F.col("snippet_seq").alias("piece"), "text"))
+    snippet_words = word_counts(snippets.select(key, F.struct("path", "snippet_seq").alias("piece"), "text"))
     meta_words = word_counts(metadata_pieces(meta_w))
-    hashed = (hashed_counts(meta_words, "meta", vocab.WORD_TOPK, vocab.WORD_CAP, hash=hash)
-              .unionByName(hashed_counts(snippet_words, "code", vocab.WORD_TOPK, vocab.WORD_CAP, hash=hash))
-              .unionByName(hashed_counts(api_counts, "api", vocab.API_TOPK, vocab.API_CAP, hash=hash,
+    hashed = (hashed_counts(meta_words, "meta", top_words, vocab.WORD_CAP, hash=hash)
+              .unionByName(hashed_counts(snippet_words, "code", top_words, vocab.WORD_CAP, hash=hash))
+              .unionByName(hashed_counts(api_counts, "api", top_apis, vocab.API_CAP, hash=hash,
                                          sensitive=P.is_sensitive_call("name"), sensitive_prefix="sapi"))
-              .unionByName(hashed_counts(import_counts, "import", vocab.IMPORT_TOPK, vocab.IMPORT_CAP, hash=hash,
+              .unionByName(hashed_counts(import_counts, "import", top_imports, vocab.IMPORT_CAP, hash=hash,
                                          sensitive=P.is_sensitive_import("name"), sensitive_prefix="simport")))
     long = named_to_long(named).unionByName(hashed)
     return {"named": named, "hashed": hashed, "long": long, "snippets": snippets, "api_counts": api_counts,
@@ -225,8 +231,7 @@ def vectorise(features_long: DataFrame, vocab_df: DataFrame, size: int, key: str
     after that bound is checked.
     """
     from .joins import broadcast_if_small
-    vb, _ = broadcast_if_small(vocab_df.select("feature", "idx"))
+    vb = broadcast_if_small(vocab_df.select("feature", "idx"))
     j = features_long.join(vb, "feature", "inner")
-    m = j.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_m"))
-    return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                                     lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("features"))
+    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    return j.groupBy(key).agg(pairs.alias("_p")).select(key, T.dense("_p", "idx", "value", size).alias("features"))

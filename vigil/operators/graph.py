@@ -55,64 +55,57 @@ def graph_stats(edges: DataFrame, key: str = KEY, degrees: DataFrame | None = No
 
 
 def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALPHA,
-             max_iter: int = vocab.PAGERANK_MAX_ITER, tol: float | None = vocab.PAGERANK_TOL,
-             checkpoint_every: int = 1) -> DataFrame:
+             max_iter: int | None = None, tol: float | None = vocab.PAGERANK_TOL) -> DataFrame:
     """Weighted PageRank of every package graph at once.
 
     Power iteration with uniform teleport, out-weights normalised per source and
     dangling mass spread evenly - the usual definition. With ``tol`` set, a
     package stops (its ranks freeze) at the first iteration whose L1 change is
-    below ``n * tol``, which is the usual stopping rule; ``tol=None`` runs exactly
-    ``max_iter`` iterations. Each iteration reads the previous state more than
-    once, so lineage is cut with a reliable checkpoint every iteration (the
-    plan would otherwise grow geometrically); that also bounds recomputation
-    after an executor loss to one iteration.
+    below ``n * tol``, which is the usual stopping rule; it always comes, as the
+    change shrinks by ``alpha`` each time. ``max_iter`` ends earlier; with
+    ``tol=None`` exactly ``max_iter`` iterations run.
+
+    Each iteration is cut by a reliable checkpoint of the packages still open;
+    finished ones are kept apart and never read again, and their edges drop out
+    of the join. One aggregate per iteration gives the change and the next
+    dangling mass of each package.
 
     Returns ``(package_id, node, pagerank, iterations, converged)``.
     """
-    deg = node_degrees(edges, key)
-    nodes = deg.select(key, "node", "out_w")
-    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if tol is None and max_iter is None:
+        raise ValueError("without tol, max_iter is needed")
+    nodes = node_degrees(edges, key).select(key, "node", "out_w")
+    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"),
+                                   F.sum(F.when(F.col("out_w") == 0, 1.0).otherwise(0.0)).alias("loose"))
     # normalised transitions (package, src, dst, p)
-    trans = (edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("w"))
-                  .join(nodes.select(key, F.col("node").alias("src"), "out_w"), [key, "src"])
-                  .select(key, "src", "dst", (F.col("w") / F.col("out_w")).alias("p")))
-    trans = checkpoint(trans)
-    state = (nodes.join(sizes, key)
-                  .select(key, "node", (F.col("out_w") == 0).alias("dangling"), "n",
-                          (F.lit(1.0) / F.col("n")).alias("rank"))
-                  .withColumn("done", F.lit(False)).withColumn("it", F.lit(0)))
-    state = checkpoint(state)
-    # per-package scalars (dangling mass, L1 change) are one row per package:
-    # broadcast them when the package count is proven small, so the node table
-    # is not reshuffled to attach them.
-    from .joins import broadcast_if_small
-    n_pk = sizes.count()
-    small = lambda df: broadcast_if_small(df, known_bound=n_pk)[0] if n_pk <= 1_000_000 else df
-    for i in range(1, max_iter + 1):
-        active = state.where(~F.col("done"))
-        contrib = (trans.join(active.select(key, F.col("node").alias("src"), "rank"), [key, "src"])
-                        .groupBy(key, F.col("dst").alias("node"))
-                        .agg(F.sum(F.col("rank") * F.col("p")).alias("c")))
-        dang = active.groupBy(key).agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("d"))
-        new = (active.join(contrib, [key, "node"], "left").join(small(dang), key, "left")
-                     .select(key, "node", "dangling", "n", F.col("rank").alias("old"),
-                             (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + F.col("d") / F.col("n"))
-                              + F.lit(1.0 - alpha) / F.col("n")).alias("rank")))
-        if tol is not None:
-            err = new.groupBy(key).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("err"), F.first("n").alias("nn"))
-            new = (new.join(small(err), key)
-                      .withColumn("done", F.col("err") < F.col("nn") * F.lit(tol)))
-        else:
-            new = new.withColumn("done", F.lit(i == max_iter))
-        new = new.select(key, "node", "dangling", "n", "rank", "done", F.lit(i).alias("it"))
-        state = state.where(F.col("done")).unionByName(new)
-        if i % checkpoint_every == 0 or i == max_iter:
-            state = checkpoint(state)
-            if tol is not None and state.where(~F.col("done")).limit(1).count() == 0:
-                break
-    return state.select(key, "node", F.col("rank").alias("pagerank"), F.col("it").alias("iterations"),
-                        F.col("done").alias("converged"))
+    trans = checkpoint(edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("w"))
+                       .join(nodes.select(key, F.col("node").alias("src"), "out_w"), [key, "src"])
+                       .select(key, "src", "dst", (F.col("w") / F.col("out_w")).alias("p")))
+    state = checkpoint(nodes.join(sizes, key).select(
+        key, "node", (F.col("out_w") == 0).alias("dangling"), "n", (F.lit(1.0) / F.col("n")).alias("rank"),
+        (F.col("loose") / F.col("n")).alias("d")))
+    finished, i = [], 0
+    while True:
+        i += 1
+        contrib = (trans.join(state.select(key, F.col("node").alias("src"), "rank"), [key, "src"])
+                   .groupBy(key, F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("c")))
+        new = state.join(contrib, [key, "node"], "left").select(
+            key, "node", "dangling", "n", F.col("rank").alias("old"),
+            (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + F.col("d") / F.col("n")) + F.lit(1.0 - alpha) / F.col("n")).alias("rank"))
+        scalars = new.groupBy(key).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("err"),
+                                       F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("d"))
+        done = F.col("err") < F.col("n") * F.lit(tol) if tol is not None else F.lit(i == max_iter)
+        state = checkpoint(new.drop("old").join(scalars, key).withColumn("done", done).drop("err"))
+        last = i == max_iter
+        out = state if last else state.where("done")
+        finished.append(out.select(key, "node", F.col("rank").alias("pagerank"), F.lit(i).alias("iterations"), F.col("done").alias("converged")))
+        if last or state.where(~F.col("done")).isEmpty():
+            break
+        state = state.where(~F.col("done")).drop("done")
+    result = finished[0]
+    for more in finished[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def api_rank(api_counts: DataFrame, stats: DataFrame, top: int = 100, key: str = KEY) -> DataFrame:

@@ -8,23 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab
 
-# Row bound under which a build side may be broadcast.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+#: Dictionaries, models and vocabularies up to this size are broadcast; it is far below what an executor holds.
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                       known_bound: int | None = None) -> tuple[DataFrame, int]:
-    """Broadcast ``df`` only when its row count is proven to be <= ``max_rows``.
-
-    ``known_bound`` is a static upper bound (e.g. a vocabulary size or
-    ``#packages x cap``); when it is already below ``max_rows`` no job runs.
-    Otherwise the rows are counted (one small job). Returns the (possibly
-    hinted) frame and the bound/count used.
-    """
-    if known_bound is not None and known_bound <= max_rows:
-        return F.broadcast(df), known_bound
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its rows, as text, take at most ``max_bytes``; otherwise leave the join to the planner."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))) + 32).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def dictionary_semi_join(df: DataFrame, dictionary: DataFrame, name_col: str = "name",
@@ -35,7 +26,7 @@ def dictionary_semi_join(df: DataFrame, dictionary: DataFrame, name_col: str = "
     before broadcasting.
     """
     d = dictionary.select(F.col(dict_col).alias("_dict_name")).distinct()
-    d, _ = broadcast_if_small(d)
+    d = broadcast_if_small(d)
     return df.join(d, F.col(name_col) == F.col("_dict_name"), "left_anti" if anti else "left_semi")
 
 
@@ -49,7 +40,7 @@ def prefix_semi_join(df: DataFrame, dictionary: DataFrame, name_col: str = "name
     name set is then semi-joined back on equality.
     """
     d = dictionary.select(F.lower(F.col(dict_col)).alias("_p")).distinct()
-    d, _ = broadcast_if_small(d)
+    d = broadcast_if_small(d)
     names = df.select(F.col(name_col).alias("_n")).distinct()
     matched = (names.select("_n", F.explode(T.dotted_prefixes(F.lower("_n"))).alias("_p"))
                     .join(d, "_p", "left_semi").select("_n").distinct())
@@ -57,48 +48,49 @@ def prefix_semi_join(df: DataFrame, dictionary: DataFrame, name_col: str = "name
 
 
 def context_snippets(calls: DataFrame, units: DataFrame, radius: int = vocab.SNIPPET_RADIUS,
-                     cap: int | None = vocab.MAX_SNIPPETS, key: str = "package_id") -> DataFrame:
-    """J3 + A8: text around each selected call, first ``cap`` per package.
+                     cap: int | None = None, key: str = "package_id") -> DataFrame:
+    """J3 + A8 for calls found elsewhere: the lines around each call.
 
-    ``calls(package_id, path, seq, lineno)`` are the sensitive calls; ``units``
-    holds ``(package_id, path, text)``. The cap is applied first (windowed
-    ``row_number`` with a partial group limit), then each kept call is expanded
-    to its <= 2*radius+1 line numbers and equi-joined with the exploded lines of
-    only those files that contain a kept call. Output::
+    ``calls(package_id, path, seq, lineno)``; ``units`` holds ``(package_id, path, text)``. The places of
+    a file meet its text once and the lines are cut out of it there, so lines are never exploded or
+    joined. ``snippet_seq`` numbers the snippets of a file; with ``cap`` those of a package, of which the
+    first ``cap`` stay (by path, then place). Output::
 
         package_id, snippet_seq, path, lineno, text  ("# path:lineno\\n" + lines)
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy("path", "seq")
-    sel = calls.select(key, "path", "seq", "lineno").withColumn("snippet_seq", F.row_number().over(w))
+    places = calls.select(key, "path", "seq", "lineno")
     if cap is not None:
-        sel = sel.where(F.col("snippet_seq") <= cap)
-    files = units.join(sel.select(key, "path").distinct(), [key, "path"], "left_semi")
-    lines = files.select(key, "path", F.posexplode(T.split_lines("text")).alias("pos", "line")) \
-                 .withColumn("ln", F.col("pos") + 1).drop("pos")
-    want = sel.select(key, "path", "snippet_seq", "lineno",
-                      F.explode(F.sequence(F.greatest(F.lit(1), F.col("lineno") - radius),
-                                           F.col("lineno") + radius)).alias("ln"))
-    joined = want.join(lines, [key, "path", "ln"], "inner")
-    snip = joined.groupBy(key, "snippet_seq", "path", "lineno").agg(
-        F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("_l"))
-    return snip.select(key, "snippet_seq", "path", "lineno",
-                       F.concat(F.lit("# "), F.col("path"), F.lit(":"), F.col("lineno").cast("string"), F.lit("\n"),
-                                F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
-
-
-def vocabulary_left_join(weights: DataFrame, features: DataFrame, key: str = "package_id") -> DataFrame:
-    """Features restricted to the model vocabulary; a vocabulary feature a
-    package lacks counts as 0.0 and contributes nothing to ``sum(weight*value)``,
-    so only the inner join is materialised (never the package x vocabulary grid).
-
-    ``weights(feature, weight)`` is bounded by the vocabulary (checked before it
-    is broadcast); ``features`` is ``(package_id, feature, value)``.
+        places = (places.withColumn("snippet_seq", F.row_number().over(Window.partitionBy(key).orderBy("path", "seq")))
+                  .where(F.col("snippet_seq") <= cap))
+    else:
+        places = places.withColumn("snippet_seq", F.lit(0))
+    of_file = places.groupBy(key, "path").agg(F.array_sort(F.collect_list(F.struct("seq", "lineno", "snippet_seq"))).alias("_p"))
+    cut = (units.select(key, "path", T.split_lines("text").alias("_lines")).join(of_file, [key, "path"])
+           .select(key, "path", "_lines", F.posexplode("_p").alias("_i", "_c")))
+    first = F.greatest(F.lit(1), F.col("_c.lineno") - radius)
+    lines = F.slice("_lines", first, F.col("_c.lineno") + radius - first + 1)
+    return cut.where(F.size("_lines") >= first).select(
+        key, (F.when(F.col("_c.snippet_seq") > 0, F.col("_c.snippet_seq")).otherwise(F.col("_i") + 1)).alias("snippet_seq"), "path",
+        F.col("_c.lineno").alias("lineno"),
+        F.concat(F.lit("# "), F.col("path"), F.lit(":"), F.col("_c.lineno").cast("string"), F.lit("\n"),
+                 F.array_join(lines, "\n")).alias("text"))
+
+
+def merge_external_blocks(scalars: DataFrame, external: DataFrame, key: str = "package_id") -> DataFrame:
+    """Add block counts from an external analyser to ``cfg_nodes`` and ``cfg_edges`` of the scalars.
+
+    ``external(package_id, blocks, links)``, any number of rows for a package. Packages that the scalars lack get a row
+    with their block counts and zeros; nulls count as zero.
     """
-    w, _ = broadcast_if_small(weights.select("feature", "weight"))
-    return features.join(w, "feature", "inner").select(
-        key, "feature", "weight", F.coalesce("value", F.lit(0.0)).alias("value"))
+    sums = external.groupBy(key).agg(F.sum(F.coalesce("blocks", F.lit(0))).cast("bigint").alias("_b"),
+                                     F.sum(F.coalesce("links", F.lit(0))).cast("bigint").alias("_l"))
+    j = scalars.join(sums, key, "full_outer")
+    zero = {c: F.coalesce(F.col(c), F.lit(0)).cast(t) for c, t in scalars.dtypes if c != key}
+    zero["cfg_nodes"] = (zero["cfg_nodes"] + F.coalesce("_b", F.lit(0))).cast("bigint")
+    zero["cfg_edges"] = (zero["cfg_edges"] + F.coalesce("_l", F.lit(0))).cast("bigint")
+    return j.select(key, *[c.alias(n) for n, c in zero.items()])
 
 
 def merge_external_edges(edges: DataFrame, external: DataFrame, key: str = "package_id",

@@ -33,16 +33,11 @@ def first_n_per_group(df: DataFrame, n: int, order: list[str | Column], key: str
     return df.withColumn(seq_col, F.row_number().over(w)).where(F.col(seq_col) <= n)
 
 
-def global_top_k(df: DataFrame, k: int, score: str = "score", name: str = "name") -> DataFrame:
-    """Global top-k by score desc, ties by name (planned as ``TakeOrderedAndProject``)."""
-    return df.orderBy(F.col(score).desc(), F.col(name).asc()).limit(k)
-
-
 def line_context(lines: DataFrame, radius: int, key: list[str], order: str = "ln", line: str = "line",
                  out: str = "context") -> DataFrame:
     """The ``radius`` lines before and after each line, as a frame window.
 
-    Each partition is one file (<= 2 MB), so the frame is bounded.
+    Each partition is one file, and a frame holds ``2 * radius + 1`` lines.
     """
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(-radius, radius)
     return lines.withColumn(out, F.array_join(F.collect_list(line).over(w), "\n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import predicates as P
+from ..functions import vocab
 from . import ranking as R
 
 KEY = "package_id"
@@ -20,25 +21,36 @@ def _top_list(counts: DataFrame, k: int, alias: str, where=None, key: str = KEY)
 
 
 def build_report(scores: DataFrame, counts: DataFrame, api_counts: DataFrame, import_counts: DataFrame,
-                 metadata_map: DataFrame, facts: DataFrame, snippets: DataFrame, key: str = KEY) -> DataFrame:
+                 metadata_map: DataFrame, facts: DataFrame, snippets: DataFrame, key: str = KEY,
+                 attention: DataFrame | None = None, encoders: str = "hashed") -> DataFrame:
     """One report row per package.
 
     ``scores(package_id, probability, prediction, reasons)``; ``counts`` from A12.
     Lists are bounded (top 15 / 20, first 10 errors, first 5 snippets) and built
-    with windowed top-k before ``collect_list``.
+    with windowed top-k before ``collect_list``. With ``attention`` (fused mode) the report
+    also has ``mode``, ``encoders``, ``feature_matrix_shape`` and ``channel_attention``.
     """
     errs = R.first_n_per_group(facts.where(F.col("kind") == "error").select(key, "path", "seq", "value"), 10,
                                ["path", "seq"], key)
     errs = errs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_seq", "value"))),
                                              lambda x: x["value"]).alias("analysis_errors"))
-    snips = snippets.where(F.col("snippet_seq") <= 5).groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("snippet_seq", "text"))), lambda x: x["text"]).alias("snippets"))
+    snips = R.first_n_per_group(snippets.select(key, "path", "snippet_seq", "text"), 5, ["path", "snippet_seq"], key)
+    snips = snips.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("item_seq", "text"))), lambda x: x["text"]).alias("snippets"))
     rep = (scores.join(counts, key, "left")
                  .join(metadata_map, key, "left")
                  .join(_top_list(import_counts, 15, "top_imports"), key, "left")
                  .join(_top_list(import_counts, 20, "top_sensitive_imports", P.is_sensitive_import("name")), key, "left")
                  .join(_top_list(api_counts, 20, "top_sensitive_apis", P.is_sensitive_call("name")), key, "left")
                  .join(errs, key, "left").join(snips, key, "left"))
+    fused = []
+    if attention is not None:
+        rep = rep.join(attention.select(key, F.col("attention").alias("_att")), key, "left")
+        third = F.array(*[F.lit(1.0 / 3.0)] * len(vocab.VIEW_ORDER))
+        weights = F.coalesce("_att", third)
+        fused = [F.lit("fused").alias("mode"), F.lit(encoders).alias("encoders"),
+                 F.array(F.lit(len(vocab.VIEW_ORDER)), F.lit(vocab.EMBED_DIM)).alias("feature_matrix_shape"),
+                 F.create_map(*[x for i, v in enumerate(vocab.VIEW_ORDER) for x in (F.lit(v), N.round_prob(weights[i], 4))]).alias("channel_attention")]
     empty_list = F.array().cast("array<struct<name:string,cnt:bigint>>")
     return rep.select(
         F.col(key).alias("input"), "prediction",
@@ -50,7 +62,7 @@ def build_report(scores: DataFrame, counts: DataFrame, api_counts: DataFrame, im
         F.coalesce("top_sensitive_apis", empty_list).alias("top_sensitive_apis"),
         "reasons",
         F.coalesce("analysis_errors", F.array().cast("array<string>")).alias("analysis_errors"),
-        F.coalesce("snippets", F.array().cast("array<string>")).alias("snippets"))
+        F.coalesce("snippets", F.array().cast("array<string>")).alias("snippets"), *fused)
 
 
 def report_json(reports: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def logistic_score(features_long: DataFrame, weights: DataFrame, bias: float, ke
     checked before broadcast. Packages with no vocabulary feature score
     ``sigmoid(bias)`` when ``packages`` is given.
     """
-    w, _ = broadcast_if_small(weights.select("feature", "weight"))
+    w = broadcast_if_small(weights.select("feature", "weight"))
     dots = features_long.join(w, "feature").groupBy(key).agg(F.sum(F.col("weight") * F.col("value")).alias("_dot"))
     if packages is not None:
         dots = packages.select(key).distinct().join(dots, key, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import vocab
 from ..session import checkpoint
-from .joins import broadcast_if_small
+from .joins import DEFAULT_BROADCAST_BYTES
 
 KEY = "package_id"
 BIAS = "__bias__"
@@ -32,33 +32,31 @@ def label_packages(benign: DataFrame, malicious: DataFrame, key: str = KEY) -> D
 
 
 def gradient_descent(features_long: DataFrame, labels: DataFrame, epochs: int = vocab.LOGISTIC_EPOCHS,
-                     lr: float = vocab.LOGISTIC_LR, l2: float = vocab.LOGISTIC_L2, key: str = KEY,
-                     checkpoint_every: int = 5) -> DataFrame:
+                     lr: float = vocab.LOGISTIC_LR, l2: float = vocab.LOGISTIC_L2, key: str = KEY) -> DataFrame:
     """M10 (full-batch variant): ``w -= lr * (mean(err * x) + l2 * w)``, bias unregularised.
 
     Every epoch is one join of the sparse features with the (broadcast,
     vocabulary-bounded) weights, a per-package sum, and a per-feature sum of
-    ``err * x``. Starts from zero weights. Returns ``(feature, weight)`` with the
+    ``err * x``; the new weights are checkpointed, so the plan stays that of one
+    epoch. The features stay partitioned by package. Starts from zero weights. Returns ``(feature, weight)`` with the
     bias as feature ``__bias__``.
     """
     x = features_long.select(key, "feature", F.col("value").cast("double").alias("x")).where(F.col("x") != 0)
     lab = labels.select(key, F.col("label").cast("double").alias("y"))
     x = x.join(lab.select(key), key, "left_semi")
-    x = checkpoint(x.unionByName(lab.select(key, F.lit(BIAS).alias("feature"), F.lit(1.0).alias("x"))))
+    x = checkpoint(x.unionByName(lab.select(key, F.lit(BIAS).alias("feature"), F.lit(1.0).alias("x"))).repartition(key))
     n = float(lab.count())
     w = x.select("feature").distinct().withColumn("weight", F.lit(0.0))
     w = checkpoint(w)
-    n_vocab = w.count()
-    for epoch in range(1, epochs + 1):
-        wb, _ = broadcast_if_small(w, known_bound=n_vocab)
+    small = w.agg(F.sum(F.length("feature") + 40).alias("b")).first()["b"] <= DEFAULT_BROADCAST_BYTES  # the keys never change
+    for _ in range(epochs):
+        wb = F.broadcast(w) if small else w
         dots = x.join(wb, "feature").groupBy(key).agg(F.sum(F.col("x") * F.col("weight")).alias("z"))
         err = lab.join(dots, key, "left").select(key, (N.sigmoid(F.coalesce("z", F.lit(0.0))) - F.col("y")).alias("err"))
         grad = x.join(err, key).groupBy("feature").agg((F.sum(F.col("err") * F.col("x")) / F.lit(n)).alias("g"))
         reg = F.when(F.col("feature") == BIAS, F.lit(0.0)).otherwise(F.lit(l2) * F.col("weight"))
-        w = w.join(grad, "feature", "left").select(
-            "feature", (F.col("weight") - F.lit(lr) * (F.coalesce("g", F.lit(0.0)) + reg)).alias("weight"))
-        if epoch % checkpoint_every == 0 or epoch == epochs:
-            w = checkpoint(w)
+        w = checkpoint(w.join(grad, "feature", "left").select(
+            "feature", (F.col("weight") - F.lit(lr) * (F.coalesce("g", F.lit(0.0)) + reg)).alias("weight")))
     return w
 
 

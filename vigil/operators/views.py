@@ -41,9 +41,8 @@ def signed_hash_sparse(tokens: DataFrame, dim: int = vocab.EMBED_DIM, key: list[
 def densify(sparse: DataFrame, dim: int = vocab.EMBED_DIM, key: list[str] | None = None) -> DataFrame:
     """Sparse ``(keys..., dim, value)`` -> ``(keys..., vector ARRAY<DOUBLE>)`` of length ``dim``."""
     keys = key or [KEY, "view"]
-    m = sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
-    return m.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                       lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("vector"))
+    pairs = sparse.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_p"))
+    return pairs.select(*keys, T.dense("_p", "dim", "value", dim).alias("vector"))
 
 
 def text_tokens(pieces: DataFrame, view: str, key: str = KEY, text: str = "text") -> DataFrame:
@@ -59,19 +58,18 @@ def metadata_view_tokens(metadata: DataFrame, key: str = KEY) -> DataFrame:
     return text_tokens(lines, "metadata", key)
 
 
-def code_view_tokens(snippets: DataFrame, key: str = KEY, max_snippets: int = vocab.MAX_SNIPPETS) -> DataFrame:
-    """Code view text = first 80 snippets joined by blank lines -> their tokens."""
-    s = snippets.where(F.col("snippet_seq") <= max_snippets)
-    return text_tokens(s, "code", key)
+def code_view_tokens(snippets: DataFrame, key: str = KEY) -> DataFrame:
+    """Code view text = all snippets given, joined by blank lines -> their tokens."""
+    return text_tokens(snippets, "code", key)
 
 
 def graph_view_tokens(edges: DataFrame, key: str = KEY, pagerank: DataFrame | None = None,
-                      max_iter: int = vocab.PAGERANK_MAX_ITER) -> DataFrame:
+                      max_iter: int | None = None) -> DataFrame:
     """Node tokens repeated ``int(min(20, 1 + degree + 100 x pagerank))`` (+4 when the
     node name is a sensitive call) plus one ``src->dst`` token per distinct edge.
 
-    Packages whose PageRank did not converge within ``max_iter`` fall back to
-    edge tokens repeated ``min(weight, 5)``.
+    PageRank runs until every package has converged. With ``max_iter``, packages that
+    did not by then fall back to edge tokens repeated ``min(weight, 5)``.
     """
     deg = G.node_degrees(edges, key)
     pr = pagerank if pagerank is not None else G.pagerank(edges, key, max_iter=max_iter)

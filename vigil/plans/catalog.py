@@ -15,7 +15,7 @@ from ..functions import predicates as P
 from ..operators import counts as C
 from ..operators import graph as G
 from ..operators import ranking as R
-from ..operators.extract import extract_facts
+from ..operators.extract import extract_facts, fact_snippets
 from ..session import checkpoint
 from . import fixtures
 from . import sqlgen as S
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted facts of the events-derived corpus, checkpointed once per session."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FACTS_CACHE:
         units = fixtures.event_source_units(table(spark, sf_dir, "events"))
         _FACTS_CACHE[key] = checkpoint(extract_facts(units))
@@ -270,7 +270,7 @@ FROM documents d LEFT JOIN tot t ON d.doc_id = t.doc_id
 def q_entropy_docs(spark, sf_dir):
     """F2 on every document."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.round(T.shannon_entropy("text"), 6).alias("entropy"))
+    return d.select("doc_id", F.round(T.text_entropy("text"), 6).alias("entropy"))
 
 
 @register("top_words", f"""
@@ -299,13 +299,13 @@ c AS (SELECT doc_id, w, count(*) AS cnt, min(pos) AS fpos FROM t GROUP BY 1, 2),
 r AS (SELECT doc_id, w, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, fpos) AS rank FROM c)
 SELECT doc_id, 'code_hash_' || CAST({S.md5_bucket('w', vocab.HASH_BUCKETS)} AS VARCHAR) AS feature,
        round(sum(least(cnt, {vocab.WORD_CAP}) / {float(vocab.WORD_CAP)}), 6) AS value
-FROM r WHERE rank <= {vocab.WORD_TOPK} GROUP BY 1, 2
+FROM r GROUP BY 1, 2
 """)
 def q_hashed_words(spark, sf_dir):
-    """M2 + F1: top-500 words hashed into 128 buckets, sum of min(cnt,10)/10."""
+    """M2 + F1: all words hashed into 128 buckets, sum of min(cnt,10)/10."""
     d = table(spark, sf_dir, "documents")
     wc = FE.word_counts(d.select(F.col("doc_id").alias("package_id"), F.lit(0).alias("piece"), "text"))
-    h = FE.hashed_counts(wc, "code", vocab.WORD_TOPK, vocab.WORD_CAP)
+    h = FE.hashed_counts(wc, "code", None, vocab.WORD_CAP)
     return h.select(F.col("package_id").alias("doc_id"), "feature", F.round("value", 6).alias("value"))
 
 
@@ -398,8 +398,7 @@ def q_context_frame(spark, sf_dir):
 WITH {_DOC_LINES_SQL[1:]},
 calls AS (SELECT source AS package_id, CAST(doc_id AS VARCHAR) AS path, ln AS lineno FROM dl
           WHERE regexp_matches(lower(line), '{_KW_RE}')),
-sel AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY path, lineno) AS snippet_seq FROM calls),
-kept AS (SELECT * FROM sel WHERE snippet_seq <= {vocab.MAX_SNIPPETS})
+kept AS (SELECT *, row_number() OVER (PARTITION BY package_id, path ORDER BY lineno) AS snippet_seq FROM calls)
 SELECT package_id, snippet_seq, path, lineno,
        '# ' || path || ':' || CAST(lineno AS VARCHAR) || chr(10) || body AS text
 FROM (SELECT k.package_id, CAST(k.snippet_seq AS BIGINT) AS snippet_seq, k.path, CAST(k.lineno AS BIGINT) AS lineno,
@@ -410,7 +409,7 @@ FROM (SELECT k.package_id, CAST(k.snippet_seq AS BIGINT) AS snippet_seq, k.path,
 """)
 def q_context_snippets(spark, sf_dir):
     """J3 + A8: lines with a suspicious word act as sensitive calls (package = source,
-    file = doc_id); +-18-line snippets, first 80 per package."""
+    file = doc_id); +-18-line snippets, numbered within their file."""
     d = table(spark, sf_dir, "documents")
     units = d.select(F.col("source").alias("package_id"), F.col("doc_id").cast("string").alias("path"), "text")
     lines = units.select("package_id", "path", F.posexplode(T.split_lines("text")).alias("pos", "line"))
@@ -433,14 +432,13 @@ META_EMPTY_SCHEMA = "package_id string, field string, value string, source_prior
 
 def event_pipeline(spark, sf_dir) -> dict:
     """Features of the events-derived corpus (facts and snippets checkpointed)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PIPE_CACHE:
         facts = event_facts(spark, sf_dir)
-        units = event_units(spark, sf_dir)
         packages = facts.where(F.col("kind") == "file").select("package_id").distinct()
-        snippets = checkpoint(J.context_snippets(FE.sensitive_call_sites(facts), units))
+        snippets = checkpoint(fact_snippets(facts))
         metadata = spark.createDataFrame([], META_EMPTY_SCHEMA)
-        out = FE.build_features(facts, units, metadata, packages, snippets=snippets)
+        out = FE.build_features(facts, metadata, packages, snippets=snippets)
         out["named"] = checkpoint(out["named"])
         out["metadata"] = metadata
         out["packages"] = packages
@@ -448,8 +446,7 @@ def event_pipeline(spark, sf_dir) -> dict:
     return _PIPE_CACHE[key]
 
 
-_SNIP = fixtures.ORACLE_EVENT_SNIPPETS.format(sensitive=S.sensitive_call("api"), radius=vocab.SNIPPET_RADIUS,
-                                              cap=vocab.MAX_SNIPPETS)
+_SNIP = fixtures.ORACLE_EVENT_SNIPPETS.format(sensitive=S.sensitive_call("api"), radius=vocab.SNIPPET_RADIUS)
 
 _SNIPPET_FEATURES_CTE = f"""
 sagg AS (SELECT package_id, count(*) AS n, sum({S.keyword_occurrence_count('text')}) AS occ,
@@ -565,7 +562,7 @@ hashed AS (
                                  unnest(generate_series(1, len(regexp_extract_all(lower(text), '{vocab.WORD_PATTERN}')))) AS pos
                           FROM snips))
               GROUP BY 1, 2))
-  WHERE rk <= {vocab.WORD_TOPK} GROUP BY 1, 2)"""
+  GROUP BY 1, 2)"""
 
 
 @register("feature_long", f"""
@@ -721,18 +718,17 @@ k AS (SELECT split_part(rel, '/', 1) AS package_id, rel || '@' || CAST(page_id A
       WHERE ({' OR '.join(f"suffix(rel, '{s}')" for s in _EVEN)})
         AND NOT list_has_any(string_split(rel, '/')[1:len(string_split(rel, '/')) - 1], {list(vocab.SKIP_DIRS)})
         AND NOT len(list_filter(string_split(rel, '/')[1:len(string_split(rel, '/')) - 1], lambda d: starts_with(d, '.eggs'))) > 0)
-SELECT package_id, path, page_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY path) AS rn FROM k) WHERE rn <= 25
+SELECT package_id, path, page_id FROM k
 """)
 def q_path_filter(spark, sf_dir):
-    """S3 + S4 on URL paths: suffix filter, skipped directories, first 25 per language prefix."""
+    """S3 on URL paths: suffix filter and skipped directories."""
     from ..sources import files as SF
     p = table(spark, sf_dir, "pages")
     rel = F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1)
     u = p.select("page_id", rel.alias("rel")).where(SF.path_is_kept("rel", _EVEN))
     k = u.select(F.split("rel", "/").getItem(0).alias("package_id"),
                  F.concat("rel", F.lit("@"), F.col("page_id").cast("string")).alias("path"), "page_id")
-    return SF.cap_files(k, limit=25).select("package_id", "path", "page_id")
+    return SF.cap_files(k).select("package_id", "path", "page_id")
 
 
 # ------------------------------------------------------------ dictionary joins ---
@@ -955,7 +951,7 @@ from ..operators import report as RP  # noqa: E402
 def _doc_features(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     wc = FE.word_counts(d.select(F.col("doc_id").alias("package_id"), F.lit(0).alias("piece"), "text"))
-    return FE.hashed_counts(wc, "code", vocab.WORD_TOPK, vocab.WORD_CAP)
+    return FE.hashed_counts(wc, "code", None, vocab.WORD_CAP)
 
 
 def _doc_labels(spark, sf_dir):
@@ -972,7 +968,7 @@ c AS (SELECT doc_id, w, count(*) AS cnt, min(pos) AS fpos FROM t GROUP BY 1, 2),
 r AS (SELECT doc_id, w, cnt, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, fpos) AS rank FROM c),
 hw AS (SELECT doc_id, 'code_hash_' || CAST({S.md5_bucket('w', vocab.HASH_BUCKETS)} AS VARCHAR) AS feature,
               sum(least(cnt, {vocab.WORD_CAP}) / {float(vocab.WORD_CAP)}) AS value
-       FROM r WHERE rank <= {vocab.WORD_TOPK} GROUP BY 1, 2),
+       FROM r GROUP BY 1, 2),
 lab AS (SELECT l.doc_id, CAST(l.toxic AS DOUBLE) AS y FROM labels l WHERE l.doc_id IN (SELECT doc_id FROM documents))"""
 
 
@@ -1118,7 +1114,7 @@ def event_reports(spark, sf_dir):
     p = event_pipeline(spark, sf_dir)
     facts = event_facts(spark, sf_dir)
     scores = SC.heuristic_score(p["named"])
-    counts = C.evidence_counts(p["scalars"], p["totals"], p["graph"], p["snippet_stats"].select(
+    counts = C.evidence_counts(p["packages"], p["scalars"], p["totals"], p["graph"], p["snippet_stats"].select(
         "package_id", F.col("snippet_n").alias("snippet_count")))
     mm = MD.metadata_map(p["metadata"])
     return RP.build_report(scores, counts, p["api_counts"], p["import_counts"], mm, facts, p["snippets"])
@@ -1171,3 +1167,46 @@ def q_report_fields(spark, sf_dir):
                     fmt(F.col("top_imports")).alias("top_imports"),
                     fmt(F.col("top_sensitive_apis")).alias("top_sensitive_apis"),
                     F.array_join("reasons", "; ").alias("reasons"))
+
+
+@register("report_json", f"""
+{_RT_FEATURE_WITH},
+sc AS (SELECT package_id, {_RULE_SCORE} AS s FROM named)
+SELECT package_id AS input, CAST(json_object('input', package_id, 'prediction',
+       CASE WHEN {S.sigmoid('s - 2.2')} >= 0.5 THEN 'malicious' ELSE 'benign' END) AS VARCHAR) AS report
+FROM sc
+""")
+def q_report_json(spark, sf_dir):
+    """F16: reports as JSON documents (input and verdict of every package)."""
+    return RP.report_json(event_reports(spark, sf_dir).select("input", "prediction"))
+
+
+@register("rt_metadata", """
+WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (
+  SELECT k, 'name' AS field, CASE WHEN k % 2 = 1 AND k % 3 = 0 THEN 'other' ELSE c_name END AS value FROM c
+  UNION ALL SELECT k, 'home-page', 'none' FROM c WHERE k % 2 = 0
+  UNION ALL SELECT k, 'summary', 'First line ' || seg FROM c WHERE k % 2 = 0
+  UNION ALL SELECT k, 'description', CASE WHEN k % 2 = 0 THEN 'Body of ' || n_name ELSE 'Py ' || n_name END FROM c
+  UNION ALL SELECT k, 'author', n_name FROM c WHERE k % 3 = 0
+  UNION ALL SELECT k, 'license', '' FROM c WHERE k % 3 = 0
+  UNION ALL SELECT k, 'license', 'MIT' FROM c WHERE k % 3 <> 0
+  UNION ALL SELECT k, 'author-email', 'a' || CAST(k AS VARCHAR) || '@x.org' FROM c)
+SELECT 'c' || CAST(k AS VARCHAR) AS package_id, field, value FROM f
+""")
+def q_rt_metadata(spark, sf_dir):
+    """X9-X12 + A9: header, setup.cfg, pyproject.toml and setup.py texts made from customers, read and coalesced."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    texts = [
+        ("header", "x.egg-info/PKG-INFO", k % 2 == 0, F.format_string(
+            "Name: %s\nSummary: First\n  line %s\nHome-page: none\n\nBody  of\n%s\n", "c_name", "c_mktsegment", "n_name")),
+        ("setup.cfg", "setup.cfg", k % 3 == 0, F.format_string("[metadata]\nname = other\nauthor = %s\nlicense =\n[options]\nx = 1\n", "n_name")),
+        ("pyproject", "pyproject.toml", F.lit(True), F.format_string("[project]\nname = '%s'\nlicense = \"MIT\"\n", "c_name")),
+        ("setup.py", "setup.py", F.lit(True), F.format_string("import setuptools\nsetuptools.setup(author_email='a%d@x.org', description='Py %s', version=1)\n", "c_custkey", "n_name"))]
+    rows = None
+    for kind, path, which, text in texts:
+        own = c.where(which).select(F.concat(F.lit("c"), k.cast("string")).alias("package_id"), F.lit(path).alias("path"),
+                                    F.lit(kind).alias("kind"), text.alias("text"))
+        rows = own if rows is None else rows.unionByName(own)
+    return MD.coalesce_metadata(MD.extract_metadata(rows)).select("package_id", "field", "value")

@@ -19,38 +19,44 @@ from ..operators import report as RP
 from ..operators import scoring as SC
 from ..operators import training as TR
 from ..operators import views as V
-from ..operators.extract import extract_facts
+from ..operators.extract import extract_facts, fact_snippets
 from ..session import checkpoint
 from ..sources import files as S
 
 
-def analyze_corpus(package_files: DataFrame, hash: str = "md5", external_edges: DataFrame | None = None) -> dict:
-    """Facts, metadata and features of every package in ``package_files``."""
-    pf = package_files.where(F.col("path").isNotNull())
-    units = checkpoint(S.source_units(pf))
-    facts = checkpoint(extract_facts(units))
-    meta = checkpoint(MD.coalesce_metadata(MD.extract_metadata(MD.metadata_candidates(pf))))
-    packages = package_files.select("package_id").distinct()
+def analyze_corpus(package_files: DataFrame, hash: str = "md5", external_edges: DataFrame | None = None,
+                   block_counts: DataFrame | None = None, limits: dict | None = None) -> dict:
+    """Facts, metadata and features of every package in ``package_files``.
+
+    ``limits`` (all off by default) may set ``max_files``, ``max_bytes``, ``max_headers``, ``max_snippets``,
+    ``top_words``, ``top_apis`` and ``top_imports``; files left out by them are ``error`` facts.
+    """
+    lim = dict(limits or {})
+    facts = checkpoint(extract_facts(S.source_units(package_files, lim.get("max_files"), lim.get("max_bytes"))))
+    meta = checkpoint(MD.coalesce_metadata(MD.extract_metadata(MD.metadata_candidates(
+        package_files, max_headers=lim.get("max_headers"), max_files=lim.get("max_files"), max_bytes=lim.get("max_bytes")))))
+    packages = checkpoint(package_files.select("package_id").distinct())
     edges, extra = None, None
     if external_edges is not None:
         edges, extra = J.merge_external_edges(C.edge_weights(facts).select("package_id", "src", "dst", "weight"),
                                               external_edges)
-    snippets = checkpoint(J.context_snippets(FE.sensitive_call_sites(facts), units))
-    out = FE.build_features(facts, units, meta, packages, snippets=snippets, hash=hash,
-                            extra_api_counts=extra, edges=edges)
-    out.update({"facts": facts, "units": units, "metadata": meta, "packages": packages})
+    out = FE.build_features(facts, meta, packages, snippets=fact_snippets(facts, lim.get("max_snippets")), hash=hash,
+                            extra_api_counts=extra, edges=edges, block_counts=block_counts,
+                            **{k: lim.get(k) for k in ("top_words", "top_apis", "top_imports")})
+    out.update({"facts": facts, "metadata": meta, "packages": packages})
     return out
 
 
 def score_corpus(package_files: DataFrame, mode: str = "rules", model: DataFrame | None = None,
                  hash: str = "md5", threshold: float = vocab.VERDICT_THRESHOLD,
-                 external_edges: DataFrame | None = None, user_vectors: DataFrame | None = None) -> dict:
+                 external_edges: DataFrame | None = None, user_vectors: DataFrame | None = None,
+                 block_counts: DataFrame | None = None, limits: dict | None = None) -> dict:
     """Score every package. ``mode`` is ``rules``, ``logistic`` (needs ``model``,
     a ``(feature, weight)`` table with a ``__bias__`` row) or ``fused``.
 
     Returns the analysis dict plus ``scores`` and ``reports``.
     """
-    a = analyze_corpus(package_files, hash, external_edges)
+    a = analyze_corpus(package_files, hash, external_edges, block_counts, limits)
     named = a["named"]
     if mode == "rules":
         scores = SC.heuristic_score(named, threshold=threshold)
@@ -67,14 +73,15 @@ def score_corpus(package_files: DataFrame, mode: str = "rules", model: DataFrame
             views = J.override_vectors(views, user_vectors).drop("overridden")
         views = checkpoint(views)
         att = SC.channel_attention(views)
+        a["attention"] = att
         scores = SC.fused_score(named, att, threshold=threshold).select(
             "package_id", "probability", "prediction", "reasons", "attention")
         a["views"] = views
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    counts = C.evidence_counts(a["scalars"], a["totals"], a["graph"],
+    counts = C.evidence_counts(a["packages"], a["scalars"], a["totals"], a["graph"],
                                a["snippet_stats"].select("package_id", F.col("snippet_n").alias("snippet_count")))
     reports = RP.build_report(scores, counts, a["api_counts"], a["import_counts"], MD.metadata_map(a["metadata"]),
-                              a["facts"], a["snippets"])
+                              a["facts"], a["snippets"], attention=a.get("attention"))
     a.update({"scores": scores, "reports": reports})
     return a

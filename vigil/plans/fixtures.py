@@ -134,6 +134,5 @@ ORACLE_EVENT_SNIPPETS = """,
                  string_agg(l.line, chr(10) ORDER BY l.ln) AS body
           FROM scalls s JOIN lines l ON l.package_id = s.package_id AND l.path = s.path
                AND l.ln BETWEEN s.lineno - {radius} AND s.lineno + {radius}
-          WHERE s.snippet_seq <= {cap}
           GROUP BY 1, 2, 3, 4))
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +36,16 @@ def build_session(master: str | None = None, app: str = "vigil", shuffle_partiti
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_library(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when nothing is configured (local tests) a private folder is created.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that all executors
+    share; without it this raises. A private folder is made only for ``local``
+    masters (tests), whose tasks run on this machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,20 +55,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="vigil-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    A worker started without the package on its path could not import the functions it runs.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vigil_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="vigil-lib-"), "vigil_library.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    whole = os.path.join(folder, name)
+                    z.write(whole, os.path.join("vigil", os.path.relpath(whole, root)))
+    sc.addPyFile(path)
+    sc._vigil_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder: cuts lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back."""
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
