@@ -1210,3 +1210,24 @@ def q_rt_metadata(spark, sf_dir):
                                     F.lit(kind).alias("kind"), text.alias("text"))
         rows = own if rows is None else rows.unionByName(own)
     return MD.coalesce_metadata(MD.extract_metadata(rows)).select("package_id", "field", "value")
+
+
+@register("rt_input_errors", f"""
+WITH {OK}
+SELECT package_id, CAST(count(*) FILTER (WHERE event_type <> 'error') AS BIGINT) AS python_files,
+       CAST(count(*) FILTER (WHERE event_type <> 'error' AND broken) AS BIGINT) AS parse_errors,
+       CAST(count(*) FILTER (WHERE event_type = 'error' OR broken) AS BIGINT) AS analysis_errors,
+       coalesce(string_agg(path || ': unreadable', '; ' ORDER BY path) FILTER (WHERE event_type = 'error'), '') AS input_errors
+FROM files GROUP BY 1
+""")
+def q_rt_input_errors(spark, sf_dir):
+    """S5 + X1: files as bytes, of which those of one kind can't be read: errors, not parsed files."""
+    from ..sources import files as SF
+    files = fixtures.event_package_files(table(spark, sf_dir, "events"))
+    lost = F.col("path").startswith("error_")
+    files = files.withColumn("content", F.when(~lost, F.col("content"))).withColumn("error", F.when(lost, F.lit("unreadable")))
+    facts = checkpoint(extract_facts(SF.source_units(files)))
+    counts = C.package_scalars(facts).select("package_id", *[F.col(c).cast("bigint").alias(c) for c in ("python_files", "parse_errors", "analysis_errors")])
+    errors = (facts.where((F.col("kind") == "error") & (F.col("name") == "input")).groupBy("package_id")
+              .agg(F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("input_errors")))
+    return counts.join(errors, "package_id", "left").withColumn("input_errors", F.coalesce("input_errors", F.lit("")))
