@@ -44,7 +44,7 @@ def test_model_round_trip(spark):
     fw, meta = load_model(spark, path)
     assert sorted((r["feature"], r["weight"]) for r in fw.collect()) == [("__bias__", -0.5), ("a", 1.0), ("b", 2.0)]
     m = meta.first()
-    assert (m["bias"], m["threshold"]) == (-0.5, 0.5)
+    assert (m["bias"], m["threshold"], m["hash"]) == (-0.5, 0.5, "md5")
 
 
 def test_report_json(spark, tmp_path):

@@ -50,7 +50,8 @@ def analyze_corpus(package_files: DataFrame, hash: str = "md5", external_edges:
 def score_corpus(package_files: DataFrame, mode: str = "rules", model: DataFrame | None = None,
                  hash: str = "md5", threshold: float = vocab.VERDICT_THRESHOLD,
                  external_edges: DataFrame | None = None, user_vectors: DataFrame | None = None,
-                 block_counts: DataFrame | None = None, limits: dict | None = None) -> dict:
+                 block_counts: DataFrame | None = None, limits: dict | None = None,
+                 model_hash: str | None = None) -> dict:
     """Score every package. ``mode`` is ``rules``, ``logistic`` (needs ``model``,
     a ``(feature, weight)`` table with a ``__bias__`` row) or ``fused``.
 
@@ -63,6 +64,8 @@ def score_corpus(package_files: DataFrame, mode: str = "rules", model: DataFrame
     elif mode == "logistic":
         if model is None:
             raise ValueError("logistic mode needs a model")
+        if model_hash is not None and model_hash != hash:
+            raise ValueError(f"the model's buckets are by {model_hash}, the features by {hash}")
         weights, bias_df = TR.split_model(model)
         bias = bias_df.first()["bias"] if bias_df.count() else 0.0
         ls = SC.logistic_score(a["long"], weights, bias, packages=a["packages"], threshold=threshold)

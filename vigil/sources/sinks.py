@@ -16,8 +16,8 @@ from ..operators.training import BIAS
 
 
 def save_model(weights: DataFrame, path: str, threshold: float = vocab.VERDICT_THRESHOLD,
-               mode: str = "overwrite") -> None:
-    """``(feature, weight)`` with a ``__bias__`` row -> one JSON model document."""
+               mode: str = "overwrite", hash: str = "md5") -> None:
+    """``(feature, weight)`` with a ``__bias__`` row -> one JSON model document, with the ``hash`` of its bucket names."""
     row = weights.agg(
         F.array_sort(F.collect_list(F.when(F.col("feature") != BIAS, F.struct("feature", "weight")))).alias("fw"),
         F.max(F.when(F.col("feature") == BIAS, F.col("weight"))).alias("bias"))
@@ -25,16 +25,18 @@ def save_model(weights: DataFrame, path: str, threshold: float = vocab.VERDICT_T
                      F.transform("fw", lambda x: x["feature"]).alias("vocabulary"),
                      F.transform("fw", lambda x: x["weight"]).alias("weights"),
                      F.coalesce("bias", F.lit(0.0)).alias("bias"),
-                     F.lit(float(threshold)).alias("threshold"))
+                     F.lit(float(threshold)).alias("threshold"), F.lit(hash).alias("hash"))
     doc.coalesce(1).write.mode(mode).json(path)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Model file -> (``(feature, weight)`` incl. ``__bias__`` row, one-row ``(bias, threshold)``).
+    """Model file -> (``(feature, weight)`` incl. ``__bias__`` row, one-row ``(bias, threshold, hash)``).
 
-    A missing threshold defaults to 0.5.
+    A missing threshold defaults to 0.5, a missing hash to ``blake2b``, that of the original models.
     """
     m = spark.read.json(path)
+    if "hash" not in m.columns:
+        m = m.withColumn("hash", F.lit("blake2b"))
     if "threshold" not in m.columns:
         m = m.withColumn("threshold", F.lit(vocab.VERDICT_THRESHOLD))
     fw = m.select(F.explode(F.arrays_zip(F.col("vocabulary").alias("feature"),
@@ -42,4 +44,4 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
           .select(F.col("z.feature").alias("feature"), F.col("z.weight").cast("double").alias("weight"))
     bias = m.select(F.lit(BIAS).alias("feature"), F.col("bias").cast("double").alias("weight"))
     return fw.unionByName(bias), m.select(F.col("bias").cast("double").alias("bias"),
-                                          F.col("threshold").cast("double").alias("threshold"))
+                                          F.col("threshold").cast("double").alias("threshold"), "hash")
