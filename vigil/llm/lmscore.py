@@ -23,6 +23,8 @@ Blocks and ranges are bounded, and there are never more rows than keys.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import groups, partitions_for, written
 from .wordspans import flat, lowered, parts, scrambled, words_of
 
-BLOCK_BYTES, RANGE_BYTES = 24 << 20, 24 << 20
+BLOCK_BYTES, RANGE_BYTES = 12 << 20, 24 << 20
 BUCKETS, STEPS, ROUNDS = 40, 16, 60
 NONE = 255  # the bucket of a context that training rows don't have
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -67,7 +69,7 @@ def _cut(kind, keys, first, second, block, ranges):
     edges = np.concatenate([[0], edges, [len(keys)]])
     for r, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
         if hi > lo:
-            yield (kind, r, block, keys[lo:hi].tobytes(), first[lo:hi].astype(np.uint32).tobytes(), second[lo:hi].astype(np.uint32).tobytes(), None, None)
+            yield (kind, r, block, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(first[lo:hi].astype(np.uint32)), _pack(second[lo:hi].astype(np.uint32)), None, None)
 
 
 def _batch(rows):
@@ -76,13 +78,14 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "range", "block", "keys", "first", "second", "ids", "roles"])
 
 
-def _planes(ids):
-    """Numbers below 2 ** 32 byte by byte, low bytes first: the high ones compress to nothing."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: the high ones compress to nothing."""
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
 
 
-def _unplanes(data):
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _unpack(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _blocks(rows: DataFrame, ranges: int, streams: bool) -> DataFrame:
@@ -105,7 +108,10 @@ def _blocks(rows: DataFrame, ranges: int, streams: bool) -> DataFrame:
                 keys, at = np.unique(token, return_inverse=True)
                 if streams:
                     ids = part.column("row_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                    yield _batch([("s", 0, block, keys.tobytes(), _planes(at), np.diff(words.first).astype(np.int64).tobytes(), ids.tobytes(), role.tobytes())])
+                    often = np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")  # frequent words get small numbers
+                    number = np.empty(len(keys), np.uint32)
+                    number[often] = np.arange(len(keys), dtype=np.uint32)
+                    yield _batch([("s", 0, block, keys[often].tobytes(), _pack(number[at]), np.diff(words.first).astype(np.int64).tobytes(), ids.tobytes(), role.tobytes())])
                     block += 1
                     continue
                 count = lambda at, n, which: np.bincount(at[own == which], minlength=n)
@@ -125,17 +131,19 @@ def _counted(requests: DataFrame, parts_: int) -> DataFrame:
         for where, table in groups(batches, "where"):
             kind = where.partition(":")[0]
             rows = table.select(["range", "block", "keys", "first", "second"]).to_pylist()
-            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+            keys = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
             every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = [np.bincount(at, np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]), len(every)).astype(np.int64) for c in ("first", "second")]
+            totals = [np.bincount(at, np.concatenate([_unpack(r[c], np.uint32) for r in rows]), len(every)).astype(np.int64) for c in ("first", "second")]
             edges = np.cumsum([0, *map(len, keys)])
+            out = []
             for r, lo, hi in zip(rows, edges[:-1], edges[1:]):
-                both = [t[at[lo:hi]].astype(np.uint32).tobytes() for t in totals]
-                yield _batch([(kind, r["range"], r["block"], None, *both, None, None)])
+                both = [_pack(t[at[lo:hi]].astype(np.uint32)) for t in totals]
+                out.append((kind, r["range"], r["block"], None, *both, None, None))
             if kind == "u":
                 real = every != START
                 all_, some = (totals[0] + totals[1])[real], totals[0][real]
-                yield _batch([("n", 0, -1, np.array([all_.sum(), (all_ > 0).sum(), some.sum(), (some > 0).sum()], np.int64).tobytes(), *[None] * 4)])
+                out.append(("n", 0, -1, np.array([all_.sum(), (all_ > 0).sum(), some.sum(), (some > 0).sum()], np.int64).tobytes(), *[None] * 4))
+            yield _batch(out)
 
     named = requests.withColumn("where", F.concat_ws(":", "kind", "range"))
     return named.repartition(parts_, "where").sortWithinPartitions("where").mapInArrow(run, _ROW)
@@ -152,23 +160,29 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int) -> DataFrame:
             if r["kind"] == "s":
                 stream = r
             else:
-                by[r["kind"]].append((r["range"], np.frombuffer(r["first"], np.uint32), np.frombuffer(r["second"], np.uint32)))
-        keys, at = np.frombuffer(stream["keys"], np.uint64), _unplanes(stream["first"])
+                by[r["kind"]].append((r["range"], _unpack(r["first"], np.uint32), _unpack(r["second"], np.uint32)))
+        given = np.frombuffer(stream["keys"], np.uint64)
+        order = np.argsort(given)
+        keys, place_of = given[order], np.empty(len(given), np.int32)
+        place_of[order] = np.arange(len(given), dtype=np.int32)
+        at = place_of[_unpack(stream["first"], np.uint32)]
         length, ids, role = np.frombuffer(stream["second"], np.int64), np.frombuffer(stream["ids"], np.int64), np.frombuffer(stream["roles"], np.int8)
         token = keys[at]
         begin = np.concatenate([[0], np.cumsum(length + 1)])
         _, pair = np.unique(_pairs(_contexts(token, begin[:-1], START), token), return_inverse=True)
         place = int(np.searchsorted(keys, START))
-        context = _contexts(at.astype(np.int64) + (at >= place), begin[:-1], place)
-        at = at + (at >= place)
+        del token
+        at = at + (at >= place).astype(np.int32)
+        context = _contexts(at, begin[:-1], place)
         counts = {k: [np.concatenate([x[i] for x in sorted(v, key=lambda x: x[0])]).astype(np.float64) for i in (1, 2)] for k, v in by.items()}
+        by.clear()
         if len(counts["u"][0]) != len(keys) + 1 or len(counts["b"][0]) != pair.max(initial=-1) + 1:
             raise ValueError("the two passes saw different batches: write the rows to a table first")
 
         def ratios(u, b):
             """Buckets of the contexts, and c(h, w) / (c(h) * (c(w) + 0.5)), which the denominator N + 0.5 (V + 1) makes the ratio of the estimates."""
             ch = u[context]
-            bucket = np.where(ch > 0, np.minimum(np.log2(np.maximum(ch, 1)).astype(np.int64), BUCKETS - 1), NONE)
+            bucket = np.where(ch > 0, np.minimum(np.log2(np.maximum(ch, 1)), BUCKETS - 1), NONE).astype(np.uint8)
             return bucket, np.where(ch > 0, b[pair] / (np.maximum(ch, 1) * (u[at] + 0.5)), 0)
 
         all_u = counts["u"][0] + counts["u"][1]
@@ -179,14 +193,17 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int) -> DataFrame:
             own, r = bucket[lo:hi], ratio[lo:hi]
             seen = r > 0
             unseen = np.bincount(own[~seen & (own != NONE)], minlength=BUCKETS).astype(np.uint32)
-            data = unseen.tobytes() + own[seen].astype(np.uint8).tobytes() + r[seen].astype(np.float32).tobytes()
+            # ratios to 16 bits of the mantissa, by rounding the fourth byte of a float
+            r = (r[seen].astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+            data = unseen.tobytes() + _pack(r | own[seen].astype(np.uint32) << np.uint32(24))
             out.append(("d", int(ids[i]), int(role[i]), int(hi - lo), int(known[lo:hi].sum()), float(logs[lo:hi].sum()), data))
         chosen = np.repeat(role, length + 1) == WEIGHTS
         if chosen.any():
             bucket, ratio = ratios(counts["u"][0], counts["b"][0])
             use = chosen & (bucket != NONE)
             level = np.where(ratio[use] > 0, np.round(np.log2(np.maximum(ratio[use], 1e-300)) * STEPS), -(1 << 20)).astype(np.int64)
-            cells, n = np.unique(np.stack([bucket[use], level]), axis=1, return_counts=True)
+            cell, n = np.unique(bucket[use].astype(np.int64) << 32 | (level + (1 << 24)), return_counts=True)
+            cells = np.stack([cell >> 32, (cell & ((1 << 32) - 1)) - (1 << 24)])
             out.append(("h", None, None, None, None, None, np.concatenate([cells, n[None]]).astype(np.int64).tobytes()))
         return out
 
@@ -252,9 +269,8 @@ def log_scores(docs: DataFrame, fold: str = "fold", total_bytes: int | None = No
             for data in batch.column("data"):
                 raw = data.as_buffer()
                 unseen = np.frombuffer(raw, np.uint32, BUCKETS)
-                n = (len(raw) - 4 * BUCKETS) // 5
-                bucket = np.frombuffer(raw, np.uint8, n, 4 * BUCKETS)
-                ratio = np.frombuffer(bytes(raw[4 * BUCKETS + n:]), np.float32).astype(float)
+                seen = _unpack(bytes(raw[4 * BUCKETS:]), np.uint32)
+                bucket, ratio = seen >> np.uint32(24), (seen << np.uint32(8)).view(np.float32).astype(float)
                 more.append(np.log10(keep[bucket] + change[bucket] * ratio * denominator).sum() + (unseen * np.log10(keep[:BUCKETS])).sum())
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(batch.column("role").to_numpy() == HELD_OUT), batch.column("n_tokens"), batch.column("n_known"),
                                               pa.array(np.full(batch.num_rows, tokens, np.int64)), pa.array(base), pa.array(base + np.array(more, float))],
