@@ -2,7 +2,7 @@
 
 A *window* is ``span`` consecutive words of a benchmark item (an item with fewer
 words, but not none, is one shorter window). Both sides are fingerprinted: with
-k-grams of ``k`` words, ``span - k + 1`` consecutive k-grams lie in a window, and
+k-grams of ``k`` words (3 for windows of 10), ``span - k + 1`` consecutive k-grams lie in a window, and
 the one with the least hash (the last of equals) is kept. Equal windows keep the
 k-gram at the same place, so joining fingerprints and comparing the words around
 each hit finds every shared window and no other.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
 #: Window starts in a block; with the overlap below 2 ** POS_BITS words.
 BLOCK, POS_BITS = 1024, 11
@@ -30,7 +31,7 @@ _LOW = (1 << POS_BITS) - 1
 
 def words_of(text: Column) -> Column:
     """The words of a text (null: none), A-Z in lower case."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), NOT_WORD), ""), F.array().cast("array<string>"))
 
 
 def let(value: Column, use) -> Column:
@@ -43,20 +44,24 @@ def fingerprints(words: Column, span: int) -> Column:
 
     The high bits hold the hash, the low ones ``_LOW - place``, so that of equal hashes the last is least.
     """
-    k = (span + 1) // 2
+    width = 1 << max(span - 2, 1).bit_length() - 1  # neighbouring k-grams: a power of two, so that minima come by doubling
+    k = span - width + 1
 
     def grams(w):
-        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
                            .bitwiseAND(F.lit(~_LOW)).bitwiseOR((F.lit(_LOW) - i).cast("bigint")))
 
     def minima(g):
-        width = span - k + 1
-        return F.transform(F.sequence(F.lit(0), F.size(g) - width), lambda s: F.array_min(F.slice(g, s + 1, width)))
+        low, step = g, 1
+        while step < width:
+            low, step = _with_later(low, step), 2 * step
+        return let(low, lambda m: F.slice(m, 1, F.size(m) - (width - 1)))
 
-    def changes(m):
-        return F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
+    def _with_later(values, step):
+        return let(values, lambda v: F.zip_with(v, F.slice(v, step + 1, F.size(v)), lambda x, y: F.least(x, y)))
 
-    return let(words, lambda w: F.when(F.size(w) >= span, let(grams(w), lambda g: let(minima(g), changes))))
+    # the place of the minimum never goes back, so each change of it is one distinct value
+    return let(words, lambda w: F.when(F.size(w) >= span, let(grams(w), lambda g: F.array_distinct(minima(g)))))
 
 
 def _fingerprinted(df: DataFrame, words: str, span: int) -> DataFrame:
@@ -132,7 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     rows = docs.drop(*made).withColumns({
         "__key": F.md5(F.coalesce("text", F.lit(""))),
-        "n_words": F.coalesce(F.regexp_count("text", F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("bigint")})
+        "n_words": F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), NOT_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), "")).cast("bigint")})
     ids = F.coalesce("__ids", F.array().cast("array<string>"))
     return (rows.join(found, "__key", "left").withColumns({
         "n_hit": F.coalesce("__hit", F.lit(0)).cast("bigint"), "n_items": F.size(ids).cast("bigint"),
