@@ -5,11 +5,11 @@ bytes exactly if every neighbouring pair ``(s, t)`` is *stable*: the merges turn
 the bytes of ``s + t`` into ``[s, t]``. So each prefix of a piece has one last
 token, and reading left to right one needs the last tokens of only those earlier
 places at which a longer vocabulary entry may still begin. A state of the
-transducer is that pending stretch: the token before it, its bytes, and the last
-token of each of its prefixes. Where all places at which a later token can begin
+transducer is that pending stretch: the token before it, its bytes, the last token
+of each of its prefixes and the places still open. Where all places at which a later token can begin
 lead back to one place, the tokens before it are sure and are emitted: the
 lookahead is bounded by the longest entry. States and transitions are made when
-first met (:class:`Encoder`) and dropped all together beyond ``max_states``.
+first met (:class:`Encoder`) and dropped together beyond ``max_states``.
 
 Decoding. Token bytes go through a state machine over UTF-8 lead and
 continuation bytes (:class:`Utf8Stream`), which passes on characters as soon as
@@ -24,15 +24,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import extended
+from .wordspans import parts
 
-MAX_STATES = 200_000
+MAX_STATES = 120_000
 #: Pieces whose encodings a worker remembers.
-MAX_PIECES = 300_000
+MAX_PIECES = 400_000
 
 
 def read_ranks(lines) -> dict[bytes, int]:
@@ -40,78 +42,118 @@ def read_ranks(lines) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class _State:
+    """One state: the token before the pending bytes, these bytes, the last token of each of their prefixes, and the
+    places among them at which a later token may still begin; ``moves`` are the transitions made so far."""
+
+    __slots__ = ("before", "pending", "lasts", "live", "moves")
+
+    def __init__(self, before, pending, lasts, live):
+        self.before, self.pending, self.lasts, self.live, self.moves = before, pending, lasts, live, {}
+
+
 class Encoder:
     """The transducer of one vocabulary. ``encode`` takes the bytes of one piece."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.length = {v: len(k) for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.longest = max(map(len, ranks))
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.states: dict[tuple, dict] = {}
-        self.start = (None, b"", ())
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges themselves, least rank first and leftmost of equals: for pairs of tokens only."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            found = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
-            if not found:
-                break
-            _, i = min(found)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.stable_pairs: dict[tuple[int | None, int], bool] = {}
+        self._forget()
+
+    def _forget(self):
+        """Drop all states; moves still held lead to states that are no longer shared, which is harmless."""
+        self.states: dict[tuple, _State] = {}
+        self.start = _State(None, b"", (), (0,))
+
+    def halved(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``t``, None for a single byte (or a token that merges never make)."""
+        if t not in self.halves:
+            whole = self.bytes_of[t]
+            parts = [whole[i:i + 1] for i in range(len(whole))]
+            while len(parts) > 2:
+                found = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
+                if not found or min(found)[0] >= t:
+                    break
+                _, i = min(found)
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            self.halves[t] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[t]
 
     def stable(self, s: int | None, t: int) -> bool:
+        """Whether merges leave the neighbours ``s`` and ``t`` apart.
+
+        Taking the two tokens' last merges back, the latest first, shows the tokens that met at the border at each
+        moment. The pair falls if at some moment those two would have merged before the next merge that took place;
+        of equal ranks the left place goes first.
+        """
         if s is None:
-            return self.merged_alone(t)
+            return self.length[t] == 1 or self.halved(t) is not None
         known = self.stable_pairs.get((s, t))
-        if known is None:
-            if len(self.stable_pairs) > 4 * self.max_states:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[s, t] = self.merged(self.bytes_of[s] + self.bytes_of[t]) == [s, t]
-        return known
-
-    def merged_alone(self, t: int) -> bool:
-        known = self.stable_pairs.get((-1, t))
-        if known is None:
-            known = self.stable_pairs[-1, t] = self.merged(self.bytes_of[t]) == [t]
+        if known is not None:
+            return known
+        left, right, before = s, t, None  # before: (rank, side) of the merge just taken back; the left side goes first
+        known = True
+        while True:
+            meeting = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if meeting is not None and (before is None or (meeting, 1) < before):
+                known = False
+                break
+            undo_left, undo_right = self.halved(left), self.halved(right)
+            if undo_left and (not undo_right or left > right):
+                before, left = (left, 0), undo_left[1]
+            elif undo_right:
+                before, right = (right, 2), undo_right[0]
+            else:
+                break
+        if len(self.stable_pairs) > 4 * self.max_states:
+            self.stable_pairs.clear()
+        self.stable_pairs[s, t] = known
         return known
 
-    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The state after one more byte, and the tokens that are sure by then."""
-        before, pending, lasts = state
-        pending += bytes((byte,))
-        n = len(pending)
-        last = None
-        for start in range(max(0, n - self.longest), n):
-            t = self.ranks.get(pending[start:])
-            if t is not None and self.stable(lasts[start - 1] if start else before, t):
-                last = t
-                break
+        pending, lasts, before = state.pending + bytes((byte,)), state.lasts, state.before
+        last, live = None, []
+        for start in state.live:  # a token that ends here began where one could
+            tail = pending[start:]
+            if last is None:
+                t = self.ranks.get(tail)
+                if t is not None and self.stable(lasts[start - 1] if start else before, t):
+                    last = t
+            if tail in self.prefixes:
+                live.append(start)
         lasts += (last,)
-        # the chain of every place where a later token may begin; all of them meet at `sure`
-        chains = []
-        for j in range(n + 1):
-            if (j == n or pending[j:] in self.prefixes) and (j == 0 or lasts[j - 1] is not None):
-                places, at = [j], j
-                while at:
-                    at -= len(self.bytes_of[lasts[at - 1]])
-                    places.append(at)
-                chains.append(places)
-        common = set(chains[0]).intersection(*map(set, chains[1:])) if chains else {0}
-        sure, out, at = max(common), [], max(common)
-        while at:
-            out.append(lasts[at - 1])
-            at -= len(self.bytes_of[lasts[at - 1]])
+        n = len(pending)
+        if last is not None:
+            live.append(n)
+        sure, out, length = live[0], [], self.length
+        for place in live[1:]:  # the farthest place that all places in `live` lead back to
+            while place != sure:
+                if place > sure:
+                    place -= length[lasts[place - 1]]
+                else:
+                    sure -= length[lasts[sure - 1]]
         if sure:
-            before, pending, lasts = lasts[sure - 1], pending[sure:], lasts[sure:]
-            cut = []
-            for i, t in enumerate(lasts):  # prefixes whose last token began before `sure` can't be reached any more
-                cut.append(t if t is not None and len(self.bytes_of[t]) <= i + 1 else None)
-            lasts = tuple(cut)
-        return (before, pending, lasts), tuple(reversed(out))
+            at = sure
+            while at:
+                out.append(lasts[at - 1])
+                at -= length[lasts[at - 1]]
+            before, pending = lasts[sure - 1], pending[sure:]
+            lasts = tuple([t if t is not None and length[t] <= i else None for i, t in enumerate(lasts[sure:], 1)])
+            live = [x - sure for x in live]
+        if live[0]:
+            before = None  # no later token begins where it would matter
+        key = (before, pending, lasts)
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) > self.max_states:
+                self._forget()
+            found = self.states[key] = _State(before, pending, lasts, tuple(live))
+        return found, tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -119,19 +161,16 @@ class Encoder:
             return [whole]
         out, state = [], self.start
         for byte in piece:
-            if len(self.states) > self.max_states:
-                self.states.clear()
-            moves = self.states.setdefault(state, {})
-            move = moves.get(byte)
+            move = state.moves.get(byte)
             if move is None:
-                move = moves[byte] = self.step(state, byte)
+                move = state.moves[byte] = self.step(state, byte)
             state, sure = move
-            out += sure
-        _, pending, lasts = state
-        rest, at = [], len(pending)
+            if sure:
+                out += sure
+        rest, at, lasts = [], len(state.pending), state.lasts
         while at:
             rest.append(lasts[at - 1])
-            at -= len(self.bytes_of[lasts[at - 1]])
+            at -= self.length[lasts[at - 1]]
         return out + rest[::-1]
 
 
@@ -195,15 +234,19 @@ class Pieces:
     """Remembers, for pieces met, what ``make`` gives for their ids and the bytes decoded from these."""
 
     def __init__(self, enc: Encoder, make):
-        self.enc, self.make, self.known = enc, make, {}
+        self.enc, self.make, self.known, self.older = enc, make, {}, {}
 
     def __call__(self, piece: str):
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= MAX_PIECES:
-                self.known.clear()
-            ids = self.enc.encode(piece.encode("utf-8"))
-            found = self.known[piece] = self.make(ids, "".join(decode_stream(ids, self.enc.bytes_of)))
+            if len(self.known) >= MAX_PIECES // 2:
+                self.known, self.older = {}, self.known
+            found = self.older.get(piece)
+            if found is None:
+                ids = self.enc.encode(piece.encode("utf-8"))
+                text = "".join(decode_stream(ids, self.enc.bytes_of))
+                found = self.make(ids, piece if text == piece else text)  # one copy of equal strings is enough
+            self.known[piece] = found
         return found
 
 
@@ -218,17 +261,18 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     names = schema.names
 
     def run(batches):
-        pieces, split = Pieces(encoder(ranks_path), lambda ids, s: (ids, s)), regex.compile(pattern)
+        pieces, split = Pieces(encoder(ranks_path), lambda ids, s: (np.array(ids, np.int32).tobytes(), s)), regex.compile(pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                ids, texts = [], []
+            for lo, hi in parts(batch.column(text), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                ids, texts, ends = [], [], [0]
                 for value in part.column(text).to_pylist():
                     found = [pieces(m) for m in split.findall(value or "")]
-                    ids.append([i for x, _ in found for i in x])
-                    texts.append("".join(s for _, s in found))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())],
-                                                 names=names)
+                    ids.append(b"".join([x for x, _ in found]))
+                    ends.append(ends[-1] + len(ids[-1]) // 4)
+                    texts.append("".join([s for _, s in found]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
 
     return keep.mapInArrow(run, schema)
 
@@ -236,7 +280,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
 def token_digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids_sha256 and decoded_sha256 of every text, without shipping the ids."""
     def run(batches):
-        made = Pieces(encoder(ranks_path), lambda ids, s: (len(ids), "".join(f",{i}" for i in ids).encode(), s.encode("utf-8")))
+        made = Pieces(encoder(ranks_path), lambda ids, s: (len(ids), "".join(f",{i}" for i in ids).encode(), s))
         split = regex.compile(pattern)
         for batch in batches:
             rows = []
@@ -257,7 +301,7 @@ def token_digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_
         if held:
             numbers = b"".join(x[1] for x in held)
             ids.update(numbers[1:] if first else numbers)
-            out.update(b"".join(x[2] for x in held))
+            out.update("".join(x[2] for x in held).encode("utf-8"))
             n, first = n + sum(x[0] for x in held), False
             held.clear()
         return n, first
