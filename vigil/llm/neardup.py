@@ -4,7 +4,7 @@
    are one *class*; a class carries ``TOKENS`` minwise tokens of its set.
 2. Each of ``TREES`` independent trees puts a class into the node of its own
    minwise token: a pair of similarity J shares the node with probability J, so
-   all trees miss it with probability (1 - J) ** TREES (under 2e-5 at 0.85).
+   all trees miss it with probability (1 - J) ** TREES (under 8e-5 at 0.85).
 3. Nodes of at most ``NODE`` classes are compared exhaustively on full sets.
    Larger ones are first cut into chunks, each compared exhaustively; classes
    linked by then count as one, which settles tight groups. Large nodes that still
@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, groups, partitions_for, written
+from .common import bitmap, extended, maybe_in, partitions_for, written
 from .components import components
 from .wordspans import flat, grams, lowered, parts, scrambled, words_of
 
 SHINGLE, PERCENT = 5, 85
-TREES, LEVELS, BRANCHES = 6, 4, 2
+TREES, LEVELS, BRANCHES = 5, 4, 2
 TOKENS = TREES + LEVELS * BRANCHES
 #: The most classes, and shingles of all of them, that are compared exhaustively at once.
-NODE, NODE_SHINGLES = 1024, 1 << 20
+NODE, NODE_SHINGLES = 4096, 4 << 20
 _BINS, _MARGIN = 64, 0.25
 _PERM = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64) | np.uint64(1)
 
@@ -95,6 +95,8 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
     n = len(sets)
     size = np.array([len(s) for s in sets])
     root = np.arange(n)
+    if n == 2 and 100 * size.min() < PERCENT * size.max():
+        return root
 
     def find(i):
         while root[i] != i:
@@ -109,6 +111,8 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
         both = int((large[at] == small).sum())
         return 100 * both >= PERCENT * (size[i] + size[j] - both)
 
+    if n == 2:
+        return np.array([0, 0]) if similar(0, 1) else root
     # A sketch by least hash in each of 64 stretches of the hash range orders the pairs and rules out those far below.
     sketch = np.zeros((n, _BINS), np.uint64)
     edges = (np.arange(_BINS, dtype=np.uint64) << np.uint64(58))
@@ -135,16 +139,31 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
 def compare(rows: DataFrame, parts_: int) -> DataFrame:
     """Links (a, b) that join what is connected within each node, from rows (node, cid, text)."""
     def run(batches):
-        for _, table in groups(batches, "node"):
-            cids = table.column("cid").to_pylist()
-            order = sorted({c: i for i, c in enumerate(cids)}.items())
-            if len(order) < 2:
-                continue
-            texts = table.column("text").combine_chunks()
-            texts = texts.take(pa.array([i for _, i in order]))
-            root = _linked(shingle_sets(texts))
-            pairs = [(order[i][0], order[r][0]) for i, r in enumerate(root) if r != i]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())], names=["a", "b"])
+        node, own, pairs = None, {}, []
+
+        def finish():
+            if len(own) > 1:
+                cids = sorted(own)
+                root = _linked([own[c] for c in cids])
+                pairs.extend((cids[i], cids[r]) for i, r in enumerate(root) if r != i)
+
+        def given():
+            out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())], names=["a", "b"])
+            pairs.clear()
+            return out
+
+        for batch in batches:
+            for lo, hi in parts(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                for n, c, s in zip(part.column("node").to_pylist(), part.column("cid").to_pylist(), shingle_sets(part.column("text"))):
+                    if n != node:
+                        finish()
+                        node, own = n, {}
+                    own[c] = s
+                if len(pairs) > 10_000:
+                    yield given()
+        finish()
+        yield given()
 
     return (rows.select("node", "cid", "text").repartition(parts_, "node").sortWithinPartitions("node").mapInArrow(run, "a string, b string"))
 
@@ -153,7 +172,9 @@ def _with_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFr
     """(node, cid, text) for (node, cid): the text of each class's first row, sent once for each of its nodes."""
     wanted = nodes.groupBy("cid").agg(F.collect_set("node").alias("nodes")).join(classes.select("cid", "first_id", "text_key"), "cid")
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    return (rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("text_key")))
+    wanted = written(wanted, "wanted")
+    near = maybe_in(rows, "key", bitmap(wanted, "text_key"))  # most texts are wanted nowhere, and stay where they are
+    return (near.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("text_key")))
             .select(F.explode("nodes").alias("node"), "cid", "text"))
 
 
