@@ -64,6 +64,22 @@ def test_against_brute_force(spark, monkeypatch, node, levels):
     assert sorted(map(tuple, got), key=str) == want
 
 
+def test_pairs_in_large_nodes(spark, monkeypatch):
+    """Pairs around a hot passage, with nothing but large nodes: what falls apart in one tree stays together in another."""
+    for name, value in {"NODE": 30, "LEVELS": 1, "BRANCHES": 1}.items():
+        monkeypatch.setattr(neardup, name, value)
+    rows = []
+    for seed in range(120):
+        rng = random.Random(seed)
+        hot = [f"hot{i}" for i in range(114)]
+        own = [f"w{rng.randrange(1 << 40)}" for _ in range(12)]
+        changed = own[:3] + [f"w{rng.randrange(1 << 40)}" for _ in range(9)]
+        rows += [(2 * seed, " ".join(hot + own)), (2 * seed + 1, " ".join(hot + changed))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert [k for k in got if got[k] != k - k % 2] == []
+
+
 def test_empty_and_components(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.near_duplicates(empty).count() == 0

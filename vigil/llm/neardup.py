@@ -1,19 +1,24 @@
 """Near-duplicates by a chosen-path set similarity join over word shingles.
 
 1. Every text becomes its set of 64-bit shingle hashes. Texts with the same set
-   are one *class*; a class carries ``TOKENS`` minwise tokens of its set.
+   are one *class*; a class carries ``TREES`` minwise tokens of its set.
 2. Each of ``TREES`` independent trees puts a class into the node of its own
-   minwise token: a pair of similarity J shares the node with probability J, so
-   all trees miss it with probability (1 - J) ** TREES (under 8e-5 at 0.85).
+   minwise token: a pair of similarity J shares the node with probability J.
 3. Nodes of at most ``NODE`` classes are compared exhaustively on full sets.
    Larger ones are first cut into chunks, each compared exhaustively; classes
    linked by then count as one, which settles tight groups. Large nodes that still
    hold several components branch on further minwise tokens, two for each node,
-   level by level, and nodes with one component left are dropped. What is still
-   large after ``LEVELS`` levels is compared in blocks: all classes outside the
-   node's largest component against all classes, exactly.
+   level by level, and nodes with one component left are dropped. The tokens of a
+   node are drawn from its path, so neither trees nor branches share any. What is
+   still large after ``LEVELS`` levels is compared in blocks: all classes outside
+   the node's largest component against all classes, exactly.
 4. Links make components, by alternating stars.
 
+A pair falls apart below a node with probability q' = (1 - J + J q) ** BRANCHES, q
+being that of the level below (0 at the last). All trees miss it with probability
+(1 - J (1 - q)) ** TREES at most, when every node it is in is large (``missed``):
+3.0e-5 at 0.85. Where no node is large, q is 0 and that is 1.1e-5.
+
 Comparison in a node needs no more links than join its classes: pairs that are
 already connected there are skipped, so a node returns fewer links than classes.
 Texts are shipped only to nodes of two classes and more.
@@ -31,12 +36,19 @@ from .components import components
 from .wordspans import flat, grams, lowered, parts, scrambled, words_of
 
 SHINGLE, PERCENT = 5, 85
-TREES, LEVELS, BRANCHES = 5, 4, 2
-TOKENS = TREES + LEVELS * BRANCHES
+TREES, LEVELS, BRANCHES = 6, 4, 2
 #: The most classes, and shingles of all of them, that are compared exhaustively at once.
 NODE, NODE_SHINGLES = 4096, 4 << 20
 _BINS, _MARGIN = 64, 0.25
-_PERM = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64) | np.uint64(1)
+_PERM = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, (2, 16), dtype=np.uint64) | np.uint64(1)
+
+
+def missed(similarity: float, trees: int) -> float:
+    """The most probable it gets that all trees miss a pair of this similarity."""
+    apart = 0.0
+    for _ in range(LEVELS):
+        apart = (1 - similarity * (1 - apart)) ** BRANCHES
+    return (1 - similarity * (1 - apart)) ** trees
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -64,16 +76,24 @@ def _digests(sets: list[np.ndarray]) -> list[str]:
 
 def _tokens(sets: list[np.ndarray]) -> np.ndarray:
     """The minwise tokens of each set, one column for each permutation; of empty sets 0."""
-    out = np.zeros((len(sets), TOKENS), np.uint64)
+    out = np.zeros((len(sets), TREES), np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         every = np.concatenate([sets[i] for i in full])
         first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-        for k in range(TOKENS):
+        for k in range(TREES):
             out[full, k] = np.minimum.reduceat((every ^ _PERM[0, k]) * _PERM[1, k], first)
     return out.view(np.int64)
 
 
+def _children(own: np.ndarray, path: int) -> list[int]:
+    """The nodes below ``path`` that a set goes to, by the least of its hashes under permutations drawn from the path."""
+    out = []
+    for key in scrambled(np.array([path], np.int64).view(np.uint64) + np.arange(1, BRANCHES + 1, dtype=np.uint64) * _PERM[1, 0]):
+        out.append(int(scrambled(key + scrambled(own ^ key).min(keepdims=True)).view(np.int64)[0]))
+    return out
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (MD5), cid (digest of the set), n_shingles and tokens of every row."""
     def run(batches):
@@ -81,7 +101,7 @@ def described(docs: DataFrame) -> DataFrame:
             for lo, hi in parts(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 sets = shingle_sets(part.column("text"))
-                tokens = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * TOKENS, TOKENS, dtype=np.int32), _tokens(sets).reshape(-1))
+                tokens = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * TREES, TREES, dtype=np.int32), _tokens(sets).reshape(-1))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(_digests(sets)),
                                                   pa.array([len(s) for s in sets], pa.int64()), tokens],
                                                  names=["doc_id", "text_key", "cid", "n_shingles", "tokens"])
@@ -168,14 +188,36 @@ def compare(rows: DataFrame, parts_: int) -> DataFrame:
     return (rows.select("node", "cid", "text").repartition(parts_, "node").sortWithinPartitions("node").mapInArrow(run, "a string, b string"))
 
 
-def _with_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, cid, text) for (node, cid): the text of each class's first row, sent once for each of its nodes."""
+def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(nodes, cid, text) for (node, cid): the text of each class's first row, with the list of its nodes."""
     wanted = nodes.groupBy("cid").agg(F.collect_set("node").alias("nodes")).join(classes.select("cid", "first_id", "text_key"), "cid")
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     wanted = written(wanted, "wanted")
     near = maybe_in(rows, "key", bitmap(wanted, "text_key"))  # most texts are wanted nowhere, and stay where they are
     return (near.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("text_key")))
-            .select(F.explode("nodes").alias("node"), "cid", "text"))
+            .select("nodes", "cid", "text"))
+
+
+def _with_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, cid, text) for (node, cid): the text is sent once for each node."""
+    return _texts_of(docs, classes, nodes).select(F.explode("nodes").alias("node"), "cid", "text")
+
+
+def _branched(docs: DataFrame, classes: DataFrame, level: DataFrame) -> DataFrame:
+    """(path, cid, n_shingles) of the nodes below those of ``level`` (path, cid)."""
+    def run(batches):
+        for batch in batches:
+            for lo, hi in parts(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                rows = []
+                for nodes, c, own in zip(part.column("nodes").to_pylist(), part.column("cid").to_pylist(), shingle_sets(part.column("text"))):
+                    rows += [(child, c, len(own)) for path in nodes for child in _children(own, path)]
+                paths, cids, sizes = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), pa.array(cids, pa.string()), pa.array(sizes, pa.int64())],
+                                                 names=["path", "cid", "n_shingles"])
+
+    rows = _texts_of(docs, classes, level.select(F.col("path").alias("node"), "cid"))
+    return rows.mapInArrow(run, "path long, cid string, n_shingles long").distinct()
 
 
 def find_components(docs: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +229,7 @@ def find_components(docs: DataFrame, rows: DataFrame | None = None) -> tuple[Dat
     spark = docs.sparkSession
     total = classes.agg(F.sum("n_shingles").alias("s")).first()["s"] or 0
     parts_ = partitions_for(spark, TREES * total, 8 << 20)
-    trees = classes.select("cid", "n_shingles", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
+    trees = classes.select("cid", "n_shingles", F.posexplode("tokens").alias("tree", "token"))
     sized = _sized(trees.select(F.xxhash64("tree", "token").alias("path"), "cid", "n_shingles"))
     sized = written(sized, "nodes")
     chunk = F.pmod(F.xxhash64("cid", "path"), F.col("pieces"))
@@ -223,10 +265,7 @@ def _rest(docs, classes, large, links, parts_):
         level = sized.where("pieces > 1")
         if depth == LEVELS or level.isEmpty():
             break
-        at = TREES + depth * BRANCHES
-        level = (level.join(classes.select("cid", "tokens"), "cid")
-                 .select("path", "cid", "n_shingles", F.posexplode(F.slice("tokens", at + 1, BRANCHES)).alias("branch", "token"))
-                 .select(F.xxhash64("path", "branch", "token").alias("path"), "cid", "n_shingles"))
+        level = written(_branched(docs, classes, level), "branches")
     else:
         return _union(found)
     if not level.isEmpty():
