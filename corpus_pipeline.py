@@ -4,8 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 (doc_id, text, lang, source, n_chars). Each works on all that the one before kept, on whole texts. Stages that call
 counts or joins over the corpus count what they are given, not the first table.
 
-Nulls and ties: a document without text fails the quality rules; of near-copies the least doc_id stays (of rows with
-that same doc_id the least text digest, of equal rows one); an empty table goes through as an empty table; columns that
+Nulls and ties: a document without text fails the quality rules; of near-copies the least doc_id stays, null
+last (of rows with that same doc_id the least text digest, of equal rows one); documents that are no near-copies all
+stay, also under one doc_id or none; an empty table goes through as an empty table; columns that
 ``documents`` has besides the five are carried along.
 """
 
@@ -30,27 +31,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies."""
-    found = written(neardup.near_duplicates(docs), "near")
-    kept = found.where("n_shingles > 0 and kept")
-    gone = found.where("n_shingles > 0 and not kept").select("doc_id", "text_key").unionByName(_second_rows(kept)).distinct()
-    again = kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
-    marks = (gone.withColumn("__mark", F.lit("gone")).unionByName(again.join(gone, ["doc_id", "text_key"], "left_anti").withColumn("__mark", F.lit("again")))
-             .withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}))
+    found = written(neardup.near_duplicates(docs), "near").where("n_shingles > 0")
+    # a root is a component; doc_ids are not, as rows may share one or have none
+    first = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+             .select(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))
+    rows = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    mark = F.when(F.col("first_key").isNull(), "gone").when(F.col("n") > 1, "again")
+    marks = written(rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")), "left")
+                    .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), mark.alias("__mark")).where("__mark is not null"), "marks")
     left = (docs.withColumn("__text_key", F.md5(F.coalesce("text", F.lit(""))))
             .join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"))
     out = left.where("__mark is null")
-    if not again.isEmpty():  # rows met twice, of which one stays
+    if not marks.where("__mark = 'again'").isEmpty():  # rows met twice, of which one stays
         out = out.unionByName(left.where("__mark = 'again'").dropDuplicates(["doc_id", "__text_key"]))
     return out.select(*docs.columns)
 
 
-def _second_rows(kept: DataFrame) -> DataFrame:
-    """Of rows that share the least doc_id of a component but not the text, all but the least text digest."""
-    first = kept.groupBy("component_id").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).where("least != most")
-    return (kept.join(first, kept["component_id"].eqNullSafe(first["component_id"])).where(F.col("text_key") != F.col("least"))
-            .select("doc_id", "text_key"))
-
-
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks that an earlier document has; n_chars is that of the new text."""
     out = chunkdedup.deduplicate(docs)

@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on a small corpus."""
 
+import hashlib
 import random
 
 import public_tokenizers
@@ -74,3 +75,15 @@ def test_stages(spark, folder):
     for k, t in before:
         assert got[k]["token_ids"] == enc.encode_ordinary(t) and got[k]["n_tokens"] == len(got[k]["token_ids"]) and got[k]["round_trip"]
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.run(spark, d).collect()) == sorted(str(r["doc_id"]) for r in after)
+
+
+def test_near_dedup_goes_by_component(spark):
+    """Unrelated texts stay, under no doc_id or under one; near-copies go, whatever their doc_ids."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    a, b, c, d, e = (say(60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, b + " end"), (7, c), (7, d), (7, d), (8, d + " end"), (None, c), (9, e), (9, e + " end"), (None, None), (5, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    first = lambda *texts: min(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted(got, key=str) == sorted([(None, a), (None, first(b, b + " end")), (7, c), (7, d), (9, first(e, e + " end")), (None, None), (5, "")], key=str)

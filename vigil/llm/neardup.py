@@ -294,8 +294,9 @@ def _union(frames):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, text_key, n_shingles, root, component_id and kept for every row of ``docs`` (doc_id, text).
 
+    root names the row's component, whatever its doc_ids are; it is null for texts without words.
     component_id is the least doc_id of the row's component, kept whether it is the row's own. Texts without words
     (or null) are linked with nothing. Rows with the same doc_id are separate rows, which share what their texts give.
     A null doc_id is never the least unless all of its component are null; then component_id is null and kept is true.
@@ -304,8 +305,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = (rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
              .join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = named.join(first, "root").select("cid", "component_id")
+    of_class = named.join(first, "root").select("cid", "root", "component_id")
     return (rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid"))
             .join(of_class, "cid", "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-            .select("doc_id", "text_key", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept")))
+            .select("doc_id", "text_key", "n_shingles", "root", "component_id", F.expr("doc_id <=> component_id").alias("kept")))
