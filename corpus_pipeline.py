@@ -21,6 +21,7 @@ from vigil.llm.common import table, written
 from vigil.llm.decontamination import contamination
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+NEAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies."""
-    found = written(neardup.near_duplicates(docs), "near").where("n_shingles > 0")
+    """One document of each group of near-copies, which share ``NEAR`` % of their shingles."""
+    found = written(neardup.near_duplicates(docs, NEAR), "near").where("n_shingles > 0")
     # a root is a component; doc_ids are not, as rows may share one or have none
     first = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
              .select(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")))

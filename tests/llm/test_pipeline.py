@@ -11,7 +11,7 @@ import corpus_pipeline
 from tests.llm.test_decontamination import brute as windows
 from tests.llm.test_neardup import brute as components
 from tests.llm.test_quality import base
-from vigil.llm import bpe, quality
+from vigil.llm import bpe, neardup, quality
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,13 @@ def test_near_dedup_goes_by_component(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     first = lambda *texts: min(texts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
     assert sorted(got, key=str) == sorted([(None, a), (None, first(b, b + " end")), (7, c), (7, d), (9, first(e, e + " end")), (None, None), (5, "")], key=str)
+
+
+def test_near_dedup_links_at_80_percent(spark):
+    """A pair at 0.82 is one in the pipeline, and two for op10; one at 0.78 is two in both."""
+    rng = random.Random(6)
+    words = [[f"w{rng.randrange(1 << 30)}" for _ in range(104)] for _ in range(2)]  # 100 shingles, of which the last n are changed
+    texts = [(2 * i + j, " ".join(w if j == 0 else w[:104 - n] + [f"x{k}" for k in range(n)])) for i, (w, n) in enumerate(zip(words, (10, 12))) for j in range(2)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2, 3]
+    assert neardup.near_duplicates(df, 85).where("kept").count() == 4

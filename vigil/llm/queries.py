@@ -65,7 +65,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_near_duplicates")
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at 85 % of their five-word shingles; not SQL at this size: tested against brute force."""
-    out = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
