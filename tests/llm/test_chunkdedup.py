@@ -76,3 +76,20 @@ def test_later_copies_go(spark):
     for r in got:
         assert r["n_bytes"] - r["n_removed"] == len((r["text"] or "").encode())
     assert cd.deduplicate(df.limit(0)).count() == 0
+
+
+def test_passages_of_just_over_fifty_words_go_whole(spark):
+    """In every later document, wherever the cuts fall; over many seeds."""
+    rows, left = [], {}
+    for seed in range(300):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+        words = lambda n: " ".join(word() for _ in range(n))
+        passage = words(51)
+        for i in range(3):
+            around = words(40), words(40)
+            rows.append((3 * seed + i, around[0] + "\n" + passage + "\n" + around[1]))
+            left[3 * seed + i] = rows[-1][1] if i == 0 else around[0] + around[1]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["text"].replace("\n", "") for r in cd.deduplicate(df).collect()}
+    assert [k for k in left if got[k] != left[k].replace("\n", "")] == []

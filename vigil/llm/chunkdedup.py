@@ -9,10 +9,14 @@ twice that on average; without a cut they end after ``LONGEST`` bytes.
 
 Chunks are known by digest. The first chunk of a digest (by doc_id, text digest,
 place) stays, later ones go if they lie in a stretch of neighbouring later copies
-of at least ``MIN_RUN`` bytes; shorter repeats are common phrases.
-
-The map side emits (digest, place); counts are pre-aggregated, and only digests
-met twice are joined back, so no group is ever gathered.
+of at least ``MIN_RUN`` bytes; shorter repeats are common phrases. Cuts near the ends
+of a passage depend on what stands around it, so a stretch is first made longer, byte
+by byte up to ``EXTEND`` at either end and to whole words, as far as its text goes on
+like that of the first copies.
+
+Hashes of all chunks are counted first; a bitmap of those met twice thins the chunks
+that are sent with their place and surroundings. Digests are pre-aggregated, and only
+those met twice are joined back, so no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import bitmap, extended, maybe_in, written
 from .wordspans import SPACE, flat, parts
 
-REACH, LONGEST, MIN_RUN, SNAP = 32, 4096, 96, 48
+REACH, LONGEST, MIN_RUN, SNAP, EXTEND = 16, 4096, 96, 48, 128
 _WINDOW = 16
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GEAR[255] = 0  # never a byte of UTF-8: it stands between texts
@@ -56,7 +60,7 @@ def chunks(column: pa.Array) -> list[np.ndarray]:
     """For every text of a column the borders of its chunks: 0, ..., length in bytes (one border if it is empty)."""
     data, offsets = flat(column)
     length = np.diff(offsets)
-    gap = REACH + _WINDOW
+    gap = max(REACH + _WINDOW, SNAP)  # no cut moves on to the next text
     begin = offsets[:-1] - offsets[0] + gap * np.arange(1, len(length) + 1)
     padded = np.full(int(length.sum()) + gap * (len(length) + 1), 255, np.uint8)
     row = np.repeat(np.arange(len(length)), length)
@@ -85,24 +89,63 @@ def chunks(column: pa.Array) -> list[np.ndarray]:
 
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, seq) of every chunk."""
+    """(digest, doc_id, text_key, seq, before, after) of every chunk; before is what precedes it, backwards."""
     def run(batches):
         for batch in batches:
             for lo, hi in parts(batch.column("text"), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 data, offsets = flat(part.column("text"))
                 borders = chunks(part.column("text"))
-                digests, seq = [], []
+                digests, seq, before, after = [], [], [], []
                 for o, own in zip(offsets[:-1], borders):
                     whole = data[o:o + own[-1]].tobytes()
                     at = own.tolist()
                     digests += [hashlib.blake2b(whole[a:z], digest_size=16).digest() for a, z in zip(at[:-1], at[1:])]
+                    before += [whole[max(0, a - EXTEND):a][::-1] for a in at[:-1]]
+                    after += [whole[z:z + EXTEND] for z in at[1:]]
                     seq.append(np.arange(len(own) - 1, dtype=np.int32))
                 row = pa.array(np.repeat(np.arange(hi - lo), [len(s) for s in seq]))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), part.column("doc_id").take(row), part.column("text_key").take(row),
-                                                  pa.array(np.concatenate(seq))], names=["digest", "doc_id", "text_key", "seq"])
+                                                  pa.array(np.concatenate(seq)), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                                                 names=["digest", "doc_id", "text_key", "seq", "before", "after"])
+
+    return docs.mapInArrow(run, f"digest binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, seq int, before binary, after binary")
+
+
+def _chunk_hashes(docs: DataFrame) -> DataFrame:
+    """A 64-bit hash of every chunk, the first half of its digest."""
+    def run(batches):
+        for batch in batches:
+            for lo, hi in parts(batch.column("text"), 1 << 20):
+                column = batch.column("text").slice(lo, hi - lo)
+                data, offsets = flat(column)
+                digests = []
+                for o, own in zip(offsets[:-1], chunks(column)):
+                    whole = data[o:o + own[-1]].tobytes()
+                    at = own.tolist()
+                    digests += [hashlib.blake2b(whole[a:z], digest_size=16).digest()[:8] for a, z in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(digests), ">i8").astype(np.int64))], names=["hash"])
+
+    return docs.select("text").mapInArrow(run, "hash long")
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """``rows`` with back and fore, the number of bytes that before and after have in common with those of the other copy."""
+    def common(a, b):
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        return next(i for i in range(n) if a[i] != b[i])
 
-    return docs.mapInArrow(run, f"digest binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, seq int")
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("before", "other_before", "after", "other_after")]
+            counts = [(common(a, b), common(c, d)) for a, b, c, d in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([c[0] for c in counts], pa.int32()), pa.array([c[1] for c in counts], pa.int32())],
+                                             names=[*names, "back", "fore"])
+
+    names = ["doc_id", "text_key", "seq", "later"]
+    return rows.mapInArrow(run, extended(rows.select(*names), {"back": "int", "fore": "int"}))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -115,11 +158,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     made = {"n_bytes": "long", "n_chunks": "long", "n_repeated": "long", "n_removed": "long", "n_spans": "long"}
     rows = docs.drop(*made, "text_key").withColumn("text_key", F.xxhash64("text"))
     narrow = rows.select("doc_id", "text_key", "text")
+    again = written(_chunk_hashes(narrow).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
+    chunk = _chunk_rows(narrow).withColumn("hash", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
+    twice = written(maybe_in(chunk, "hash", bitmap(again, "hash")).drop("hash"), "chunks")
     place = F.struct("doc_id", "text_key", "seq")
-    repeated = (_chunk_rows(narrow).groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi")
-                .select("digest", "lo"))
-    found = (_chunk_rows(narrow).join(repeated, "digest")
-             .select("doc_id", "text_key", (F.col("seq") * 2 + F.when(place == F.col("lo"), 0).otherwise(1)).alias("mark"))
+    full = F.struct(place.alias("place"), "before", "after")
+    repeated = twice.groupBy("digest").agg(F.min(full).alias("lo"), F.max(full).alias("hi")).where("lo.place != hi.place")
+    joined = twice.join(repeated, "digest").withColumn("later", place != F.col("lo.place"))
+    other = F.when(F.col("later"), F.col("lo")).otherwise(F.col("hi"))
+    found = (_alike(joined.select("doc_id", "text_key", "seq", "later", "before", "after", other["before"].alias("other_before"), other["after"].alias("other_after")))
+             .select("doc_id", "text_key", F.struct("seq", "later", "back", "fore").alias("mark"))
              .groupBy("doc_id", "text_key").agg(F.collect_set("mark").alias("__marks"))
              .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__marks"))
     keep = rows.drop("text_key")
@@ -144,23 +192,38 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def _applied(whole: bytes, borders: np.ndarray, marks) -> tuple[bytes, tuple[int, ...]]:
-    """The text without its later copies, and its counts. ``marks``: 2 * chunk, plus 1 if it is a later copy."""
+    """The text without its later copies, and its counts. ``marks``: seq of a repeated chunk, whether it is a later copy, back and fore."""
     n = len(borders) - 1
     repeated, later = np.zeros(n, bool), np.zeros(n, bool)
+    back, fore = [0] * n, [0] * n
     for m in marks:
-        repeated[m >> 1] = True
-        later[m >> 1] |= bool(m & 1)
-    size = np.diff(borders)
-
-    def long_runs(flags):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-        kept = flags.copy()
+        i = m["seq"]
+        repeated[i] = True
+        later[i] |= m["later"]
+        back[i], fore[i] = max(back[i], m["back"]), max(fore[i], m["fore"])
+    at = borders.tolist()
+
+    def stretches(flags):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))).tolist()
+        out = []
         for a, z in zip(edge[::2], edge[1::2]):
-            if borders[z] - borders[a] < MIN_RUN:
-                kept[a:z] = False
-        return kept
-
-    repeated, gone = long_runs(repeated), long_runs(later)
-    spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
-    kept = whole if not spans else b"".join(whole[borders[i]:borders[i + 1]] for i in np.flatnonzero(~gone))
-    return kept, (len(whole), n, int(size[repeated].sum()), int(size[gone].sum()), spans)
+            lo, hi = at[a] - back[a], at[z] + fore[z - 1]
+            while lo < at[a] and not (lo == 0 or SPACE[whole[lo - 1]]):
+                lo += 1
+            while hi > at[z] and not (hi == len(whole) or SPACE[whole[hi]] or SPACE[whole[hi - 1]]):
+                hi -= 1
+            if hi - lo < MIN_RUN:
+                continue
+            if out and lo <= out[-1][1]:
+                out[-1][1] = max(hi, out[-1][1])
+            else:
+                out.append([lo, hi])
+        return out
+
+    gone = stretches(later)
+    kept, end = [], 0
+    for lo, hi in gone:
+        kept.append(whole[end:lo])
+        end = hi
+    kept.append(whole[end:])
+    return b"".join(kept), (len(whole), n, sum(z - a for a, z in stretches(repeated)), sum(z - a for a, z in gone), len(gone))
