@@ -50,3 +50,17 @@ def test_against_brute_force(spark, monkeypatch, hot):
     got = sd.removed(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     assert sd.removed(df.limit(0)).count() == 0
+
+
+def test_exact_copies_send_their_contexts_once(spark, monkeypatch):
+    """However many copies of a text there are, a context to compare goes to its trigger once."""
+    rng = random.Random(9)
+    copy = say(rng, 900)
+    rows = [(i, copy) for i in range(40)] + [(50, copy[:450] + "!" + copy[450:]), (51, copy[:300] + say(rng, 90) + copy[300:500])]
+    sent = []
+    compared = sd._compared
+    monkeypatch.setattr(sd, "_compared", lambda rows, n: (sent.extend(r["context"] for r in rows.select("context").collect()), compared(rows, n))[1])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sd.removed(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sent and len(sent) == len(set(sent))

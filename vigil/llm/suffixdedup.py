@@ -230,7 +230,9 @@ def covered(docs: DataFrame) -> DataFrame:
              .select("trigger", (F.col("c") > HOT).alias("hot")))
     asked = written(classes.join(open_, "trigger").groupBy("key", "size").agg(
         F.collect_list(F.struct("trigger", "context", "n", "at", "hot")).alias("asked")), "asked")
-    near = maybe_in(rows, "key", bitmap(asked, "key")).join(asked, ["key", "size"])
+    # of exact copies one is enough: a context's bytes are asked of one text
+    one = maybe_in(rows, "key", bitmap(asked, "key")).groupBy("key", "size").agg(F.first("text").alias("text"))
+    near = written(one.join(asked, ["key", "size"]), "near")
     total = asked.agg(F.sum(F.size("asked")).alias("n")).first()["n"]
     cool = _compared(_context_bytes(near.withColumn("asked", F.filter("asked", lambda x: ~x["hot"]))), partitions_for(spark, total, 50_000))
     extents = cool
