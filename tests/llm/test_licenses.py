@@ -1,6 +1,8 @@
 """Licence scans: spelling, punctuation and copyright lines don't matter, anything else does."""
 
+import pkgutil
 import re
+import textwrap
 
 from vigil.llm import licenses
 
@@ -31,3 +33,19 @@ def test_scan(spark):
     assert want[1][1] == "MIT" and want[2][1] == "" and want[3][3] == 2
     assert licenses.scan(df.limit(0)).count() == 0
     assert licenses.scan(df, [("own", "x" * 200000)]).where("license_id = 'own'").count() == 1
+
+
+def test_published_wrappings(spark):
+    """Every licence as it is published: with its title, a copyright statement, and lines that go on with ``copyright``."""
+    full = dict(reversed(licenses.KNOWN[:6]))
+    isc = full["ISC"].replace("the above copyright", "the above\ncopyright")
+    rows = [("ISC", "ISC License\n\nCopyright (c) 2021, A. Person\n\n" + isc)]
+    for name, title in {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License",
+                        "BSD-3-Clause": "BSD 3-Clause License"}.items():
+        for width in (65, 70, 72, 76, 78, 79, 80):
+            body = "\n\n".join(textwrap.fill(x, width, subsequent_indent="   " if x[:1].isdigit() else "") for x in full[name].split("\n\n"))
+            rows += [(name, f"{title}\n\nCopyright (c) 2021, A. Person\n\n{body}\n"), (name, body)]
+    rows += [(name, pkgutil.get_data("vigil.llm", f"license_texts/{file}.txt").decode()) for name, file in getattr(licenses, "FILES", {}).items()]
+    rows += [("Unlicense", licenses._UNLICENSE), ("Zlib", "zlib License\n\n(C) 1995 Some One\n\n" + licenses._ZLIB)]
+    df = spark.createDataFrame(rows, "want string, text string")
+    assert [(r["want"], r["text"][:200]) for r in licenses.scan(df).where("license_id is null or license_id != want").collect()] == []

@@ -13,6 +13,10 @@ most ``MAX_KNOWN`` texts).
 
 from __future__ import annotations
 
+import pkgutil
+import re
+import textwrap
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +74,53 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+_ZLIB = ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+         "arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial "
+         "applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not "
+         "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+         "product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be "
+         "misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.")
+_UNLICENSE = ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or "
+              "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+              "means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+              "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+              "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+              "under copyright law.\n\n" + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") +
+              "\n\nFor more information, please refer to <https://unlicense.org/>")
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+          "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+          "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "Zlib": ["zlib License", "The zlib/libpng License"],
+          "Unlicense": ["The Unlicense"]}
+#: Licences published as files, which stand in ``license_texts`` as they are.
+FILES = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1",
+         "LGPL-3.0-only": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+
+
+def _wrapped(text: str) -> list[str]:
+    """The text in lines of 60 to 100 places, once for each set of words that copyright lines leave of it.
+
+    A line that begins with ``copyright`` goes, also where it only goes on with a sentence.
+    """
+    out = {}
+    for width in range(60, 101):
+        for indent in ("", "  ", "   ", "    "):
+            lines = "\n\n".join(textwrap.fill(x, width, subsequent_indent=indent) for x in text.split("\n\n"))
+            out.setdefault(re.sub(NOT_WORD, " ", re.sub(COPYRIGHT_LINE, " ", lines.lower())), lines)
+    return list(out.values())
+
+
+def _published() -> list[tuple[str, str]]:
+    """Full texts in their usual wrappings, numbered or with stars, with and without a title; and licences published as files."""
+    out = []
+    for name, text in [*[x for x in KNOWN[:6] if not x[1].startswith("MIT License")], ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE)]:
+        for form in dict.fromkeys([text, re.sub(r"(?m)^[123]\. ", "* ", text)]):
+            for lines in _wrapped(form):
+                out += [(name, title + lines) for title in ["", *(f"{t}\n\n" for t in TITLES[name])]]
+    return out + [(name, pkgutil.get_data(__package__, f"license_texts/{file}.txt").decode()) for name, file in FILES.items()]
+
+
+KNOWN += [x for x in _published() if x not in KNOWN]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text (null: empty)."""
