@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that no column of ``df`` begins with."""
+    own = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in own):
+        name += "_"
+    return name
+
+
 def partitions_for(spark: SparkSession, total: int, each: int) -> int:
     """Number of partitions: the session's, or more where ``total / each`` asks for them."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // each), 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkdedup, htmlblocks, licenses, lmscore, neardup, oracles, quality, suffixdedup
+from . import bpe, chunkdedup, filteraudit, htmlblocks, licenses, lmscore, neardup, oracles, quality, resampling, suffixdedup, urlfilter
 from .common import table
 from .decontamination import contamination
 from .sharding import shard_rows
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS, SHARD_SEED = 8, 7
+# The rules that op12 judges by.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -102,3 +104,25 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licence texts and notices among all documents."""
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "canonical_sha256", "license_id", "notices", "n_notices")
+
+
+@register("op11_filter_audit", oracles.filter_audit())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters under all their orders, over all documents, by language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filteraudit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+@register("op12_url_filters", oracles.url_filters(URL_RULES))
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of ``URL_RULES`` on the URL of every page; pages that no rule fits are allowed."""
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, verdict)")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@register("op13_resampling", oracles.resampling())
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents drawn towards the benchmark's words and word pairs."""
+    out = resampling.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
