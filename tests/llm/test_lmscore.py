@@ -79,3 +79,24 @@ def test_no_training_rows_and_empty(spark):
     (r,) = lmscore.log_scores(df).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and r["score"] == pytest.approx(r["base_score"])
     assert lmscore.log_scores(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind, ids", [("bigint", [None, 2 ** 60 + 1, -1, None, 2 ** 63 - 1]), ("string", ["a", None, "01", "1", ""]), ("decimal(38,0)", [None, 10 ** 37 + 1, 1, 2, 3])])
+def test_ids_of_any_type_stay_as_they_are(spark, kind, ids):
+    from decimal import Decimal
+
+    own = [Decimal(i) if kind.startswith("dec") and i is not None else i for i in ids]
+    rows = [(k, "one two " * n, n % 5, "extra") for n, k in enumerate(own)]
+    df = spark.createDataFrame(rows, f"row_id {kind}, text string, fold int, data string").coalesce(1)
+    got = lmscore.log_scores(df)
+    assert got.schema["row_id"].dataType == df.schema["row_id"].dataType
+    assert sorted(((r["row_id"], r["n_tokens"]) for r in got.collect()), key=str) == sorted(((k, 2 * n + 1) for n, k in enumerate(own)), key=str)
+
+
+def test_query_with_null_and_large_ids(spark, tmp_path):
+    from vigil.llm.queries import QUERIES
+
+    rows = [(None, "a b"), (2 ** 60 + 1, "a"), (7, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_lm_score"](spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted([(None, 3), (2 ** 60 + 1, 2), (7, 1)], key=str)

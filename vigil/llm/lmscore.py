@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import groups, partitions_for, written
 from .wordspans import flat, lowered, parts, scrambled, words_of
@@ -78,6 +80,19 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "range", "block", "keys", "first", "second", "ids", "roles"])
 
 
+def _kept(column: pa.Array) -> bytes:
+    """A column as it is, of whatever type, nulls included."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], names=["row_id"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _column(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first: the high ones compress to nothing."""
     return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
@@ -107,11 +122,10 @@ def _blocks(rows: DataFrame, ranges: int, streams: bool) -> DataFrame:
                 own = np.repeat(role, np.diff(words.first) + 1)
                 keys, at = np.unique(token, return_inverse=True)
                 if streams:
-                    ids = part.column("row_id").to_numpy(zero_copy_only=False).astype(np.int64)
                     often = np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")  # frequent words get small numbers
                     number = np.empty(len(keys), np.uint32)
                     number[often] = np.arange(len(keys), dtype=np.uint32)
-                    yield _batch([("s", 0, block, keys[often].tobytes(), _pack(number[at]), np.diff(words.first).astype(np.int64).tobytes(), ids.tobytes(), role.tobytes())])
+                    yield _batch([("s", 0, block, keys[often].tobytes(), _pack(number[at]), np.diff(words.first).astype(np.int64).tobytes(), _kept(part.column("row_id")), role.tobytes())])
                     block += 1
                     continue
                 count = lambda at, n, which: np.bincount(at[own == which], minlength=n)
@@ -149,9 +163,10 @@ def _counted(requests: DataFrame, parts_: int) -> DataFrame:
     return named.repartition(parts_, "where").sortWithinPartitions("where").mapInArrow(run, _ROW)
 
 
-def _parted(streams: DataFrame, counts: DataFrame, parts_: int) -> DataFrame:
+def _parted(streams: DataFrame, counts: DataFrame, parts_: int, id_field: StructField) -> DataFrame:
     """What the scores need: kind d for each text, kind h histograms of the weights' part, kind n as they are."""
-    schema = "kind string, row_id long, role int, n_tokens long, n_known long, logs double, data binary"
+    schema = StructType([StructField("kind", StringType()), id_field, *StructType.fromDDL("role int, n_tokens long, n_known long, logs double, data binary").fields])
+    arrow_id = to_arrow_type(id_field.dataType)
 
     def rows_of(table):
         by = {"u": [], "b": []}
@@ -166,7 +181,7 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int) -> DataFrame:
         keys, place_of = given[order], np.empty(len(given), np.int32)
         place_of[order] = np.arange(len(given), dtype=np.int32)
         at = place_of[_unpack(stream["first"], np.uint32)]
-        length, ids, role = np.frombuffer(stream["second"], np.int64), np.frombuffer(stream["ids"], np.int64), np.frombuffer(stream["roles"], np.int8)
+        length, ids, role = np.frombuffer(stream["second"], np.int64), _column(stream["ids"]), np.frombuffer(stream["roles"], np.int8)
         token = keys[at]
         begin = np.concatenate([[0], np.cumsum(length + 1)])
         _, pair = np.unique(_pairs(_contexts(token, begin[:-1], START), token), return_inverse=True)
@@ -196,7 +211,7 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int) -> DataFrame:
             # ratios to 16 bits of the mantissa, by rounding the fourth byte of a float
             r = (r[seen].astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
             data = unseen.tobytes() + _pack(r | own[seen].astype(np.uint32) << np.uint32(24))
-            out.append(("d", int(ids[i]), int(role[i]), int(hi - lo), int(known[lo:hi].sum()), float(logs[lo:hi].sum()), data))
+            out.append(("d", i, int(role[i]), int(hi - lo), int(known[lo:hi].sum()), float(logs[lo:hi].sum()), data))
         chosen = np.repeat(role, length + 1) == WEIGHTS
         if chosen.any():
             bucket, ratio = ratios(counts["u"][0], counts["b"][0])
@@ -205,17 +220,18 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int) -> DataFrame:
             cell, n = np.unique(bucket[use].astype(np.int64) << 32 | (level + (1 << 24)), return_counts=True)
             cells = np.stack([cell >> 32, (cell & ((1 << 32) - 1)) - (1 << 24)])
             out.append(("h", None, None, None, None, None, np.concatenate([cells, n[None]]).astype(np.int64).tobytes()))
-        return out
+        return out, ids
 
     def run(batches):
         for block, table in groups(batches, "block"):
             if block < 0:
-                rows = [("n", None, None, None, None, None, k) for k in table.column("keys").to_pylist()]
+                rows, ids = [("n", None, None, None, None, None, k) for k in table.column("keys").to_pylist()], pa.nulls(0, arrow_id)
             else:
-                rows = rows_of(table)
+                rows, ids = rows_of(table)
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
             for lo in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo:lo + 2000]), kinds)], names=["kind", "row_id", "role", "n_tokens", "n_known", "logs", "data"])
+                kind, place, *rest = [pa.array(c, t) for c, t in zip(zip(*rows[lo:lo + 2000]), kinds)]
+                yield pa.RecordBatch.from_arrays([kind, ids.take(place), *rest], names=["kind", "row_id", "role", "n_tokens", "n_known", "logs", "data"])
 
     return streams.unionByName(counts).repartition(parts_, "block").sortWithinPartitions("block").mapInArrow(run, schema)
 
@@ -239,16 +255,17 @@ def log_scores(docs: DataFrame, fold: str = "fold", total_bytes: int | None = No
 
     ``fold`` is 0 to 4: 1 is held out, 4 (a training fold) also teaches the weights, whose estimates then come from
     0, 2 and 3. A null or empty text is one end token. Without training rows all estimates are those of an empty
-    corpus. Rows keep apart by row_id, which need not be unique.
+    corpus. Rows keep their row_id, of any type, which need not be unique and may be null. Other columns are ignored.
     """
     spark = docs.sparkSession
     role = F.when(F.col(fold) == 1, HELD_OUT).when(F.col(fold) == 4, WEIGHTS).otherwise(ESTIMATE)
-    rows = docs.select(F.col("row_id").cast("long").alias("row_id"), "text", role.cast("int").alias("role"))
+    rows = docs.select("row_id", "text", role.cast("int").alias("role"))
+    id_field = StructField("row_id", rows.schema["row_id"].dataType)
     if total_bytes is None:
         total_bytes = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     ranges = partitions_for(spark, total_bytes, RANGE_BYTES)
     counts = _counted(_blocks(rows, ranges, False), ranges)
-    done = written(_parted(_blocks(rows, ranges, True), counts, ranges), "parted")
+    done = written(_parted(_blocks(rows, ranges, True), counts, ranges, id_field), "parted")
     small = done.where("kind != 'd'").select("kind", "data")
     stats = [0, 0, 0, 0]
     hist = np.zeros((0, 3), np.int64)
@@ -276,7 +293,8 @@ def log_scores(docs: DataFrame, fold: str = "fold", total_bytes: int | None = No
                                               pa.array(np.full(batch.num_rows, tokens, np.int64)), pa.array(base), pa.array(base + np.array(more, float))],
                                              names=["row_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return done.where("kind = 'd'").mapInArrow(run, "row_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    made = StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return done.where("kind = 'd'").mapInArrow(run, StructType([id_field, *made.fields]))
 
 
 def _summed(small: DataFrame) -> DataFrame:
