@@ -64,3 +64,36 @@ def test_other_layouts(net):
                 right += (b.text in want) == bool(m)
                 total += 1
     assert right / total >= 0.9
+
+
+@pytest.mark.parametrize("cut", ["<a " * 350_000, "<p>text</p><a " + "x=\"y\" " * 100_000, "<p>text</p><a " + "x='y\" " * 100_000 + "b=\"", "<script>" + "</script " * 120_000,
+                                 "<" * 1_000_000, "<a b='" * 170_000, "<a b=\"'>" * 120_000, "<!--" * 250_000, "<p class=" + "class='" * 140_000])
+def test_cut_pages_take_linear_time(cut):
+    import time
+
+    t0 = time.time()
+    hb.blocks(cut)
+    assert time.time() - t0 < 5
+
+
+def test_quotes_and_cut_tags():
+    assert texts("<p>a</p><a href=\"x>y\" title='>'>b</a>") == ["a", "b"]
+    assert texts("<p title=\"never closed>a<p>b") == ["a", "b"]
+    assert texts("<p>a</p><a href=\"cut off") == ["a", "<a href=\"cut off"]
+    assert texts("it's <b x=1>bold</b> isn't it") == ["it's bold isn't it"]
+
+
+def test_long_pages_by_windows(net, monkeypatch):
+    rng = random.Random(4)
+    own = hb.blocks("".join(page(rng)[0] for _ in range(30)))
+    whole = hb.label(net, [own], hb.Features())[0]
+    monkeypatch.setattr(hb, "WINDOW", 37)
+    assert (hb.label(net, [own], hb.Features())[0] == whole).all() and 0 < whole.sum() < len(own)
+
+
+def test_sample_of_repeated_pages(spark):
+    rng = random.Random(5)
+    same = page(rng)[0]
+    rows = [(1, same)] * 300 + [(i, page(rng)[0]) for i in range(5)]
+    net = hb.train(spark.createDataFrame(rows, "page_id bigint, html string"), max_pages=6, epochs=1)
+    assert net.wx.shape[0] == 2

@@ -7,7 +7,7 @@ all blocks of a page, so that each block is labelled with the whole page in view
 the blocks labelled main are the text.
 
 The network is trained here, on the blocks of at most ``max_pages`` pages (those of
-least hash of page_id, a documented bound). Their labels come from what their
+least hash and of at most 256 KB, a documented bound). Their labels come from what their
 elements say of themselves (``article``, ``nav``, ...); every page is also shown in
 made-up layouts, in which the main text and the rest stand in other elements, with
 reader comments, notices, forms and side columns between them.
@@ -31,6 +31,10 @@ from .common import extended
 
 MAX_PAGES, HIDDEN, EPOCHS, SEED = 200, 16, 12, 3
 PATH_DIM, WORD_DIM, WORD_ROWS = 64, 16, 512
+#: Bytes of a page in the training sample, so that the driver gets at most 50 MB.
+MAX_BYTES = 256 << 10
+#: Blocks of a sequence in training, and of a long page labelled at a time.
+FIT_WINDOW, WINDOW = 400, 4096
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +49,8 @@ OTHER_NAMES = ("nav menu header footer aside sidebar ad ads advert advertisement
                "modal form search login signup subscribe newsletter comment comments reply replies discussion share social related "
                "recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal tags meta masthead").split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _WHITE = re.compile(r"[ \t\n\r\f\v]+")
@@ -59,6 +64,35 @@ class Block:
     links: int  # characters inside links
 
 
+class _TagEnds:
+    """Where the tags of a page end, in time linear in the page.
+
+    A ``>`` inside quotes doesn't end a tag; a quote that is never closed is none. Once a tag has no end by this rule
+    (the page is cut off inside it), quotes don't count from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.plain, self.unclosed = page, False, set()
+
+    def __call__(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, or -1."""
+        if self.plain:
+            return self.page.find(">", at)
+        begin = at
+        while m := _QUOTE_OR_END.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if m[0] not in self.unclosed:
+                close = self.page.find(m[0], at)
+                if close < 0:
+                    self.unclosed.add(m[0])
+                else:
+                    at = close + 1
+        self.plain = True
+        return self.page.find(">", begin)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order. White space is one space, references are decoded, scripts and styles left out."""
     out: list[Block] = []
@@ -96,7 +130,7 @@ def blocks(page: str) -> list[Block]:
         open_[tag] -= 1
         return tag
 
-    at, n = 0, len(page)
+    at, n, tag_end = 0, len(page), _TagEnds(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -105,9 +139,14 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             said(page[at:m.start()])
         at = m.end()
-        closing, tag, rest = m[1], (m[2] or "").lower(), m[3]
+        closing, tag = m[1], (m[2] or "").lower()
         if not tag:
             continue
+        stop = tag_end(at)
+        if stop < 0:  # no tag ends from here on: what is left is text
+            said(page[m.start():])
+            break
+        rest, at = page[at:stop], stop + 1
         if closing:
             if tag not in INLINE:
                 end()
@@ -119,8 +158,9 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in RAW and not rest.rstrip().endswith("/"):
-            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = m.end() if m else n
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", m.end()) if m else -1
+            at = stop + 1 if stop >= 0 else n
             continue
         for t in CLOSED_BY_SIBLING.get(tag, ()):
             while any(x == t for x, _ in stack[-4:]):
@@ -175,14 +215,15 @@ class Features:
             out.append(r)
         return out
 
-    def __call__(self, page: list[Block]) -> np.ndarray:
-        x = np.zeros((len(page), SIZE), np.float32)
+    def __call__(self, page: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+        """The vectors of blocks number ``first`` and on of a page of ``total`` blocks."""
+        x, total = np.zeros((len(page), SIZE), np.float32), total or len(page)
         for i, b in enumerate(page):
             words = b.text.split(" ")
             x[i, :PATH_DIM] = self.path(b.path, b.near)
             x[i, PATH_DIM:PATH_DIM + WORD_DIM] = _WORD_TABLE[self.rows(words)].sum(0) / len(words)
             n = len(b.text)
-            x[i, -6:] = np.log1p(n) / 5, np.log1p(len(words)) / 4, b.links / n, b.text[-1] in ".!?", i / len(page), b.text.count(",") / len(words)
+            x[i, -6:] = np.log1p(n) / 5, np.log1p(len(words)) / 4, b.links / n, b.text[-1] in ".!?", (first + i) / total, b.text.count(",") / len(words)
         return x
 
 
@@ -284,10 +325,14 @@ def _layouts(page: list[Block], labels: list[bool], rng) -> tuple[list[Block], l
     return [b for b, _ in out], [l for _, l in out]
 
 
-def train(pages: DataFrame, max_pages: int = MAX_PAGES, epochs: int = EPOCHS) -> Network:
-    """Fit on the sample; without a page that says what its blocks are, on made-up pages of the names alone."""
-    sample = (pages.where(F.col("html").isNotNull()).select(F.xxhash64("page_id", "html").alias("k"), "page_id", "html")
-              .orderBy("k").limit(max_pages).select("html"))
+def train(pages: DataFrame, max_pages: int = MAX_PAGES, epochs: int = EPOCHS, max_bytes: int = MAX_BYTES) -> Network:
+    """Fit on the ``max_pages`` different pages of least hash among those of at most ``max_bytes``, all of their blocks.
+
+    Without a page that says what its blocks are, on made-up pages of the names alone. Longer pages are extracted as any.
+    """
+    able = pages.where(F.octet_length("html") <= max_bytes).select(F.xxhash64("page_id", "html").alias("k"), "html")
+    keys = able.select("k").distinct().orderBy("k").limit(max_pages)  # keys first: no partition sends pages that others beat
+    sample = able.join(F.broadcast(keys), "k").groupBy("k").agg(F.any_value("html").alias("html")).orderBy("k")
     rng = np.random.Generator(np.random.PCG64(SEED))
     seqs: list[tuple[list[Block], list[bool]]] = []
     for r in sample.collect():
@@ -301,7 +346,10 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES, epochs: int = EPOCHS) ->
             seqs.append(([Block(say(rng.integers(3, 60)), frozenset(), (), 0) for _ in range(8)], [i > 2 for i in range(8)]))
     seqs += [_layouts(*seqs[i % len(seqs)], rng) for i in range(5 * max(len(seqs), 60))]
     make = Features()
-    data = [(make(p), np.array(l, np.float32)) for p, l in seqs if p]
+    data = []
+    for p, l in seqs:
+        x, y = make(p), np.array(l, np.float32)
+        data += [(x[lo:lo + FIT_WINDOW], y[lo:lo + FIT_WINDOW]) for lo in range(0, len(p), FIT_WINDOW)]
     init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else shape[0])).astype(np.float32)
     net = Network(init(2, SIZE, 4 * HIDDEN), init(2, HIDDEN, 4 * HIDDEN), np.zeros((2, 4 * HIDDEN), np.float32), init(2 * HIDDEN), np.zeros(1, np.float32))
     net.b[:, HIDDEN:2 * HIDDEN] = 1
@@ -311,10 +359,10 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES, epochs: int = EPOCHS) ->
         order = rng.permutation(len(data))
         for lo in range(0, len(order), 48):
             own = [data[i] for i in order[lo:lo + 48]]
-            x, mask = _padded([f[:400] for f, _ in own])
+            x, mask = _padded([f for f, _ in own])
             target = np.zeros(mask.shape, np.float32)
             for k, (_, l) in enumerate(own):
-                target[k, :len(l[:400])] = l[:400]
+                target[k, :len(l)] = l
             step += 1
             for w, g, m, v in zip(weights, _gradients(net, x, mask, target), first, second):
                 m += 0.1 * (g - m)
@@ -323,10 +371,30 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES, epochs: int = EPOCHS) ->
     return net
 
 
+def _long(net: Network, page: list[Block], make: Features) -> np.ndarray:
+    """Margins of one long page, a window of blocks at a time; the states pass from window to window, so nothing is cut."""
+    margins = np.full(len(page), net.bias[0], np.float32)
+    for d in range(2):
+        out = net.out[:HIDDEN] if d == 0 else net.out[HIDDEN:]
+        h = c = np.zeros(HIDDEN, np.float32)
+        for lo in range(0, len(page), WINDOW)[::1 if d == 0 else -1]:
+            gates_in = make(page[lo:lo + WINDOW], lo, len(page)) @ net.wx[d] + net.b[d]
+            for s in range(len(gates_in))[::1 if d == 0 else -1]:
+                g = gates_in[s] + h @ net.wh[d]
+                i, f, o = (_sigmoid(g[k * HIDDEN:(k + 1) * HIDDEN]) for k in range(3))
+                c = f * c + i * np.tanh(g[3 * HIDDEN:])
+                h = o * np.tanh(c)
+                margins[lo + s] += h @ out
+    return margins
+
+
 def label(net: Network, pages: list[list[Block]], make: Features) -> list[np.ndarray]:
     """Which blocks of each page are main text. Pages are padded to the longest of a few of like length."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    order = sorted((i for i in range(len(pages)) if 0 < len(pages[i]) <= WINDOW), key=lambda i: len(pages[i]))
+    for i, page in enumerate(pages):
+        if len(page) > WINDOW:
+            out[i] = _long(net, page, make) > 0
     lo = 0
     while lo < len(order):
         hi = lo + 1
