@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.predicates import sensitive_name
+from ..session import saved
 
 FACT_SCHEMA = ("package_id string, path string, seq int, kind string, name string, caller string, "
                "lineno int, branch_edges int, nesting int, value string")
@@ -182,13 +183,21 @@ def extract_facts(source_units: DataFrame) -> DataFrame:
     """``source_units(package_id, path, text[, error])`` -> ``code_facts`` (one pass, no shuffle).
 
     Work is row-parallel: the input partitioning is kept, nothing is grouped. A row with an
-    ``error``, or without text, is no parsed file: it gives one ``error`` fact. Persist the
-    result (``vigil.session.checkpoint``) when several operators read it.
+    ``error``, or without text, is no parsed file: it gives one ``error`` fact. Keep the
+    result (:func:`stored_facts`) when several operators read it.
     """
     units = source_units if "error" in source_units.columns else source_units.withColumn("error", F.lit(None).cast("string"))
     return units.select("package_id", "path", "text", "error").mapInPandas(_extract_batches, FACT_SCHEMA)
 
 
+def stored_facts(facts: DataFrame) -> DataFrame:
+    """The facts as a table by kind: an operator on one kind reads that kind's files, and of these the columns it names.
+
+    Snippet texts, most of the bytes, are thus read by those alone who want snippets.
+    """
+    return saved(facts, "facts", by="kind")
+
+
 def fact_snippets(facts: DataFrame, cap: int | None = None, key: str = "package_id") -> DataFrame:
     """J3 + A8: ``(package_id, snippet_seq, path, lineno, text)`` of the snippets the extraction made.
 

@@ -6,12 +6,17 @@ is processed at once, keyed by ``(package_id, node)``.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import vocab
-from ..session import checkpoint
+from ..session import ensure_checkpoint_dir, saved
+from .joins import broadcast_if_small
 
 KEY = "package_id"
 
@@ -54,8 +59,13 @@ def graph_stats(edges: DataFrame, key: str = KEY, degrees: DataFrame | None = No
         (F.col("_deg") / n).alias("avg_degree"))
 
 
-def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALPHA,
-             max_iter: int | None = None, tol: float | None = vocab.PAGERANK_TOL) -> DataFrame:
+#: Packages of at most so many edges are ranked whole, many at a time, in one task; about as many edges make a block.
+LOCAL_EDGES = 1 << 20
+_RANKED = "node string, pagerank double, iterations int, converged boolean"
+
+
+def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALPHA, max_iter: int | None = None,
+             tol: float | None = vocab.PAGERANK_TOL, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Weighted PageRank of every package graph at once.
 
     Power iteration with uniform teleport, out-weights normalised per source and
@@ -65,46 +75,127 @@ def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALP
     change shrinks by ``alpha`` each time. ``max_iter`` ends earlier; with
     ``tol=None`` exactly ``max_iter`` iterations run.
 
-    Each iteration is cut by a reliable checkpoint of the packages still open;
-    finished ones are kept apart and never read again, and their edges drop out
-    of the join. One aggregate per iteration gives the change and the next
-    dangling mass of each package.
+    Packages are far smaller than the corpus: those of at most ``local_edges`` edges are dealt out whole and
+    iterated to the end in their task, blocks of many packages as one matrix, after one shuffle in all. The larger
+    ones, fewer than total edges / ``local_edges``, are iterated by joins over the whole cluster (:func:`_by_joins`).
+    Both give the same ranks.
 
     Returns ``(package_id, node, pagerank, iterations, converged)``.
     """
     if tol is None and max_iter is None:
         raise ValueError("without tol, max_iter is needed")
-    nodes = node_degrees(edges, key).select(key, "node", "out_w")
-    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"),
-                                   F.sum(F.when(F.col("out_w") == 0, 1.0).otherwise(0.0)).alias("loose"))
-    # normalised transitions (package, src, dst, p)
-    trans = checkpoint(edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("w"))
-                       .join(nodes.select(key, F.col("node").alias("src"), "out_w"), [key, "src"])
-                       .select(key, "src", "dst", (F.col("w") / F.col("out_w")).alias("p")))
-    state = checkpoint(nodes.join(sizes, key).select(
-        key, "node", (F.col("out_w") == 0).alias("dangling"), "n", (F.lit(1.0) / F.col("n")).alias("rank"),
-        (F.col("loose") / F.col("n")).alias("d")))
+    spark = edges.sparkSession
+    weights = saved(edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("w")), "edges")
+    large = saved(weights.groupBy(key).agg(F.count(F.lit(1)).alias("_e")).where(F.col("_e") > local_edges).select(key), "large")
+    total = weights.count()
+    if large.isEmpty():
+        return _by_blocks(weights, total, key, alpha, max_iter, tol)
+    few = broadcast_if_small(large)
+    small = _by_blocks(weights.join(few, key, "left_anti"), total, key, alpha, max_iter, tol)
+    return small.unionByName(_by_joins(spark, weights.join(few, key, "left_semi"), key, alpha, max_iter, tol))
+
+
+def _by_blocks(weights: DataFrame, total: int, key: str, alpha: float, max_iter: int | None, tol: float | None) -> DataFrame:
+    """Ranks of whole packages, in blocks of about ``LOCAL_EDGES`` edges."""
+    parts = max(weights.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * LOCAL_EDGES)))
+    id_type = weights.schema[key].dataType.simpleString()
+
+    def run(batches):
+        held, size = [], 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and size >= LOCAL_EDGES:  # all but the last package of what is held are whole
+                block = pd.concat(held, ignore_index=True)
+                last = block[key].iloc[-1]
+                begin = int(np.flatnonzero((block[key] != last).to_numpy())[-1]) + 1 if (block[key] != last).any() else 0
+                if begin:
+                    yield _ranked(block.iloc[:begin], key, alpha, max_iter, tol)
+                held = [block.iloc[begin:]]
+                size = len(held[0])
+            held.append(pdf)
+            size += len(pdf)
+        if held:
+            yield _ranked(pd.concat(held, ignore_index=True), key, alpha, max_iter, tol)
+
+    return (weights.where(F.col(key).isNotNull()).repartition(parts, key).sortWithinPartitions(key)
+            .mapInPandas(run, f"{key} {id_type}, {_RANKED}"))
+
+
+def _ranked(block: pd.DataFrame, key: str, alpha: float, max_iter: int | None, tol: float | None) -> pd.DataFrame:
+    """The ranks of all nodes of the packages in ``block``, which is all of their edges."""
+    package, packages = pd.factorize(block[key])
+    name, names = pd.factorize(np.concatenate([block["src"].to_numpy(object), block["dst"].to_numpy(object)]))
+    nodes, at = np.unique(np.concatenate([package, package]).astype(np.int64) * len(names) + name, return_inverse=True)
+    src, dst = at[:len(block)], at[len(block):]
+    of = nodes // len(names)
+    w = block["w"].to_numpy(float)
+    out_w = np.bincount(src, w, len(nodes))
+    p, dangling = w / out_w[src], out_w == 0
+    n = np.bincount(of, minlength=len(packages)).astype(float)
+    rank = 1.0 / n[of]
+    done, iterations, i = np.zeros(len(packages), bool), np.zeros(len(packages), np.int32), 0
+    while not done.all() and i != max_iter:
+        i += 1
+        loose = np.bincount(of, np.where(dangling, rank, 0.0), len(packages))
+        new = alpha * (np.bincount(dst, rank[src] * p, len(nodes)) + (loose / n)[of]) + ((1.0 - alpha) / n)[of]
+        new = np.where(done[of], rank, new)
+        change = np.bincount(of, np.abs(new - rank), len(packages))
+        iterations[~done] = i
+        done = done | (change < n * tol) if tol is not None else np.full(len(packages), i == max_iter)
+        rank = new
+    return pd.DataFrame({key: np.asarray(packages)[of], "node": names[nodes % len(names)], "pagerank": rank, "iterations": iterations[of], "converged": done[of]})
+
+
+def _bucketed(df: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, str]:
+    """``df`` as a table below the shared folder in one bucket for each shuffle partition, and its name in the catalogue."""
+    spark = df.sparkSession
+    name = f"vigil_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
+def _by_joins(spark, weights: DataFrame, key: str, alpha: float, max_iter: int | None, tol: float | None) -> DataFrame:
+    """Ranks of large packages. Edges by source and ranks by node are bucketed alike, so that a round shuffles once: what
+    the nodes receive. What a package needs (size, dangling mass, change) is a table of a row for each of these few."""
+    nodes = node_degrees(weights.withColumnRenamed("w", "weight"), key).select(key, "node", "out_w")
+    nodes = saved(nodes, "nodes")
+    sizes = saved(nodes.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"), (F.sum(F.when(F.col("out_w") == 0, 1.0).otherwise(0.0)) / F.count(F.lit(1))).alias("d")), "sizes")
+    trans, table = _bucketed(weights.join(nodes.select(key, F.col("node").alias("src"), "out_w"), [key, "src"])
+                             .select(key, "src", "dst", (F.col("w") / F.col("out_w")).alias("p")), "moves", [key, "src"])
+    tables = [table]
+    state, table = _bucketed(nodes.join(broadcast_if_small(sizes), key).select(
+        key, "node", (F.col("out_w") == 0).alias("dangling"), (F.lit(1.0) / F.col("n")).alias("rank")), "ranks", [key, "node"])
+    tables.append(table)
     finished, i = [], 0
     while True:
         i += 1
-        contrib = (trans.join(state.select(key, F.col("node").alias("src"), "rank"), [key, "src"])
-                   .groupBy(key, F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("c")))
-        new = state.join(contrib, [key, "node"], "left").select(
-            key, "node", "dangling", "n", F.col("rank").alias("old"),
-            (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + F.col("d") / F.col("n")) + F.lit(1.0 - alpha) / F.col("n")).alias("rank"))
-        scalars = new.groupBy(key).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("err"),
-                                       F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("d"))
+        known = broadcast_if_small(sizes)
+        got = (trans.join(state.select(F.col(key).alias("_k"), "node", "rank"), (F.col(key) == F.col("_k")) & (F.col("src") == F.col("node")))
+               .groupBy(F.col(key).alias("_k"), F.col("dst").alias("_to")).agg(F.sum(F.col("rank") * F.col("p")).alias("c")))
+        new = (state.join(got, (F.col(key) == F.col("_k")) & (F.col("node") == F.col("_to")), "left").join(known, key).select(
+            key, "node", "dangling", F.col("rank").alias("old"),
+            (F.lit(alpha) * (F.coalesce("c", F.lit(0.0)) + F.col("d") / F.col("n")) + F.lit(1.0 - alpha) / F.col("n")).alias("rank")))
+        new, table = _bucketed(new, "ranks", [key, "node"])
+        tables.append(table)
         done = F.col("err") < F.col("n") * F.lit(tol) if tol is not None else F.lit(i == max_iter)
-        state = checkpoint(new.drop("old").join(scalars, key).withColumn("done", done).drop("err"))
+        sums = new.groupBy(key).agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("err"), F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("d"))
+        sizes = saved(sums.join(broadcast_if_small(sizes.select(key, "n")), key).select(key, "n", "d", done.alias("done")), "sizes")
         last = i == max_iter
-        out = state if last else state.where("done")
-        finished.append(out.select(key, "node", F.col("rank").alias("pagerank"), F.lit(i).alias("iterations"), F.col("done").alias("converged")))
-        if last or state.where(~F.col("done")).isEmpty():
+        ends = broadcast_if_small((sizes if last else sizes.where("done")).select(key, "done"))
+        finished.append(new.join(ends, key).select(key, "node", F.col("rank").alias("pagerank"), F.lit(i).alias("iterations"), F.col("done").alias("converged")))
+        if last or sizes.where(~F.col("done")).isEmpty():
             break
-        state = state.where(~F.col("done")).drop("done")
+        sizes = sizes.where(~F.col("done")).drop("done")
+        state = new.join(broadcast_if_small(sizes.select(key)), key, "left_semi").drop("old")
     result = finished[0]
     for more in finished[1:]:
         result = result.unionByName(more)
+    result = saved(result, "pagerank")
+    for table in tables:
+        spark.sql(f"DROP TABLE {table}")  # its files are in the checkpoint folder
     return result
 
 

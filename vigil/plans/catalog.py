@@ -6,6 +6,7 @@ oracle is an independent statement of the same rule in plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from ..functions import predicates as P
 from ..operators import counts as C
 from ..operators import graph as G
 from ..operators import ranking as R
-from ..operators.extract import extract_facts, fact_snippets
-from ..session import checkpoint
+from ..operators.extract import extract_facts, fact_snippets, stored_facts
+from ..session import checkpoint, ensure_checkpoint_dir, saved
+from ..sources import files as SF
 from . import fixtures
 from . import sqlgen as S
 
@@ -40,11 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted facts of the events-derived corpus, checkpointed once per session."""
+    """Extracted facts of the events-derived corpus, stored by kind once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FACTS_CACHE:
         units = fixtures.event_source_units(table(spark, sf_dir, "events"))
-        _FACTS_CACHE[key] = checkpoint(extract_facts(units))
+        _FACTS_CACHE[key] = stored_facts(extract_facts(units))
     return _FACTS_CACHE[key]
 
 
@@ -436,7 +438,7 @@ def event_pipeline(spark, sf_dir) -> dict:
     if key not in _PIPE_CACHE:
         facts = event_facts(spark, sf_dir)
         packages = facts.where(F.col("kind") == "file").select("package_id").distinct()
-        snippets = checkpoint(fact_snippets(facts))
+        snippets = saved(fact_snippets(facts), "snippets")
         metadata = spark.createDataFrame([], META_EMPTY_SCHEMA)
         out = FE.build_features(facts, metadata, packages, snippets=snippets)
         out["named"] = checkpoint(out["named"])
@@ -653,6 +655,55 @@ def _pagerank_sql(iters: int, alpha: float = vocab.PAGERANK_ALPHA) -> str:
     return "WITH " + ",\n".join(ctes) + f"\nSELECT package_id, node, round(rank, 9) AS pagerank FROM r{iters}"
 
 
+def _converged_sql(rounds: int, alpha: float = vocab.PAGERANK_ALPHA, tol: float = vocab.PAGERANK_TOL) -> str:
+    """CTEs after ``ew``: ``r{rounds}`` (package_id, node, rank, done, iterations), each package frozen once it has converged."""
+    ctes = ["""nd AS MATERIALIZED (SELECT package_id, node, sum(o) AS out_w FROM
+               (SELECT package_id, src AS node, weight AS o FROM ew UNION ALL SELECT package_id, dst, 0 FROM ew) GROUP BY 1, 2)""",
+            "sz AS MATERIALIZED (SELECT package_id, CAST(count(*) AS DOUBLE) AS n FROM nd GROUP BY 1)",
+            """tr AS MATERIALIZED (SELECT ew.package_id, ew.src, ew.dst, CAST(ew.weight AS DOUBLE) / nd.out_w AS p
+             FROM ew JOIN nd ON ew.package_id = nd.package_id AND ew.src = nd.node)""",
+            "r0 AS MATERIALIZED (SELECT nd.package_id, nd.node, 1.0 / sz.n AS rank, false AS done, 0 AS iterations FROM nd JOIN sz USING (package_id))"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"""m{i} AS MATERIALIZED (
+  SELECT r.package_id, r.node, r.rank AS old, r.done, r.iterations, sz.n,
+         CASE WHEN r.done THEN r.rank ELSE {alpha} * (coalesce(c.s, 0.0) + d.dm / sz.n) + {1 - alpha} / sz.n END AS rank
+  FROM r{i-1} r JOIN sz USING (package_id)
+  LEFT JOIN (SELECT tr.package_id, tr.dst AS node, sum(r.rank * tr.p) AS s
+             FROM tr JOIN r{i-1} r ON r.package_id = tr.package_id AND r.node = tr.src GROUP BY 1, 2) c USING (package_id, node)
+  JOIN (SELECT r.package_id, sum(CASE WHEN x.out_w = 0 THEN r.rank ELSE 0.0 END) AS dm
+        FROM r{i-1} r JOIN nd x USING (package_id, node) GROUP BY 1) d USING (package_id)),
+r{i} AS MATERIALIZED (
+  SELECT package_id, node, rank, done OR sum(abs(rank - old)) OVER (PARTITION BY package_id) < n * {tol} AS done,
+         CASE WHEN done THEN iterations ELSE {i} END AS iterations FROM m{i})""")
+    return ",\n".join(ctes)
+
+
+#: More rounds than any of the test graphs takes; a graph that takes more shows as ``converged = false`` in the SQL.
+ROUNDS = 30
+
+
+@register("pagerank_converged", f"""
+WITH ew AS (SELECT o_orderpriority AS package_id, 'c' || CAST(o_custkey AS VARCHAR) AS src,
+                   'n' || CAST(c_nationkey AS VARCHAR) AS dst, count(*) AS weight
+            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3
+            UNION ALL
+            SELECT 'back', 'n' || CAST(c_nationkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR), 1 FROM customer WHERE c_custkey % 3 > 0
+            UNION ALL
+            SELECT 'back', 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_custkey % 25 AS VARCHAR), 2 FROM customer WHERE c_custkey % 2 = 0),
+{_converged_sql(2 * ROUNDS)}
+SELECT package_id, node, round(rank, 9) AS pagerank, CAST(iterations AS INTEGER) AS iterations, done AS converged FROM r{2 * ROUNDS}
+""")
+def q_pagerank_converged(spark, sf_dir):
+    """M14 to convergence: the order-priority graphs, and one with cycles (nations -> customers -> nations)."""
+    c = table(spark, sf_dir, "customer")
+    customer, nation = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    back = (c.where("c_custkey % 3 > 0").select(F.lit("back").alias("package_id"), nation.alias("src"), customer.alias("dst"), F.lit(1).cast("bigint").alias("weight"))
+            .unionByName(c.where("c_custkey % 2 = 0").select(F.lit("back").alias("package_id"), customer.alias("src"),
+                                                             F.concat(F.lit("n"), (F.col("c_custkey") % 25).cast("string")).alias("dst"), F.lit(2).cast("bigint").alias("weight"))))
+    edges = _orders_graph(spark, sf_dir).select("package_id", "src", "dst", F.col("weight").cast("bigint").alias("weight"))
+    return G.pagerank(edges.unionByName(back)).withColumn("pagerank", F.round("pagerank", 9))
+
+
 @register("pagerank_10", _pagerank_sql(10))
 def q_pagerank_10(spark, sf_dir):
     """Weighted PageRank, 10 fixed iterations, per order-priority graph (customer -> nation)."""
@@ -1101,13 +1152,47 @@ def q_fused_score(spark, sf_dir):
                     *[F.round(F.col("attention")[i], 6).alias(f"a_{v}") for i, v in enumerate(vocab.VIEW_ORDER)])
 
 
-@register("graph_embedding")
+def _view_vectors_sql(tokens: str) -> str:
+    """Signed, normalised hash vectors of ``tokens`` (package_id, view, tok, cnt), by dimension."""
+    return f"""vs AS (SELECT package_id, view, {S.md5_bucket('tok', vocab.EMBED_DIM)} AS dim,
+             sum(CASE WHEN {S.md5_bucket("'sign:' || tok", 2)} = 0 THEN 1.0 ELSE -1.0 END * cnt) AS v
+      FROM (SELECT package_id, view, tok, sum(cnt) AS cnt FROM ({tokens}) WHERE length(tok) > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2, 3),
+vn AS (SELECT package_id, view, sqrt(sum(v * v)) AS nn FROM vs GROUP BY 1, 2)
+SELECT package_id, view, dim, round(v / nn, 6) AS value FROM vs JOIN vn USING (package_id, view) WHERE v <> 0"""
+
+
+_GRAPH_TOKENS_SQL = f"""
+SELECT d.package_id, 'graph' AS view, d.node AS tok,
+       CAST(floor(least({vocab.GRAPH_REPEAT_CAP}.0, 1.0 + d.out_w + d.in_w + {vocab.GRAPH_PR_SCALE} * r.rank)) AS BIGINT)
+         + CASE WHEN {S.sensitive_call('d.node')} THEN {vocab.GRAPH_SENSITIVE_BONUS} ELSE 0 END AS cnt
+FROM deg d JOIN r{ROUNDS} r ON r.package_id = d.package_id AND r.node = d.node
+UNION ALL SELECT package_id, 'graph', src || '->' || dst, 1 FROM ew"""
+
+
+def _sparse(views):
+    return (views.select("package_id", "view", F.posexplode("vector").alias("dim", "value")).where("value <> 0")
+            .withColumn("value", F.round("value", 6)))
+
+
+@register("graph_embedding", f"""
+WITH {OK}, {_EDGES_CTE},
+{_converged_sql(ROUNDS)},
+{_view_vectors_sql(_GRAPH_TOKENS_SQL)}
+""")
 def q_graph_embedding(spark, sf_dir):
-    """PageRank/degree-weighted node tokens + edge tokens -> signed hash (graph view)."""
-    v = event_views(spark, sf_dir).where(F.col("view") == "graph")
-    from ..functions import numeric as NUM
-    return v.select("package_id", F.size(F.filter("vector", lambda x: x != 0)).alias("nonzero_dims"),
-                    F.round(NUM.l2_norm("vector"), 6).alias("norm"))
+    """PageRank/degree-weighted node tokens + edge tokens -> signed hash (graph view), by dimension."""
+    return _sparse(event_views(spark, sf_dir).where(F.col("view") == "graph"))
+
+
+@register("view_vectors", f"""
+WITH {OK}{_SNIP}, {_EDGES_CTE},
+{_converged_sql(ROUNDS)},
+{_view_vectors_sql(_GRAPH_TOKENS_SQL + f"""
+UNION ALL SELECT package_id, 'code', unnest(regexp_extract_all(lower(text), '{_EMBED_RE}')), 1 FROM snips""")}
+""")
+def q_view_vectors(spark, sf_dir):
+    """The whole view matrix of the corpus by dimension (it has no metadata files, so no metadata view)."""
+    return _sparse(event_views(spark, sf_dir))
 
 
 def event_reports(spark, sf_dir):
@@ -1226,8 +1311,63 @@ def q_rt_input_errors(spark, sf_dir):
     files = fixtures.event_package_files(table(spark, sf_dir, "events"))
     lost = F.col("path").startswith("error_")
     files = files.withColumn("content", F.when(~lost, F.col("content"))).withColumn("error", F.when(lost, F.lit("unreadable")))
-    facts = checkpoint(extract_facts(SF.source_units(files)))
+    facts = stored_facts(extract_facts(SF.source_units(files)))
     counts = C.package_scalars(facts).select("package_id", *[F.col(c).cast("bigint").alias(c) for c in ("python_files", "parse_errors", "analysis_errors")])
     errors = (facts.where((F.col("kind") == "error") & (F.col("name") == "input")).groupBy("package_id")
               .agg(F.array_join(F.array_sort(F.collect_list("value")), "; ").alias("input_errors")))
     return counts.join(errors, "package_id", "left").withColumn("input_errors", F.coalesce("input_errors", F.lit("")))
+
+
+# ---------------------------------------------------------------- files and archives ---
+# The corpus of ``events`` as files below the shared folder, found and read again by the scans.
+
+_CORPUS_CACHE: dict[tuple, str] = {}
+
+
+def event_folder(spark, sf_dir, archives: bool) -> str:
+    """The folder of the events-derived corpus: a folder or an archive for each package, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, archives)
+    if key not in _CORPUS_CACHE:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{'archives' if archives else 'files'}-{uuid.uuid4().hex}"
+        files = fixtures.event_package_files(table(spark, sf_dir, "events"))
+        (fixtures.write_archives if archives else fixtures.write_files)(files, root)
+        _CORPUS_CACHE[key] = root
+    return _CORPUS_CACHE[key]
+
+
+@register("rt_scan_files", f"""
+WITH {OK}
+SELECT package_id, api AS name, CAST(count(*) AS BIGINT) AS cnt FROM okev GROUP BY 1, 2
+""")
+def q_rt_scan_files(spark, sf_dir):
+    """Packages as folders, listed and read by tasks; the calls found are those of ``rt_calls``."""
+    listing = SF.scan_files(spark, event_folder(spark, sf_dir, False))
+    facts = stored_facts(extract_facts(SF.source_units(listing)))
+    return C.count_names(facts, "call").select("package_id", "name", "cnt")
+
+
+@register("rt_scan_archives", f"""
+WITH {OK}
+SELECT package_id || CASE WHEN CAST(substr(package_id, 2) AS BIGINT) % 2 = 0 THEN '.zip' ELSE '.tar' END AS package_id,
+       api AS name, CAST(count(*) AS BIGINT) AS cnt FROM okev GROUP BY 1, 2
+""")
+def q_rt_scan_archives(spark, sf_dir):
+    """Packages as zip and tar archives, whose members are dealt to tasks."""
+    files = SF.scan_archives(spark, event_folder(spark, sf_dir, True))
+    facts = stored_facts(extract_facts(SF.source_units(files)))
+    return C.count_names(facts, "call").select("package_id", "name", "cnt")
+
+
+@register("rt_capped_files", f"""
+WITH {OK},
+place AS (SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY path) AS n FROM files)
+SELECT package_id, CAST(count(*) FILTER (WHERE n <= 3) AS BIGINT) AS read_files, CAST(count(*) FILTER (WHERE n > 3) AS BIGINT) AS left_out,
+       CAST(sum(CASE WHEN n <= 3 THEN k ELSE 0 END) AS BIGINT) AS lines
+FROM place JOIN (SELECT package_id, path, 4 * count(*) + 2 AS k FROM ev GROUP BY 1, 2) USING (package_id, path) GROUP BY 1
+""")
+def q_rt_capped_files(spark, sf_dir):
+    """At most three files of a package, in path order; those left out are rows with an error."""
+    units = SF.source_units(SF.scan_files(spark, event_folder(spark, sf_dir, False)), max_files=3)
+    return units.groupBy("package_id").agg(
+        F.count("text").alias("read_files"), F.count_if(F.col("error") == "beyond the first 3 files").alias("left_out"),
+        F.sum(F.coalesce(F.size(T.split_lines("text")), F.lit(0))).alias("lines"))

@@ -1,6 +1,6 @@
 """End-to-end scoring of a package corpus.
 
-``package_files -> source_units -> code_facts (one Python stage, checkpointed)
+``package_files -> source_units -> code_facts (one Python stage, stored by kind)
 -> features -> rules | logistic | fused scores -> reports``. Everything after
 extraction is grouped / windowed / joined by ``package_id`` in Spark.
 """
@@ -19,7 +19,7 @@ from ..operators import report as RP
 from ..operators import scoring as SC
 from ..operators import training as TR
 from ..operators import views as V
-from ..operators.extract import extract_facts, fact_snippets
+from ..operators.extract import extract_facts, fact_snippets, stored_facts
 from ..session import checkpoint
 from ..sources import files as S
 
@@ -32,7 +32,7 @@ def analyze_corpus(package_files: DataFrame, hash: str = "md5", external_edges:
     ``top_words``, ``top_apis`` and ``top_imports``; files left out by them are ``error`` facts.
     """
     lim = dict(limits or {})
-    facts = checkpoint(extract_facts(S.source_units(package_files, lim.get("max_files"), lim.get("max_bytes"))))
+    facts = stored_facts(extract_facts(S.source_units(package_files, lim.get("max_files"), lim.get("max_bytes"))))
     meta = checkpoint(MD.coalesce_metadata(MD.extract_metadata(MD.metadata_candidates(
         package_files, max_headers=lim.get("max_headers"), max_files=lim.get("max_files"), max_bytes=lim.get("max_bytes")))))
     packages = checkpoint(package_files.select("package_id").distinct())

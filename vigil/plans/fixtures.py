@@ -26,9 +26,17 @@ group is unbounded.
 
 from __future__ import annotations
 
+import io
+import itertools
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.listing import fs_and_base
+
 CHUNK = 20000
 
 
@@ -86,6 +94,63 @@ def event_package_files(events: DataFrame) -> DataFrame:
                         content.alias("content"), F.lit(None).cast("string").alias("error"))
 
 
+def _placed(df: DataFrame, root: str, write) -> None:
+    """Give the rows of each package, all in one task and in path order, to ``write(fs, base, rows)``; force it."""
+    def run(batches):
+        fs, base = fs_and_base(root)
+        fs.create_dir(base, recursive=True)
+
+        def rows():
+            for batch in batches:
+                yield from zip(batch["package_id"], batch["path"], batch["content"])
+
+        n = 0
+        for package, own in itertools.groupby(rows(), key=lambda r: r[0]):
+            n += write(fs, base, package, own)
+        yield pd.DataFrame({"files": [n]})
+
+    files = df.select("package_id", "path", "content").repartition("package_id").sortWithinPartitions("package_id", "path")
+    files.mapInPandas(run, "files long").agg(F.sum("files")).collect()
+
+
+def write_files(df: DataFrame, root: str) -> None:
+    """Write ``package_files`` rows as files ``root/<package>/<path>``; a task that runs again writes the same."""
+    def write(fs, base, package, rows):
+        n, made = 0, set()
+        for _, path, content in rows:
+            name = f"{base}/{package}/{path}"
+            folder = name.rpartition("/")[0]
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(name) as out:
+                out.write(content)
+            n += 1
+        return n
+
+    _placed(df, root, write)
+
+
+def write_archives(df: DataFrame, root: str) -> None:
+    """Write each package ``u<n>`` as one archive: a zip for even n, else a tar. Rows go straight to the file."""
+    def write(fs, base, package, rows):
+        n, even = 0, int(package[1:]) % 2 == 0
+        with fs.open_output_stream(f"{base}/{package}{'.zip' if even else '.tar'}") as out:
+            archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) if even else tarfile.open(fileobj=out, mode="w|")
+            with archive:
+                for _, path, content in rows:
+                    if even:
+                        archive.writestr(path, content)
+                    else:
+                        info = tarfile.TarInfo(path)
+                        info.size = len(content)
+                        archive.addfile(info, io.BytesIO(content))
+                    n += 1
+        return n
+
+    _placed(df, root, write)
+
+
 # SQL (DuckDB) that predicts the per-event facts of the generated corpus.
 ORACLE_EVENT_FACTS = """
   ev AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,18 @@ def ship_library(spark: SparkSession) -> None:
     sc._vigil_shipped = True
 
 
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder, in a folder for each value of ``by``, and read it back.
+
+    Like ``checkpoint()`` it cuts lineage and survives executor loss; but readers take only the columns, and with ``by``
+    only the folders, that they ask for.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder: cuts lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
