@@ -8,7 +8,7 @@ stacks both into the sparse long form used for scoring and training.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -225,13 +225,21 @@ def vocabulary(features_long: DataFrame) -> DataFrame:
 
 
 def vectorise(features_long: DataFrame, vocab_df: DataFrame, size: int, key: str = KEY) -> DataFrame:
-    """M8: dense ``ARRAY<DOUBLE>`` in vocabulary order (missing -> 0.0).
+    """M8: one sparse vector for each package, ``features struct<size, indices, values>`` in vocabulary order.
 
-    The vocabulary is bounded (40 named + 6 x buckets hashed); it is broadcast
-    after that bound is checked.
+    Features that the vocabulary lacks, and zeros, are left out; a package without any other has no row. The vocabulary is bounded
+    (40 named + 6 x buckets hashed); it is broadcast after its size is checked.
     """
     from .joins import broadcast_if_small
     vb = broadcast_if_small(vocab_df.select("feature", "idx"))
-    j = features_long.join(vb, "feature", "inner")
-    pairs = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    return j.groupBy(key).agg(pairs.alias("_p")).select(key, T.dense("_p", "idx", "value", size).alias("features"))
+    j = features_long.join(vb, "feature", "inner").where(F.col("value") != 0)
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))))
+    return j.groupBy(key).agg(pairs.alias("_p")).select(key, F.struct(
+        F.lit(size).alias("size"), F.col("_p.idx").alias("indices"), F.col("_p.value").alias("values")).alias("features"))
+
+
+def dense_vector(features: str) -> Column:
+    """A sparse vector as ``array<double>`` of its size."""
+    v = F.col(features)
+    return F.when(v.isNotNull(), F.transform(F.sequence(F.lit(0), v["size"] - 1), lambda i: F.coalesce(
+        F.get(v["values"], (F.array_position(v["indices"], i) - 1).cast("int")), F.lit(0.0))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import text as T
 from ..functions import vocab
 
@@ -78,18 +79,33 @@ def context_snippets(calls: DataFrame, units: DataFrame, radius: int = vocab.SNI
                  F.array_join(lines, "\n")).alias("text"))
 
 
+def block_totals(external: DataFrame, key: str = "package_id") -> DataFrame:
+    """``(package_id, blocks, links, marker)`` of the block counts that an external analyser reports.
+
+    ``external(package_id, blocks, links)``, any number of rows for a package; nulls count as zero. The marker is the
+    string literal by which the totals enter the string features (its wording is a fixed value), null if both are zero.
+    """
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c)
+    marker = F.concat(F.lit("SCALPEL_CFG_BLOCKS="), F.col("blocks").cast("string"), F.lit(";SCALPEL_CFG_EDGES="), F.col("links").cast("string"))
+    return (external.groupBy(key).agg(total("blocks"), total("links"))
+            .withColumn("marker", F.when((F.col("blocks") != 0) | (F.col("links") != 0), marker)))
+
+
 def merge_external_blocks(scalars: DataFrame, external: DataFrame, key: str = "package_id") -> DataFrame:
-    """Add block counts from an external analyser to ``cfg_nodes`` and ``cfg_edges`` of the scalars.
+    """Add block counts from an external analyser to ``cfg_nodes`` and ``cfg_edges`` of the scalars, and its marker
+    strings to the string counters.
 
-    ``external(package_id, blocks, links)``, any number of rows for a package. Packages that the scalars lack get a row
-    with their block counts and zeros; nulls count as zero.
+    Packages that the scalars lack get a row with their block counts and zeros.
     """
-    sums = external.groupBy(key).agg(F.sum(F.coalesce("blocks", F.lit(0))).cast("bigint").alias("_b"),
-                                     F.sum(F.coalesce("links", F.lit(0))).cast("bigint").alias("_l"))
+    sums = block_totals(external, key).select(key, F.col("blocks").alias("_b"), F.col("links").alias("_l"), F.col("marker").alias("_m"))
     j = scalars.join(sums, key, "full_outer")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast(t) for c, t in scalars.dtypes if c != key}
-    zero["cfg_nodes"] = (zero["cfg_nodes"] + F.coalesce("_b", F.lit(0))).cast("bigint")
-    zero["cfg_edges"] = (zero["cfg_edges"] + F.coalesce("_l", F.lit(0))).cast("bigint")
+    more = {"cfg_nodes": F.coalesce("_b", F.lit(0)), "cfg_edges": F.coalesce("_l", F.lit(0))}
+    for name, test in (("high_entropy_strings", P.is_high_entropy_string), ("url_strings", P.is_url_string), ("long_strings", P.is_long_string)):
+        more[name] = F.when(test("_m"), 1).otherwise(0)
+    for name, extra in more.items():
+        if name in zero:
+            zero[name] = (zero[name] + extra).cast("bigint")
     return j.select(key, *[c.alias(n) for n, c in zero.items()])
 
 

@@ -33,11 +33,21 @@ def first_n_per_group(df: DataFrame, n: int, order: list[str | Column], key: str
     return df.withColumn(seq_col, F.row_number().over(w)).where(F.col(seq_col) <= n)
 
 
+#: Lines of a file that one window partition answers for.
+RANGE = 1000
+
+
 def line_context(lines: DataFrame, radius: int, key: list[str], order: str = "ln", line: str = "line",
-                 out: str = "context") -> DataFrame:
-    """The ``radius`` lines before and after each line, as a frame window.
+                 out: str = "context", step: int = RANGE) -> DataFrame:
+    """The ``radius`` lines before and after each line, as a frame window; ``<out>_lines`` counts the lines of the frame.
 
-    Each partition is one file, and a frame holds ``2 * radius + 1`` lines.
+    ``order`` numbers the lines of a file 1, 2, 3 ... A file is cut into ranges of ``step`` lines, each a window partition of
+    its own that also gets the ``radius`` lines on either side, so a long file is many tasks' work.
     """
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(-radius, radius)
-    return lines.withColumn(out, F.array_join(F.collect_list(line).over(w), "\n"))
+    at = F.col(order).cast("bigint") - 1
+    own = F.floor(at / step)
+    to = F.sequence(F.greatest(F.floor((at - radius) / step), F.lit(0).cast("bigint")), F.floor((at + radius) / step))
+    dealt = lines.withColumn("_range", F.explode(to))
+    w = Window.partitionBy(*key, "_range").orderBy(order).rowsBetween(-radius, radius)
+    framed = dealt.withColumn(out, F.array_join(F.collect_list(line).over(w), "\n")).withColumn(f"{out}_lines", F.count(F.lit(1)).over(w))
+    return framed.where(F.col("_range") == own).drop("_range")

@@ -19,6 +19,7 @@ from ..operators import ranking as R
 from ..operators.extract import extract_facts, fact_snippets, stored_facts
 from ..session import checkpoint, ensure_checkpoint_dir, saved
 from ..sources import files as SF
+from ..sources import sinks as SK
 from . import fixtures
 from . import sqlgen as S
 
@@ -388,9 +389,6 @@ def q_context_frame(spark, sf_dir):
     """+-18 line frame around every line that mentions a suspicious word."""
     lines = doc_lines(spark, sf_dir)
     ctx = R.line_context(lines, vocab.SNIPPET_RADIUS, ["doc_id"])
-    w = F.expr(f"count(1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN {vocab.SNIPPET_RADIUS} PRECEDING "
-               f"AND {vocab.SNIPPET_RADIUS} FOLLOWING)")
-    ctx = ctx.withColumn("context_lines", w)
     hit = F.lower("line").rlike(_KW_RE)
     return ctx.where(hit).select("doc_id", "ln", F.md5("context").alias("context_md5"),
                                  F.col("context_lines").cast("bigint").alias("context_lines"))
@@ -1055,20 +1053,91 @@ def q_gd_step(spark, sf_dir):
     return w.select("feature", F.round("weight", 6).alias("weight"))
 
 
+def _gd_sql(steps: int) -> str:
+    """``steps`` gradient steps from zero weights, one after the other."""
+    ctes = [f"""x AS MATERIALIZED (SELECT hw.doc_id, hw.feature, hw.value FROM hw JOIN lab ON hw.doc_id = lab.doc_id WHERE hw.value <> 0
+                UNION ALL SELECT doc_id, '{TR.BIAS}', 1.0 FROM lab)""",
+            "w0 AS MATERIALIZED (SELECT DISTINCT feature, CAST(0 AS DOUBLE) AS weight FROM x)"]
+    for i in range(1, steps + 1):
+        ctes.append(f"""e{i} AS MATERIALIZED (SELECT doc_id, {S.sigmoid('z')} - y AS err FROM lab JOIN
+  (SELECT doc_id, sum(value * weight) AS z FROM x JOIN w{i-1} USING (feature) GROUP BY 1) USING (doc_id)),
+w{i} AS MATERIALIZED (SELECT feature, weight - {vocab.LOGISTIC_LR} * (g + CASE WHEN feature = '{TR.BIAS}' THEN 0 ELSE {vocab.LOGISTIC_L2} * weight END) AS weight
+  FROM w{i-1} JOIN (SELECT feature, sum(err * value) / (SELECT count(*) FROM lab) AS g FROM x JOIN e{i} USING (doc_id) GROUP BY 1) USING (feature))""")
+    return f"WITH {_HW_SQL},\n" + ",\n".join(ctes)
+
+
+def _gd_rows(spark, sf_dir, steps):
+    w = TR.gradient_descent(_doc_features(spark, sf_dir), _doc_labels(spark, sf_dir), epochs=steps)
+    return w.select("feature", F.round("weight", 8).alias("weight"))
+
+
+@register("gd_steps_2", f"{_gd_sql(2)} SELECT feature, round(weight, 8) AS weight FROM w2")
+def q_gd_steps_2(spark, sf_dir):
+    """Two gradient steps, the second from weights that are not zero."""
+    return _gd_rows(spark, sf_dir, 2)
+
+
+@register("gd_steps_3", f"{_gd_sql(3)} SELECT feature, round(weight, 8) AS weight FROM w3")
+def q_gd_steps_3(spark, sf_dir):
+    """Three gradient steps."""
+    return _gd_rows(spark, sf_dir, 3)
+
+
+@register("vectorise", f"""
+WITH {_HW_SQL},
+own AS (SELECT hw.doc_id, feature, value FROM hw WHERE doc_id IN (SELECT doc_id FROM lab)),
+voc AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT feature FROM own))
+SELECT doc_id AS package_id, (SELECT CAST(count(*) AS INTEGER) FROM voc) AS size, idx, round(value, 6) AS value
+FROM own JOIN voc USING (feature) WHERE value <> 0
+""")
+def q_vectorise(spark, sf_dir):
+    """M8: the sparse vectors of the labelled documents, cell by cell."""
+    feats = _doc_features(spark, sf_dir).join(_doc_labels(spark, sf_dir), "package_id", "left_semi")
+    voc = saved(FE.vocabulary(feats), "vocabulary")
+    v = FE.vectorise(feats, voc, voc.count())
+    cells = v.select("package_id", F.col("features.size").alias("size"), F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
+    return cells.select("package_id", "size", F.col("c.indices").alias("idx"), F.round("c.values", 6).alias("value"))
+
+
+@register("model_file", f"{_gd_sql(2)} SELECT feature, round(weight, 8) AS weight, CAST(0.4 AS DOUBLE) AS threshold, 'md5' AS hash FROM w2")
+def q_model_file(spark, sf_dir):
+    """A trained model written as a model file and read again."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    SK.save_model(TR.gradient_descent(_doc_features(spark, sf_dir), _doc_labels(spark, sf_dir), epochs=2), path, threshold=0.4)
+    weights, about = SK.load_model(spark, path)
+    return weights.join(F.broadcast(about.select("threshold", "hash"))).select("feature", F.round("weight", 8).alias("weight"), "threshold", "hash")
+
+
 @register("logistic_train")
 def q_logistic_train(spark, sf_dir):
     """L-BFGS logistic regression (pyspark.ml) on hashed document words vs toxic labels."""
     return TR.logistic_train(_doc_features(spark, sf_dir), _doc_labels(spark, sf_dir), method="lbfgs")
 
 
+def _document_views(spark, sf_dir):
+    """The three views of every document: its language and source, its words, and the graph of words that follow each other."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("package_id"), "text", "lang", "source")
+    fields = F.explode(F.array(F.struct(F.lit("lang").alias("field"), F.col("lang").alias("value")), F.struct(F.lit("source").alias("field"), F.col("source").alias("value"))))
+    metadata = d.select("package_id", fields.alias("f")).select("package_id", "f.field", "f.value").where("value is not null")
+    words = T.embed_tokens("text")
+    follow = F.explode(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))))
+    edges = d.select("package_id", follow.alias("e")).select("package_id", "e.src", "e.dst").where("dst is not null").withColumn("weight", F.lit(1).cast("bigint"))
+    return saved(V.view_matrix(metadata, d.select("package_id", "text"), edges), "views")
+
+
 @register("train_views")
 def q_train_views(spark, sf_dir):
-    """M19 (re-aimed): MLP on attention-weighted hashed views of labelled documents."""
-    d = table(spark, sf_dir, "documents")
-    views = V.densify(V.signed_hash_sparse(V.text_tokens(d.select(F.col("doc_id").alias("package_id"), "text"), "code")))
-    att = SC.channel_attention(views)
-    _model, scored = TR.train_view_classifier(views, att, _doc_labels(spark, sf_dir))
-    return scored
+    """M19 (re-aimed): MLP on the attention-weighted matrix of all three hashed views of labelled documents.
+
+    The network is stored, read again, and scores every labelled document from the file.
+    """
+    views, labels = _document_views(spark, sf_dir), _doc_labels(spark, sf_dir)
+    attention = SC.channel_attention(views)
+    model, _ = TR.train_view_classifier(views, attention, labels)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/view-model-{uuid.uuid4().hex}"
+    SK.save_view_classifier(model, path)
+    stored, _ = SK.load_view_classifier(spark, path)
+    return TR.score_views(stored, TR.view_rows(views, attention, labels.select("package_id", F.col("label").cast("double").alias("label"))))
 
 
 # ------------------------------------------------------------ evidence merge ---
@@ -1105,6 +1174,31 @@ def q_external_evidence(spark, sf_dir):
     return e.join(a, "package_id")
 
 
+@register("external_blocks", f"""
+WITH {OK},
+own AS (SELECT package_id, count(*) FILTER (WHERE event_id % 3 IN (0, 1)) AS n FROM okev GROUP BY 1),
+ext AS (SELECT package_id, CAST(sum(event_id % 4) AS BIGINT) AS blocks, CAST(sum(event_id % 3) AS BIGINT) AS links FROM ev WHERE event_id % 7 = 0 GROUP BY 1),
+marked AS (SELECT *, CASE WHEN blocks <> 0 OR links <> 0 THEN 'SCALPEL_CFG_BLOCKS=' || CAST(blocks AS VARCHAR) || ';SCALPEL_CFG_EDGES=' || CAST(links AS VARCHAR) END AS marker FROM ext),
+ch AS (SELECT package_id, c, count(*) AS k FROM (SELECT package_id, unnest(string_split(marker, '')) AS c FROM marked) GROUP BY 1, 2),
+ent AS (SELECT package_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM ch GROUP BY 1)
+SELECT f.package_id, CAST(coalesce(n, 0) + coalesce(blocks, 0) AS BIGINT) AS cfg_nodes, CAST(2 * coalesce(n, 0) + coalesce(links, 0) AS BIGINT) AS cfg_edges,
+       marker, CASE WHEN length(marker) > {vocab.HIGH_ENTROPY_MIN_LENGTH} AND h > {vocab.HIGH_ENTROPY_MIN_ENTROPY} THEN 1 ELSE 0 END AS marker_strings
+FROM (SELECT DISTINCT package_id FROM files) f LEFT JOIN own USING (package_id) LEFT JOIN marked USING (package_id) LEFT JOIN ent USING (package_id)
+""")
+def q_external_blocks(spark, sf_dir):
+    """Block counts of an external analyser added to the extracted ones, and its marker strings."""
+    scalars = C.package_scalars(event_facts(spark, sf_dir))
+    ext = table(spark, sf_dir, "events").where("event_id % 7 = 0").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("package_id"),
+        (F.col("event_id") % 4).alias("blocks"), (F.col("event_id") % 3).alias("links"))
+    merged = J.merge_external_blocks(scalars, ext).select("package_id", "cfg_nodes", "cfg_edges", "high_entropy_strings")
+    before = scalars.select("package_id", F.col("high_entropy_strings").alias("_before"))
+    marks = J.block_totals(ext).select("package_id", "marker")
+    return merged.join(before, "package_id", "left").join(marks, "package_id", "left").select(
+        "package_id", F.col("cfg_nodes").cast("bigint").alias("cfg_nodes"), F.col("cfg_edges").cast("bigint").alias("cfg_edges"), "marker",
+        (F.col("high_entropy_strings") - F.coalesce("_before", F.lit(0))).cast("int").alias("marker_strings"))
+
+
 # ------------------------------------------------------------- fused & report ---
 
 def event_views(spark, sf_dir):
@@ -1266,6 +1360,26 @@ def q_report_json(spark, sf_dir):
     return RP.report_json(event_reports(spark, sf_dir).select("input", "prediction"))
 
 
+@register("report_lists", f"""
+WITH {OK}{_SNIP},
+pk AS (SELECT DISTINCT package_id FROM files),
+err AS (SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY path) AS n FROM files WHERE broken),
+errs AS (SELECT package_id, string_agg(path, '|' ORDER BY n) AS error_files FROM err WHERE n <= 10 GROUP BY 1),
+sn AS (SELECT package_id, text, row_number() OVER (PARTITION BY package_id ORDER BY snippet_seq) AS n FROM snips),
+sns AS (SELECT package_id, md5(string_agg(text, chr(10) ORDER BY n)) AS snippets_md5, CAST(count(*) AS INTEGER) AS n_snippets FROM sn WHERE n <= 5 GROUP BY 1)
+SELECT pk.package_id AS input, coalesce(error_files, '') AS error_files, coalesce(n_snippets, 0) AS n_snippets, coalesce(snippets_md5, md5('')) AS snippets_md5
+FROM pk LEFT JOIN errs USING (package_id) LEFT JOIN sns USING (package_id)
+""")
+def q_report_lists(spark, sf_dir):
+    """The first ten errors and five snippets of each report, from reports written as JSON and read again."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    reports = event_reports(spark, sf_dir)
+    RP.write_reports(reports, path)
+    r = spark.read.schema(reports.schema).json(path)
+    return r.select("input", F.array_join(F.transform("analysis_errors", lambda e: F.split(e, ":")[0]), "|").alias("error_files"),
+                    F.size("snippets").alias("n_snippets"), F.md5(F.array_join("snippets", "\n")).alias("snippets_md5"))
+
+
 @register("rt_metadata", """
 WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 f AS (

@@ -45,3 +45,21 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     bias = m.select(F.lit(BIAS).alias("feature"), F.col("bias").cast("double").alias("weight"))
     return fw.unionByName(bias), m.select(F.col("bias").cast("double").alias("bias"),
                                           F.col("threshold").cast("double").alias("threshold"), "hash")
+
+
+def save_view_classifier(model, path: str, hash: str = "md5") -> None:
+    """The trained network, and beside it its seed, its layers and the ``hash`` of its vectors' dimensions."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path.rstrip('/')}/network")
+    about = [(int(model.getSeed()), [int(n) for n in model.getLayers()], hash, vocab.MODEL_VERSION)]
+    spark.createDataFrame(about, "seed long, layers array<int>, hash string, version string").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/about")
+
+
+def load_view_classifier(spark: SparkSession, path: str, hash: str = "md5"):
+    """(the network, a dict of its seed, layers, hash and version). Another hash than ``hash`` is refused."""
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+
+    about = spark.read.json(f"{path.rstrip('/')}/about").first().asDict()
+    if about["hash"] != hash:
+        raise ValueError(f"the model's dimensions are by {about['hash']}, the views by {hash}")
+    return MultilayerPerceptronClassificationModel.load(f"{path.rstrip('/')}/network"), about
