@@ -93,3 +93,9 @@ def test_passages_of_just_over_fifty_words_go_whole(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = {r["doc_id"]: r["text"].replace("\n", "") for r in cd.deduplicate(df).collect()}
     assert [k for k in left if got[k] != left[k].replace("\n", "")] == []
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "k", 2, "m", "h", 5)], "doc_id bigint, text string, text_key string, __id int, __marks string, held string, n_bytes int")
+    (r,) = cd.deduplicate(df).collect()
+    assert (r["text_key"], r["__id"], r["__marks"], r["held"], r["n_bytes"]) == ("k", 2, "m", "h", 3)

@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontamination import brute as windows
@@ -97,3 +98,18 @@ def test_near_dedup_links_at_80_percent(spark):
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2, 3]
     assert neardup.near_duplicates(df, 85).where("kept").count() == 4
+
+
+def test_columns_of_any_name_are_carried(spark, folder):
+    d, _ = folder
+    more = {"text_key": "k", "__text_key": "m", "n_words": "w", "kept": "x", "n_hit": "h", "carried": "c", "__key": "y", "a.b": "z"}
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null")
+    for name, mark in more.items():
+        docs = docs.withColumn(name, F.concat(F.lit(mark), F.col("doc_id").cast("string")))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, d).cache()
+        assert docs.columns == names, name
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{m}{r['doc_id']}" for r in rows for n, m in more.items()), name
+    assert corpus_pipeline.byte_bpe(spark, docs, d).count() == len(rows)

@@ -153,10 +153,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     n_repeated counts the bytes of repeated stretches, first copies included; n_removed those that went, in n_spans
     runs. A null text stays null and counts as empty. Rows equal in doc_id and text are one document and are treated
-    alike. Columns with the names of the counts are replaced.
+    alike. Columns with the names of the counts are replaced, all others stay whatever their names.
     """
     made = {"n_bytes": "long", "n_chunks": "long", "n_repeated": "long", "n_removed": "long", "n_spans": "long"}
-    rows = docs.drop(*made, "text_key").withColumn("text_key", F.xxhash64("text"))
+    held = [c for c in docs.columns if c not in ("doc_id", "text") and c not in made]
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held)]) if held else F.lit(None).cast("int")
+    rows = docs.select("doc_id", "text", packed.alias("held"), F.xxhash64("text").alias("text_key"))
     narrow = rows.select("doc_id", "text_key", "text")
     again = written(_chunk_hashes(narrow).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     chunk = _chunk_rows(narrow).withColumn("hash", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
@@ -188,7 +190,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(made)))], schema=None, names=[*names, *made])
 
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_key").eqNullSafe(F.col("__key")), "left")
-    return joined.drop("__id", "__key", "text_key").mapInArrow(run, schema)
+    out = joined.drop("__id", "__key", "text_key").mapInArrow(run, schema)
+    place = {c: F.col("held")[f"c{i}"].alias(c) for i, c in enumerate(held)}
+    return out.select(*[place.get(c, c) for c in docs.columns if c not in made], *made)
 
 
 def _applied(whole: bytes, borders: np.ndarray, marks) -> tuple[bytes, tuple[int, ...]]:
