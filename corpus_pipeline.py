@@ -7,11 +7,14 @@ counts or joins over the corpus count what they are given, not the first table.
 Nulls and ties: a document without text fails the quality rules; of near-copies the least doc_id stays, null
 last (of rows with that same doc_id the least text digest, of equal rows one); documents that are no near-copies all
 stay, also under one doc_id or none; an empty table goes through as an empty table; columns that
-``documents`` has besides the five are carried along.
+``documents`` has besides the five are carried along as they are up to the last stage, also such as have the name of
+a column that a stage makes for itself.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +25,31 @@ from vigil.llm.decontamination import contamination
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 NEAR = 80
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = "carried"
+
+
+def carrying(stage):
+    """``stage`` on the five columns of ``documents``; all others, whatever their names, go along in one struct."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in COLUMNS]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        packed = docs.select(*COLUMNS, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)]).alias(CARRIED))
+        place = {c: F.col(CARRIED)[f"c{i}"].alias(c) for i, c in enumerate(extra)}
+        return stage(spark, packed, sf_dir).select(*[place.get(c, c) for c in docs.columns])
+    return run
 
 
+@carrying
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the classifier keep."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("kept").select(*docs.columns)
 
 
+@carrying
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies, which share ``NEAR`` % of their shingles."""
     found = written(neardup.near_duplicates(docs, NEAR), "near").where("n_shingles > 0")
@@ -48,12 +68,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@carrying
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks that an earlier document has; n_chars is that of the new text."""
     out = chunkdedup.deduplicate(docs)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@carrying
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
@@ -61,7 +83,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token_ids and n_tokens of every document; the decoded ids give the text again."""
-    out = bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+    out = bpe.encode_documents(docs.select(*COLUMNS), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
     return (out.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")))
 
