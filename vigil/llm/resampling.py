@@ -8,8 +8,8 @@ adjacent words joined by a space is composed from theirs: a CRC is linear, so th
 of the first is advanced by the second's length and added. CRCs modulo
 ``BUCKETS`` are the features.
 
-1. *Dictionary.* Words are counted over all rows, the most frequent ``max_words`` of at
-   most ``MAX_WORD`` bytes make the dictionary. It only saves work: words that it
+1. *Dictionary.* Words are counted over all rows; the most frequent, up to ``max_words`` of
+   at most ``MAX_WORD`` bytes, make the dictionary. It only saves work: words that it
    lacks get the same payload from their own bytes, so no result depends on it.
 2. *Counting.* Each task adds up the buckets of its rows; the sums have 10,000 rows.
 3. *Scoring.* The gains of the buckets are averaged over each document's features.
@@ -136,7 +136,8 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, max_words: int = MAX_WORDS) -> bytes:
-    """The most frequent words of all texts (the least of equally frequent ones), joined by spaces: at most 4 MB."""
+    """Words of all texts, joined by spaces: those of at least the frequency (a power of 2 ** 0.25) that at most
+    ``max_words`` words reach, so that the driver gets no more than these (4 MB)."""
     def run(batches):
         held: Counter = Counter()
 
@@ -156,7 +157,14 @@ def dictionary(rows: DataFrame, max_words: int = MAX_WORDS) -> bytes:
             yield sent()
 
     counts = _texts(rows).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    counts = written(counts.withColumn("level", F.floor(4 * F.log2("n")).cast("int")), "words")
+    level, left = None, max_words
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):  # 4 * 63 levels at most
+        left -= r["words"]
+        if left < 0:
+            break
+        level = r["level"]
+    best = [] if level is None else counts.where(F.col("level") >= level).select("word").collect()
     return b" ".join(sorted(bytes(r["word"]) for r in best))
 
 
