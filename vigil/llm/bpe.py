@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,12 @@ from pyspark.sql import DataFrame
 from .common import extended
 from .wordspans import parts
 
-MAX_STATES = 120_000
+#: States that a worker keeps from task to task where encoding is all it does, and within a task as a stage among others.
+MAX_STATES, STAGE_STATES = 300_000, 120_000
 #: Pieces whose encodings a worker remembers.
 MAX_PIECES = 400_000
+#: Texts up to so many characters are split into pieces at once.
+AT_ONCE = 1 << 20
 
 
 def read_ranks(lines) -> dict[bytes, int]:
@@ -64,6 +68,11 @@ class Encoder:
         self.stable_pairs: dict[tuple[int | None, int], bool] = {}
         self._forget()
 
+    def forget(self):
+        """Drop all states and pairs, as at the end of a task: a worker that lives on keeps the vocabulary only."""
+        self.stable_pairs.clear()
+        self._forget()
+
     def _forget(self):
         """Drop all states; moves still held lead to states that are no longer shared, which is harmless."""
         self.states: dict[tuple, _State] = {}
@@ -109,7 +118,7 @@ class Encoder:
                 before, right = (right, 2), undo_right[0]
             else:
                 break
-        if len(self.stable_pairs) > 4 * self.max_states:
+        if len(self.stable_pairs) > self.max_states:
             self.stable_pairs.clear()
         self.stable_pairs[s, t] = known
         return known
@@ -219,15 +228,15 @@ def decode_stream(ids, bytes_of: dict[int, bytes]) -> Iterator[str]:
     yield stream.close()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_states: int = MAX_STATES) -> Encoder:
     """The encoder of the rank file at ``path``, one for each worker process."""
-    if path not in _ENCODERS:
+    if (path, max_states) not in _ENCODERS:
         with open(path, "rb") as f:
-            _ENCODERS[path] = Encoder(read_ranks(f))
-    return _ENCODERS[path]
+            _ENCODERS[path, max_states] = Encoder(read_ranks(f), max_states)
+    return _ENCODERS[path, max_states]
 
 
 class Pieces:
@@ -236,6 +245,10 @@ class Pieces:
     def __init__(self, enc: Encoder, make):
         self.enc, self.make, self.known, self.older = enc, make, {}, {}
 
+    def every(self, pieces: list[str]) -> list:
+        known = self.known.get
+        return [known(p) or self(p) for p in pieces]
+
     def __call__(self, piece: str):
         found = self.known.get(piece)
         if found is None:
@@ -244,7 +257,8 @@ class Pieces:
             found = self.older.get(piece)
             if found is None:
                 ids = self.enc.encode(piece.encode("utf-8"))
-                text = "".join(decode_stream(ids, self.enc.bytes_of))
+                stream = Utf8Stream()
+                text = stream.feed(b"".join([self.enc.bytes_of[i] for i in ids])) + stream.close()
                 found = self.make(ids, piece if text == piece else text)  # one copy of equal strings is enough
             self.known[piece] = found
         return found
@@ -254,25 +268,28 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     """``df`` with ``token_ids`` (array<int>) and ``decoded`` (string): the whole text encoded, and decoded again.
 
     ``pattern`` splits a text into pieces that are encoded separately. A null text counts as empty. Rows stay as they
-    are otherwise; columns of the two names are replaced.
+    are otherwise; columns of the two names are replaced. At the end of a task the worker gives the states back, as
+    other stages of the session may need the memory.
     """
     keep = df.drop("token_ids", "decoded")
     schema = extended(keep, {"token_ids": "array<int>", "decoded": "string"})
     names = schema.names
 
     def run(batches):
-        pieces, split = Pieces(encoder(ranks_path), lambda ids, s: (np.array(ids, np.int32).tobytes(), s)), regex.compile(pattern)
+        enc = encoder(ranks_path, STAGE_STATES)
+        pieces, split = Pieces(enc, lambda ids, s: (np.array(ids, np.int32).tobytes(), s)), regex.compile(pattern)
         for batch in batches:
             for lo, hi in parts(batch.column(text), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 ids, texts, ends = [], [], [0]
                 for value in part.column(text).to_pylist():
-                    found = [pieces(m) for m in split.findall(value or "")]
+                    found = pieces.every(split.findall(value or ""))
                     ids.append(b"".join([x for x, _ in found]))
                     ends.append(ends[-1] + len(ids[-1]) // 4)
                     texts.append("".join([s for _, s in found]))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
+        enc.forget()
 
     return keep.mapInArrow(run, schema)
 
@@ -280,18 +297,21 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
 def token_digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids_sha256 and decoded_sha256 of every text, without shipping the ids."""
     def run(batches):
-        made = Pieces(encoder(ranks_path), lambda ids, s: (len(ids), "".join(f",{i}" for i in ids).encode(), s))
+        enc = encoder(ranks_path)
+        said = {i: b",%d" % i for i in enc.bytes_of}
+        made = Pieces(enc, lambda ids, s: (len(ids), b"".join([said[i] for i in ids]), s))
         split = regex.compile(pattern)
         for batch in batches:
             rows = []
             for value in batch.column(1):
                 ids, out, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-                held: list[tuple] = []
-                for m in split.finditer(value.as_py() or ""):
-                    held.append(made(m[0]))
-                    if len(held) == 4096:
-                        n, first = feed(held, ids, out, n, first)
-                n, first = feed(held, ids, out, n, first)
+                whole = value.as_py() or ""
+                if len(whole) <= AT_ONCE:
+                    n, first = feed(made.every(split.findall(whole)), ids, out, n, first)
+                else:
+                    found = (m[0] for m in split.finditer(whole))
+                    while held := list(itertools.islice(found, 4096)):
+                        n, first = feed(made.every(held), ids, out, n, first)
                 rows.append((n, ids.hexdigest(), out.hexdigest()))
             cols = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
@@ -299,11 +319,11 @@ def token_digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_
 
     def feed(held, ids, out, n, first):
         if held:
-            numbers = b"".join(x[1] for x in held)
+            sizes, numbers, texts = zip(*held)
+            numbers = b"".join(numbers)
             ids.update(numbers[1:] if first else numbers)
-            out.update("".join(x[2] for x in held).encode("utf-8"))
-            n, first = n + sum(x[0] for x in held), False
-            held.clear()
+            out.update("".join(texts).encode("utf-8"))
+            n, first = n + sum(sizes), False
         return n, first
 
     narrow = df.select(key, text)
