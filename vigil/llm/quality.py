@@ -26,6 +26,8 @@ from .wordspans import SPACE, as_is, flat, grams, parts, scrambled, sums, words_
 BITS = 14
 MAX_LABELLED = 4000
 THRESHOLD = 0.5
+#: Bytes of text whose words, lines and n-grams are in arrays at a time (about a hundred times as many bytes).
+PART = 1 << 20
 MIN_WORDS, REPEAT_SPAN, REPEAT_PERCENT = 20, 8, 30
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -102,7 +104,7 @@ def _features(rows: DataFrame) -> DataFrame:
     """(quality, buckets, shares) of labelled texts: sparse, for the bounded sample only."""
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text")):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 data, offsets = flat(part.column("text"))
                 words = words_of(data, offsets, as_is())
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text")):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 data, offsets = flat(part.column("text"))
                 words = words_of(data, offsets, as_is())
