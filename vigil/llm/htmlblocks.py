@@ -49,7 +49,7 @@ OTHER_NAMES = ("nav menu header footer aside sidebar ad ads advert advertisement
                "modal form search login signup subscribe newsletter comment comments reply replies discussion share social related "
                "recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal tags meta masthead").split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)(>))?", re.S)
 _QUOTE_OR_END = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
@@ -142,11 +142,15 @@ def blocks(page: str) -> list[Block]:
         closing, tag = m[1], (m[2] or "").lower()
         if not tag:
             continue
-        stop = tag_end(at)
-        if stop < 0:  # no tag ends from here on: what is left is text
-            said(page[m.start():])
-            break
-        rest, at = page[at:stop], stop + 1
+        if m[4] and not tag_end.plain:  # the usual tag, found without a step beyond the next "<"
+            rest = m[3]
+        else:
+            at = m.end(2)
+            stop = tag_end(at)
+            if stop < 0:  # no tag ends from here on: what is left is text
+                said(page[m.start():])
+                break
+            rest, at = page[at:stop], stop + 1
         if closing:
             if tag not in INLINE:
                 end()
