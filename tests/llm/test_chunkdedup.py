@@ -99,3 +99,25 @@ def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame([(1, "a b", "k", 2, "m", "h", 5)], "doc_id bigint, text string, text_key string, __id int, __marks string, held string, n_bytes int")
     (r,) = cd.deduplicate(df).collect()
     assert (r["text_key"], r["__id"], r["__marks"], r["held"], r["n_bytes"]) == ("k", 2, "m", "h", 3)
+
+
+def test_the_end_of_a_passage_goes_however_far_the_last_cut(spark):
+    """The passage ends in bytes without any cut, many more than a usual chunk has; and in another text it does not."""
+    rng = random.Random(11)
+    passage = say(rng, 60) + " " + "a" * 900
+    rows = [(1, say(rng, 40) + "\n" + passage + " " + say(rng, 40)), (2, say(rng, 40) + "\n" + passage + "\n" + say(rng, 40))]
+    got = {r["doc_id"]: r for r in cd.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_spans"] == 1
+    assert got[2]["text"].replace("\n", "") == rows[1][1].replace(passage, "").replace("\n", "")
+
+
+def test_whole_copies(spark):
+    """Equal texts: the least doc_id stays, null before all; short texts stay; a row met twice is one document."""
+    rng = random.Random(12)
+    one, two = say(rng, 80), say(rng, 80)
+    rows = [(4, one), (2, one), (9, one), (2, one), (7, two), (None, two), (5, "a few words"), (6, "a few words"), (8, one + "\n" + two)]
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"], r["n_repeated"]) for r in cd.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    n, m = len(one.encode()), len(two.encode())
+    assert [g[:3] for g in got[:7]] == [(0, two, 0), (2, one, 0), (2, one, 0), (4, "", n), (5, "a few words", 0), (6, "a few words", 0), (7, "", m)]
+    assert got[7][0] == 8 and got[7][1].strip() == ""
+    assert [g[3] for g in got[:4]] == [m, n, n, n]
