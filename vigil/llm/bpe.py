@@ -168,19 +168,31 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        if not piece:
+            return []
         out, state = [], self.start
-        for byte in piece:
+        for byte in piece[:-1]:
             move = state.moves.get(byte)
             if move is None:
                 move = state.moves[byte] = self.step(state, byte)
             state, sure = move
             if sure:
                 out += sure
-        rest, at, lasts = [], len(state.pending), state.lasts
-        while at:
-            rest.append(lasts[at - 1])
-            at -= self.length[lasts[at - 1]]
-        return out + rest[::-1]
+        out += self.final(state, piece[-1])
+        return out
+
+    def final(self, state: _State, byte: int) -> list[int]:
+        """The tokens of the pending bytes and the last byte of a piece; the state after it is not made."""
+        pending, lasts, length = state.pending + bytes((byte,)), state.lasts, self.length
+        for at in state.live:
+            t = self.ranks.get(pending[at:])
+            if t is not None and self.stable(lasts[at - 1] if at else state.before, t):
+                rest = [t]
+                while at:
+                    rest.append(lasts[at - 1])
+                    at -= length[rest[-1]]
+                return rest[::-1]
+        raise ValueError(f"no token ends with byte {byte}")
 
 
 class Utf8Stream:
@@ -246,8 +258,10 @@ class Pieces:
         self.enc, self.make, self.known, self.older = enc, make, {}, {}
 
     def every(self, pieces: list[str]) -> list:
-        known = self.known.get
-        return [known(p) or self(p) for p in pieces]
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [self(p) if f is None else f for f, p in zip(found, pieces)]
+        return found
 
     def __call__(self, piece: str):
         found = self.known.get(piece)
@@ -264,6 +278,10 @@ class Pieces:
         return found
 
 
+#: Pieces that a worker remembers from task to task where digests are all it makes, by rank file.
+_DIGESTED: dict[str, Pieces] = {}
+
+
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``token_ids`` (array<int>) and ``decoded`` (string): the whole text encoded, and decoded again.
 
@@ -298,8 +316,10 @@ def token_digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_
     """``key``, n_tokens, ids_sha256 and decoded_sha256 of every text, without shipping the ids."""
     def run(batches):
         enc = encoder(ranks_path)
-        said = {i: b",%d" % i for i in enc.bytes_of}
-        made = Pieces(enc, lambda ids, s: (len(ids), b"".join([said[i] for i in ids]), s))
+        made = _DIGESTED.get(ranks_path)
+        if made is None:
+            said = {i: b",%d" % i for i in enc.bytes_of}
+            made = _DIGESTED[ranks_path] = Pieces(enc, lambda ids, s: (len(ids), b"".join([said[i] for i in ids]), s))
         split = regex.compile(pattern)
         for batch in batches:
             rows = []
