@@ -21,6 +21,8 @@ Work is per row, in Arrow batches; nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -77,6 +79,7 @@ class Encoder:
         """Drop all states; moves still held lead to states that are no longer shared, which is harmless."""
         self.states: dict[tuple, _State] = {}
         self.start = _State(None, b"", (), (0,))
+        gc.collect()  # states lead back to one another
 
     def halved(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``t``, None for a single byte (or a token that merges never make)."""
@@ -195,6 +198,16 @@ class Encoder:
         raise ValueError(f"no token ends with byte {byte}")
 
 
+@contextlib.contextmanager
+def uncollected():
+    """Without the cyclic collector, which would go through all states again and again; ``_forget`` calls it."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class Utf8Stream:
     """Incremental UTF-8: ``feed`` returns the characters that are whole by now, ``close`` what is left.
 
@@ -278,10 +291,18 @@ class Pieces:
         return found
 
 
-#: Pieces that a worker remembers from task to task where digests are all it makes, by rank file.
 _DIGESTED: dict[str, Pieces] = {}
 
 
+def digested(path: str) -> Pieces:
+    """Number of tokens, ids as said in digests and text of every piece, for each worker process one, kept from task to task."""
+    if path not in _DIGESTED:
+        enc = encoder(path)
+        said = {i: b",%d" % i for i in enc.bytes_of}
+        _DIGESTED[path] = Pieces(enc, lambda ids, s: (len(ids), b"".join([said[i] for i in ids]), s))
+    return _DIGESTED[path]
+
+
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``token_ids`` (array<int>) and ``decoded`` (string): the whole text encoded, and decoded again.
 
@@ -296,17 +317,18 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     def run(batches):
         enc = encoder(ranks_path, STAGE_STATES)
         pieces, split = Pieces(enc, lambda ids, s: (np.array(ids, np.int32).tobytes(), s)), regex.compile(pattern)
-        for batch in batches:
-            for lo, hi in parts(batch.column(text), 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                ids, texts, ends = [], [], [0]
-                for value in part.column(text).to_pylist():
-                    found = pieces.every(split.findall(value or ""))
-                    ids.append(b"".join([x for x, _ in found]))
-                    ends.append(ends[-1] + len(ids[-1]) // 4)
-                    texts.append("".join([s for _, s in found]))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
+        with uncollected():
+            for batch in batches:
+                for lo, hi in parts(batch.column(text), 1 << 20):
+                    part = batch.slice(lo, hi - lo)
+                    ids, texts, ends = [], [], [0]
+                    for value in part.column(text).to_pylist():
+                        found = pieces.every(split.findall(value or ""))
+                        ids.append(b"".join([x for x, _ in found]))
+                        ends.append(ends[-1] + len(ids[-1]) // 4)
+                        texts.append("".join([s for _, s in found]))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
         enc.forget()
 
     return keep.mapInArrow(run, schema)
@@ -315,27 +337,23 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
 def token_digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, ids_sha256 and decoded_sha256 of every text, without shipping the ids."""
     def run(batches):
-        enc = encoder(ranks_path)
-        made = _DIGESTED.get(ranks_path)
-        if made is None:
-            said = {i: b",%d" % i for i in enc.bytes_of}
-            made = _DIGESTED[ranks_path] = Pieces(enc, lambda ids, s: (len(ids), b"".join([said[i] for i in ids]), s))
-        split = regex.compile(pattern)
-        for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                ids, out, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-                whole = value.as_py() or ""
-                if len(whole) <= AT_ONCE:
-                    n, first = feed(made.every(split.findall(whole)), ids, out, n, first)
-                else:
-                    found = (m[0] for m in split.finditer(whole))
-                    while held := list(itertools.islice(found, 4096)):
-                        n, first = feed(made.every(held), ids, out, n, first)
-                rows.append((n, ids.hexdigest(), out.hexdigest()))
-            cols = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
-                                             names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        made, split = digested(ranks_path), regex.compile(pattern)
+        with uncollected():
+            for batch in batches:
+                rows = []
+                for value in batch.column(1):
+                    ids, out, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
+                    whole = value.as_py() or ""
+                    if len(whole) <= AT_ONCE:
+                        n, first = feed(made.every(split.findall(whole)), ids, out, n, first)
+                    else:
+                        found = (m[0] for m in split.finditer(whole))
+                        while held := list(itertools.islice(found, 4096)):
+                            n, first = feed(made.every(held), ids, out, n, first)
+                    rows.append((n, ids.hexdigest(), out.hexdigest()))
+                cols = list(zip(*rows)) if rows else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
+                                                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def feed(held, ids, out, n, first):
         if held:
