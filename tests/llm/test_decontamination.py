@@ -40,3 +40,12 @@ def test_against_brute_force(spark):
     none = contamination(d, b.limit(0)).collect()
     assert len(none) == len(docs) and not any(r["contaminated"] for r in none)
     assert contamination(d.limit(0), b).count() == 0
+
+
+def test_own_columns_stay(spark):
+    """Columns with the names that the join makes for itself come back as they were."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", "k", 3, [4]), (2, None, "m", None, None)],
+                                 "doc_id int, text string, __key string, __hit int, __ids array<int>")
+    items = spark.createDataFrame([("x", "b c d e f g h i j k")], "item_id string, text string")
+    got = contamination(docs, items).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_hit"], r["__key"], r["__hit"], r["__ids"]) for r in got] == [(1, 10, "k", 3, [4]), (2, 0, "m", None, None)]

@@ -6,12 +6,31 @@ import textwrap
 
 from vigil.llm import licenses
 
-COPYRIGHT = re.compile(r"^[^\n0-9a-z]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", re.M)
+def states_copyright(line):
+    """A line with nothing but a copyright: its word or sign, then a year, sign or placeholder, or a year at the end."""
+    said = re.sub(r"^[^0-9a-z]*", "", line)
+    raw = line[:len(line) - len(said)]
+    for start in ("copyright", "c)"):
+        if said.startswith(start) and (start == "copyright" or raw.endswith("(")):
+            rest = said[len(start):]
+            lead = re.match(r"[^0-9a-z]*", rest)[0]
+            after = rest[len(lead):]
+            if re.match(r"[0-9]{4}", after) or (after.startswith("c)")) or "©" in lead:
+                return True
+            if lead[-1:] in list("<[{") and after.startswith(("year", "yyyy", "name", "copyright", "owner")):
+                return True
+            if start == "copyright" and re.search(r"[^0-9a-z][0-9]{4}[^0-9a-z]*$", rest):
+                return True
+    if "©" in raw and (re.match(r"[0-9]{4}|c\)", said) or raw.rindex("©") != raw.index("©") or
+                       (raw[-1:] in list("<[{") and said.startswith(("year", "yyyy", "name", "copyright", "owner")))):
+        return True
+    return said.startswith("all rights reserved") and not re.search("[0-9a-z]", said[len("all rights reserved"):])
 
 
 def canonical(text):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    t = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", COPYRIGHT.sub(" ", t)).strip(" ")
+    t = "\n".join(" " if states_copyright(x) else x for x in t.split("\n"))
+    t = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", t).strip(" ")
     for a, b in licenses.SPELLINGS:
         t = t.replace(a, b)
     return t
@@ -35,6 +54,47 @@ def test_scan(spark):
     assert licenses.scan(df, [("own", "x" * 200000)]).where("license_id = 'own'").count() == 1
 
 
+def test_copyright_lines(spark):
+    """Statements go, sentences stay; Java, DuckDB and plain Python agree."""
+    import duckdb
+    lines = ["Copyright (c) 2020 A. Person", "copyright 2020", " * Copyright © Some One", "© 2019-2020 X", "(C) 1995 Some One", "Copyright <year> <holder>",
+             "Copyright [yyyy] [name of copyright owner]", "Copyright The Foo Authors, 2019.", "All rights reserved.", "-- all rights reserved --",
+             "copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "copyright law of 1976 protects works",
+             "(c) You must retain, in the Source form", "all rights reserved to us", "copyright", "(c)", "©", "Copyright20201", "copyright\r", "x copyright (c) 2020",
+             "copyright \u2028 2020 x", "\u2028copyright 2020", "\u0085(c) 2020", "é copyright 2020", "copyright é 2020", "copyright 12345", "© (c) x", "©© x"]
+    text = [f"a\n{x}\nb" for x in lines]
+    want = [canonical(t) for t in text]
+    df = spark.createDataFrame(list(enumerate(text)), "n int, text string")
+    assert [r["c"] for r in df.select("n", licenses.canonical(df["text"]).alias("c")).orderBy("n").collect()] == want
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in text]
+    got = [duckdb.execute("SELECT regexp_replace(?, ?, ' ', 'g')", [t, f"(?m){licenses.COPYRIGHT_LINE}"]).fetchone()[0] for t in low]
+    assert got == ["\n".join(" " if states_copyright(x) else x for x in t.split("\n")) for t in low]
+    assert want[10].startswith("a copyright notice") and want[0] == "a b"
+
+
+def test_lines_looked_up(spark):
+    """The lines that are looked up hold all that the whole table of lines would find, whatever the spelling of their first word."""
+    known = [("A", "Licensed by the board"), ("B", "sublicense-license it"), ("C", "percent of all"), ("D", "Été sans fin"), ("E", "noninfringement")]
+    lines = ["licenced BY the board", "  (Licensed by the board)", "sub licence licence it", "sublicense licence it", "per cent of all", "été sans fin", "Été sans fin!",
+             "non infringement", "Non-Infringement", "we are licensed by the board", "", "percent", "sub license\tlicense it\r"]
+    df = spark.createDataFrame([(1, "\n".join(lines), 5), (2, "\n\n" + lines[0], 6)], "doc_id int, text string, __key int")
+    got = {r["doc_id"]: (r["notices"], r["n_notices"], r["__key"]) for r in licenses.scan(df, known).collect()}
+    plain = {canonical(t): i for i, t in known}
+    own = [plain[canonical(x)] for x in lines if canonical(x) in plain]
+    assert got == {1: (",".join(sorted(set(own))), len(own), 5), 2: ("A", 1, 6)} and len(own) == 9
+    every = licenses.scan(df, [*known, ("none", "--")]).where("doc_id = 2").first()
+    assert (every["notices"], every["n_notices"]) == ("A,none", 3)
+
+
+def test_any_width(spark):
+    """All texts are found wrapped at each width from 36 to 130, with indented lines or not."""
+    texts = dict(reversed(licenses.KNOWN[:6])) | {"Zlib": licenses._ZLIB, "Unlicense": licenses._UNLICENSE}
+    rows = [(name, width, "\n\n".join(textwrap.fill(x, width, subsequent_indent=indent) for x in text.split("\n\n")))
+            for name, text in texts.items() for width in range(36, 131) for indent in ("", "   ")]
+    df = spark.createDataFrame(rows, "want string, width int, text string")
+    assert licenses.scan(df).where("license_id is null or license_id != want").select("want", "width").collect() == []
+
+
 def test_published_wrappings(spark):
     """Every licence as it is published: with its title, a copyright statement, and lines that go on with ``copyright``."""
     full = dict(reversed(licenses.KNOWN[:6]))

@@ -53,10 +53,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("node,levels", [(1024, 4), (8, 4), (4, 0)])
-def test_against_brute_force(spark, monkeypatch, node, levels):
-    monkeypatch.setattr(neardup, "NODE", node)
-    monkeypatch.setattr(neardup, "LEVELS", levels)
+@pytest.mark.parametrize("node,levels,thin", [(1024, 4, 8), (8, 4, 8), (4, 0, 3), (4, 0, 0)])
+def test_against_brute_force(spark, monkeypatch, node, levels, thin):
+    for name, value in {"NODE": node, "LEVELS": levels, "THIN": thin}.items():
+        monkeypatch.setattr(neardup, name, value)
     rows = corpus()
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id bigint, text string, cid int")
     got = neardup.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()
@@ -64,9 +64,10 @@ def test_against_brute_force(spark, monkeypatch, node, levels):
     assert sorted(map(tuple, got), key=str) == want
 
 
-def test_pairs_in_large_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("thin", [0, 3])
+def test_pairs_in_large_nodes(spark, monkeypatch, thin):
     """Pairs around a hot passage, with nothing but large nodes: what falls apart in one tree stays together in another."""
-    for name, value in {"NODE": 30, "LEVELS": 1, "BRANCHES": 1}.items():
+    for name, value in {"NODE": 30, "LEVELS": 1, "BRANCHES": 1, "THIN": thin}.items():
         monkeypatch.setattr(neardup, name, value)
     rows = []
     for seed in range(120):
@@ -80,6 +81,26 @@ def test_pairs_in_large_nodes(spark, monkeypatch):
     assert [k for k in got if got[k] != k - k % 2] == []
 
 
+def test_branches_and_miss():
+    """Thinned nodes branch to 1 / J nodes on average, by their path alone; the stated chance of a miss is that of a simulation."""
+    second = neardup._second(0.8)
+    drawn = [neardup._thinned(p, second) for p in range(-4000, 4000)]
+    assert abs(sum(drawn) / len(drawn) - 1.25) < 0.03 and drawn == [neardup._thinned(p, second) for p in range(-4000, 4000)]
+    rng = random.Random(9)
+
+    def together(level):
+        if rng.random() >= 0.8:
+            return False
+        if level == 0:
+            return True
+        n = 2 if level > neardup.THIN else 1 + (rng.random() < second)
+        return any([together(level - 1) for _ in range(n)])
+
+    alone = sum(not together(neardup.LEVELS + neardup.THIN) for _ in range(4000)) / 4000
+    assert abs(alone - neardup.missed(0.8, 1)) < 0.03
+    assert all(neardup.missed(p / 100, neardup.trees_for(p)) <= neardup.MISS for p in (70, 80, 85, 95, 100))
+
+
 def test_empty_and_components(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert neardup.near_duplicates(empty).count() == 0

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, unused, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -128,18 +128,19 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     comma-joined sorted ids of the items that have one.
     """
     hits = written(find_windows(docs, items, span), "hits")
+    key, hit, own = (unused(docs, name) for name in ("__key", "__hit", "__ids"))
     covered = (hits.select("text_key", "start", "span").distinct()
                .select("text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("span") - 1)).alias("at"))
-               .distinct().groupBy("text_key").agg(F.count("*").alias("__hit")))
+               .distinct().groupBy("text_key").agg(F.count("*").alias(hit)))
     ids = (hits.select("text_key", "item_id").distinct().groupBy("text_key")
-           .agg(F.sort_array(F.collect_list("item_id")).alias("__ids")))
-    found = covered.join(ids, "text_key").withColumnRenamed("text_key", "__key")
+           .agg(F.sort_array(F.collect_list("item_id")).alias(own)))
+    found = covered.join(ids, "text_key").withColumnRenamed("text_key", key)
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     rows = docs.drop(*made).withColumns({
-        "__key": F.md5(F.coalesce("text", F.lit(""))),
+        key: F.md5(F.coalesce("text", F.lit(""))),
         "n_words": F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), NOT_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), "")).cast("bigint")})
-    ids = F.coalesce("__ids", F.array().cast("array<string>"))
-    return (rows.join(found, "__key", "left").withColumns({
-        "n_hit": F.coalesce("__hit", F.lit(0)).cast("bigint"), "n_items": F.size(ids).cast("bigint"),
-        "items_sha256": F.sha2(F.concat_ws(",", ids), 256), "contaminated": F.col("__hit").isNotNull()})
-        .drop("__key", "__hit", "__ids"))
+    ids = F.coalesce(own, F.array().cast("array<string>"))
+    return (rows.join(found, key, "left").withColumns({
+        "n_hit": F.coalesce(hit, F.lit(0)).cast("bigint"), "n_items": F.size(ids).cast("bigint"),
+        "items_sha256": F.sha2(F.concat_ws(",", ids), 256), "contaminated": F.col(hit).isNotNull()})
+        .drop(key, hit, own))

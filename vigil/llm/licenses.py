@@ -15,19 +15,23 @@ from __future__ import annotations
 
 import pkgutil
 import re
-import textwrap
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, unused
 
 MAX_KNOWN = 10_000
+#: Letters of a known text's first word that a line must begin with to be looked up.
+FIRST = 24
 
 # Equivalent spellings, left to right.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"),
              ("per cent", "percent"), ("copyright owner", "copyright holder"), ("https", "http")]
-COPYRIGHT_LINE = r"(?m)^[^\n0-9a-z]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that states a copyright: ``copyright`` or its sign with a year, a sign or a place for a name next, or a year at its end;
+#: or that only reserves all rights. A sentence that goes on with ``copyright notice`` is none. Flags differ by engine.
+COPYRIGHT_LINE = (r"^[^\n0-9a-z]*(?:(?:copyright|\(c\)|©)[^\n0-9a-z]*(?:c\)|©|[0-9]{4}|[<\[{](?:year|yyyy|name|copyright|owner))[^\n]*"
+                  r"|copyright[^\n]*[^\n0-9a-z][0-9]{4}[^\n0-9a-z]*|all rights reserved[^\n0-9a-z]*)$")
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Public licence texts and notices, by SPDX name.
@@ -96,26 +100,12 @@ FILES = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0-only": "GPL-
          "LGPL-3.0-only": "LGPL-3", "MPL-2.0": "MPL-2.0"}
 
 
-def _wrapped(text: str) -> list[str]:
-    """The text in lines of 60 to 100 places, once for each set of words that copyright lines leave of it.
-
-    A line that begins with ``copyright`` goes, also where it only goes on with a sentence.
-    """
-    out = {}
-    for width in range(60, 101):
-        for indent in ("", "  ", "   ", "    "):
-            lines = "\n\n".join(textwrap.fill(x, width, subsequent_indent=indent) for x in text.split("\n\n"))
-            out.setdefault(re.sub(NOT_WORD, " ", re.sub(COPYRIGHT_LINE, " ", lines.lower())), lines)
-    return list(out.values())
-
-
 def _published() -> list[tuple[str, str]]:
-    """Full texts in their usual wrappings, numbered or with stars, with and without a title; and licences published as files."""
+    """Full texts, numbered or with stars, with and without a title; and licences published as files."""
     out = []
     for name, text in [*[x for x in KNOWN[:6] if not x[1].startswith("MIT License")], ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE)]:
         for form in dict.fromkeys([text, re.sub(r"(?m)^[123]\. ", "* ", text)]):
-            for lines in _wrapped(form):
-                out += [(name, title + lines) for title in ["", *(f"{t}\n\n" for t in TITLES[name])]]
+            out += [(name, title + form) for title in ["", *(f"{t}\n\n" for t in TITLES[name])]]
     return out + [(name, pkgutil.get_data(__package__, f"license_texts/{file}.txt").decode()) for name, file in FILES.items()]
 
 
@@ -126,38 +116,57 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text (null: empty)."""
     low = ascii_lower(F.coalesce(text, F.lit("")))
     low = F.when(low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved"),
-                 F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+                 F.regexp_replace(low, f"(?md){COPYRIGHT_LINE}", " ")).otherwise(low)
     plain = F.trim(F.regexp_replace(low, NOT_WORD, " "))
     for said, meant in SPELLINGS:
         plain = F.replace(plain, F.lit(said), F.lit(meant))
     return plain
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license_id) of the known texts; the least id where texts are alike."""
+def known_texts(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+    """(license_id, plain) of the known texts, made canonical; columns of a table of ``MAX_KNOWN`` rows at most."""
     if len(known) > MAX_KNOWN:
         raise ValueError(f"at most {MAX_KNOWN} known texts")
-    texts = spark.createDataFrame(known, "license_id string, text string")
-    return texts.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    return spark.createDataFrame(known, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("plain"))
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+    """(digest, license_id) of the known texts; the least id where texts are alike."""
+    return known_texts(spark, known).groupBy(F.sha2("plain", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+
+
+def _line_pattern(known: DataFrame) -> str | None:
+    """A pattern for all lines that may be a known text: those that begin as one does (None: a known text is empty).
+
+    Spellings made equal inside the first word count as written either way.
+    """
+    starts = {r["w"] for r in known.select(F.split("plain", " ")[0].alias("w")).distinct().collect()}
+    if "" in starts:
+        return None
+    starts |= {w[:at.start()] + said.split(" ")[0] for w in starts for said, meant in SPELLINGS for at in re.finditer(re.escape(meant), w)}
+    either = "|".join(re.escape(w[:FIRST]) for w in sorted(starts))
+    return r"(?mid)^[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:" + either + r")[^\n]*"
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``docs`` with canonical_sha256, license_id (of the whole text, or null), notices (sorted ids of its lines) and n_notices.
 
     A null text counts as empty. A line counts if it stands in the text as a whole line (ended by a line feed or the
-    end) and its canonical form is that of a known text; n_notices counts such lines. Lines without the letters
-    ``licen`` are looked up only where some known text lacks them. Columns with the names of new ones are replaced.
+    end) and its canonical form is that of a known text; n_notices counts such lines. Lines that do not begin with the
+    first letters of some known text are not digested, as they can't be one. Columns with the names of new ones are
+    replaced, all others kept.
     """
+    spark = docs.sparkSession
     known = KNOWN if known is None else known
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
+    pattern = _line_pattern(known_texts(spark, known))
+    digests = F.broadcast(known_digests(spark, known))
     made = ("canonical_sha256", "license_id", "notices", "n_notices")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    if all("licen" in text.lower() for _, text in known):
-        lines = F.when(F.lower("text").contains("licen"), F.filter(lines, lambda x: F.lower(x).contains("licen")))
-    rows = docs.drop(*made).withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
-    notices = (rows.select("__key", F.posexplode(lines).alias("line", "said")).withColumn("digest", F.sha2(canonical(F.col("said")), 256))
-               .join(digests, "digest").select("__key", "line", "license_id").distinct()
-               .groupBy("__key").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices")))
+    text, key = F.coalesce("text", F.lit("")), unused(docs, "__key")
+    lines = F.split(text, "\n") if pattern is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = docs.drop(*made).withColumn(key, F.md5(text))
+    notices = (rows.select(key, F.posexplode(lines).alias("line", "said")).withColumn("digest", F.sha2(canonical(F.col("said")), 256))
+               .join(digests, "digest").select(key, "line", "license_id").distinct()
+               .groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices")))
     whole = rows.withColumn("canonical_sha256", F.sha2(canonical(F.col("text")), 256))
-    return (whole.join(digests.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left").join(notices, "__key", "left")
-            .withColumns({"notices": F.coalesce("notices", F.lit("")), "n_notices": F.coalesce("n_notices", F.lit(0)).cast("bigint")}).drop("__key"))
+    return (whole.join(digests.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left").join(notices, key, "left")
+            .withColumns({"notices": F.coalesce("notices", F.lit("")), "n_notices": F.coalesce("n_notices", F.lit(0)).cast("bigint")}).drop(key))

@@ -9,16 +9,21 @@
    linked by then count as one, which settles tight groups. Large nodes that still
    hold several components branch on further minwise tokens, two for each node,
    level by level, and nodes with one component left are dropped. The tokens of a
-   node are drawn from its path, so neither trees nor branches share any. What is
-   still large after ``LEVELS`` levels is compared in blocks: all classes outside
-   the node's largest component against all classes, exactly.
+   node are drawn from its path, so neither trees nor branches share any. After
+   ``LEVELS`` levels nodes branch to 1 / J nodes on average (one, or by chance of the
+   path two), so that what shares less than J of its shingles with the rest of its
+   node gets less at every level, for ``THIN`` levels more. What is large even then is
+   compared in blocks: all classes outside the node's largest component against all
+   classes, exactly.
 4. Links make components, by alternating stars.
 
-A pair falls apart below a node with probability q' = (1 - J + J q) ** BRANCHES, q
-being that of the level below (0 at the last). All trees miss it with probability
+A pair falls apart below a node with probability q' = (1 - J + J q) ** b, q being
+that of the level below (0 at the last) and b the number of branches. All trees miss it with probability
 (1 - J (1 - q)) ** trees at most, when every node it is in is large (``missed``);
 where no node is large, q is 0. There are as many trees as bring that to ``MISS``:
-six at 85 % (3.0e-5, or 1.1e-5 without large nodes), seven at 80 % (6.0e-5, 1.3e-5).
+six at 85 % (6.2e-5, or 1.1e-5 without large nodes), eight at 80 % (7.5e-5, 2.6e-6).
+Within a node a sketch of least hashes by stretch of the hash range rules out pairs whose sets it sees
+0.25 below the percentage or more; with 64 stretches that is some five standard deviations.
 
 Comparison in a node needs no more links than join its classes: pairs that are
 already connected there are skipped, so a node returns fewer links than classes.
@@ -39,7 +44,7 @@ from .wordspans import flat, grams, lowered, parts, scrambled, words_of
 SHINGLE = 5
 #: The most probable that a pair of just the similarity asked for may be missed.
 MISS = 8e-5
-LEVELS, BRANCHES = 4, 2
+LEVELS, BRANCHES, THIN = 4, 2, 8
 #: The most classes, and shingles of all of them, that are compared exhaustively at once.
 NODE, NODE_SHINGLES = 4096, 4 << 20
 _BINS, _MARGIN = 64, 0.25
@@ -47,13 +52,21 @@ _PERM = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, (2, 64), d
 
 
 def missed(similarity: float, trees: int) -> float:
-    """The most probable it gets that all trees miss a pair of this similarity."""
-    apart = 0.0
+    """The most probable it gets that all trees miss a pair of this similarity, where nodes branch for it."""
+    apart, second = 0.0, _second(similarity)
+    for _ in range(THIN):
+        one = 1 - similarity * (1 - apart)
+        apart = (1 - second) * one + second * one ** 2
     for _ in range(LEVELS):
         apart = (1 - similarity * (1 - apart)) ** BRANCHES
     return (1 - similarity * (1 - apart)) ** trees
 
 
+def _second(similarity: float) -> float:
+    """The probability of a second branch that makes 1 / similarity of them on average."""
+    return min(1.0, 1 / similarity - 1)
+
+
 def trees_for(percent: int) -> int:
     """The number of trees that miss a pair of this similarity with probability ``MISS`` at most."""
     for trees in range(1, _PERM.shape[1] + 1):
@@ -97,6 +110,12 @@ def _tokens(sets: list[np.ndarray], trees: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _thinned(path: int, second: float) -> int:
+    """One branch below the node ``path``, or two with probability ``second``; by the path alone, so the same for all its sets."""
+    draw = int(scrambled(np.array([path], np.int64).view(np.uint64) ^ _PERM[0, 1])[0]) / 2 ** 64
+    return 1 + (draw < second)
+
+
 def _children(own: np.ndarray, path: int, branches: int) -> list[int]:
     """The ``branches`` nodes below ``path`` that a set goes to, by the least of its hashes under permutations drawn from the path."""
     out = []
@@ -214,9 +233,9 @@ def _with_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFr
     return _texts_of(docs, classes, nodes).select(F.explode("nodes").alias("node"), "cid", "text")
 
 
-def _branched(docs: DataFrame, classes: DataFrame, level: DataFrame) -> DataFrame:
+def _branched(docs: DataFrame, classes: DataFrame, level: DataFrame, depth: int, percent: int) -> DataFrame:
     """(path, cid, n_shingles) of the nodes below those of ``level`` (path, cid)."""
-    branches = BRANCHES
+    branches, second = (BRANCHES if depth < LEVELS else None), _second(percent / 100)
 
     def run(batches):
         for batch in batches:
@@ -224,7 +243,7 @@ def _branched(docs: DataFrame, classes: DataFrame, level: DataFrame) -> DataFram
                 part = batch.slice(lo, hi - lo)
                 rows = []
                 for nodes, c, own in zip(part.column("nodes").to_pylist(), part.column("cid").to_pylist(), shingle_sets(part.column("text"))):
-                    rows += [(child, c, len(own)) for path in nodes for child in _children(own, path, branches)]
+                    rows += [(child, c, len(own)) for path in nodes for child in _children(own, path, branches or _thinned(path, second))]
                 paths, cids, sizes = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), pa.array(cids, pa.string()), pa.array(sizes, pa.int64())],
                                                  names=["path", "cid", "n_shingles"])
@@ -272,14 +291,14 @@ def _rest(docs, classes, large, links, parts_, percent):
         return own.join(several, "path")
 
     level, found = large.select("path", "cid", "n_shingles"), [links]
-    for depth in range(LEVELS + 1):
+    for depth in range(LEVELS + THIN + 1):
         sized = written(_sized(open_nodes(level)), "level")
         small = sized.where("pieces = 1").select(F.col("path").alias("node"), "cid")
         found.append(written(compare(_with_texts(docs, classes, small), parts_, percent), "links"))
         level = sized.where("pieces > 1")
-        if depth == LEVELS or level.isEmpty():
+        if depth == LEVELS + THIN or level.isEmpty():
             break
-        level = written(_branched(docs, classes, level), "branches")
+        level = written(_branched(docs, classes, level, depth, percent), "branches")
     else:
         return _union(found)
     if not level.isEmpty():

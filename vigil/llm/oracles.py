@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import KNOWN, SPELLINGS
+from .licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS
 from .sharding import ROUNDS
 
 
@@ -68,7 +68,7 @@ def license_scan() -> str:
     """The same canonical form by DuckDB's functions, and joins by its digest."""
     def canonical(x: str) -> str:
         low = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        low = f"regexp_replace({low}, '(?m)^[^\\n0-9a-z]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+        low = f"regexp_replace({low}, '(?m){COPYRIGHT_LINE}', ' ', 'g')"
         plain = f"trim(regexp_replace({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
         for said, meant in SPELLINGS:
             plain = f"replace({plain}, '{said}', '{meant}')"
@@ -79,7 +79,7 @@ def license_scan() -> str:
 WITH known AS (SELECT {canonical("t")} AS digest, min(i) AS license_id FROM (VALUES {known}) v(i, t) GROUP BY 1),
 doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 line AS (SELECT rid, unnest(string_split(text, chr(10))) AS said FROM doc),
-hit AS (SELECT rid, license_id FROM line JOIN known ON {canonical("said")} = digest WHERE said ILIKE '%licen%'),
+hit AS (SELECT rid, license_id FROM line JOIN known ON {canonical("said")} = digest),
 notice AS (SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_notices FROM hit GROUP BY rid)
 SELECT doc_id, {canonical("text")} AS canonical_sha256, license_id, coalesce(notices, '') AS notices, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices
 FROM doc LEFT JOIN known ON {canonical("text")} = digest LEFT JOIN notice USING (rid)
