@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import extended
-from .wordspans import parts
+from .wordspans import parts, released
 
 #: States that a worker keeps from task to task where encoding is all it does, and within a task as a stage among others.
 MAX_STATES, STAGE_STATES = 300_000, 120_000
@@ -330,6 +330,8 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
         enc.forget()
+        del pieces
+        released()
 
     return keep.mapInArrow(run, schema)
 

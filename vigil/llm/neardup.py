@@ -47,6 +47,8 @@ MISS = 8e-5
 LEVELS, BRANCHES, THIN = 4, 2, 8
 #: The most classes, and shingles of all of them, that are compared exhaustively at once.
 NODE, NODE_SHINGLES = 4096, 4 << 20
+#: Bytes of text that are shingled at once; the arrays for it take some 80 times as much.
+PART = 1 << 20
 _BINS, _MARGIN = 64, 0.25
 _PERM = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 
@@ -128,7 +130,7 @@ def described(docs: DataFrame, trees: int) -> DataFrame:
     """doc_id, text_key (MD5), cid (digest of the set), n_shingles and tokens (one for each tree) of every row."""
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text")):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 sets = shingle_sets(part.column("text"))
                 tokens = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * trees, trees, dtype=np.int32), _tokens(sets, trees).reshape(-1))
@@ -203,7 +205,7 @@ def compare(rows: DataFrame, parts_: int, percent: int) -> DataFrame:
             return out
 
         for batch in batches:
-            for lo, hi in parts(batch.column("text")):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 for n, c, s in zip(part.column("node").to_pylist(), part.column("cid").to_pylist(), shingle_sets(part.column("text"))):
                     if n != node:
@@ -239,7 +241,7 @@ def _branched(docs: DataFrame, classes: DataFrame, level: DataFrame, depth: int,
 
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text")):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 rows = []
                 for nodes, c, own in zip(part.column("nodes").to_pylist(), part.column("cid").to_pylist(), shingle_sets(part.column("text"))):

@@ -7,6 +7,7 @@ long a text is; pieces are cut only at white space or between texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ _rng = np.random.Generator(np.random.PCG64(20240917))
 _MIX = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def as_is() -> np.ndarray:
@@ -70,6 +72,14 @@ def parts(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
             yield lo, min(hi, len(column))
             lo = min(hi, len(column))
+        released()
+
+
+def released() -> None:
+    """Give the system back what Arrow and the C library hold free: workers live on, and so would the peak of every stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 @dataclass
