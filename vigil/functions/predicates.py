@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import dotted_prefixes, last_part, shannon_entropy
+from .text import dotted_prefixes, last_part, string_entropy
 
 ColumnOrName = Column | str
 
@@ -58,9 +58,9 @@ def is_url_string(s: ColumnOrName) -> Column:
 
 def is_high_entropy_string(s: ColumnOrName, min_entropy: float = vocab.HIGH_ENTROPY_MIN_ENTROPY,
                            min_length: int = vocab.HIGH_ENTROPY_MIN_LENGTH) -> Column:
-    """P5: entropy > 4.2 and length > 30 (length test first, so entropy runs on long strings only)."""
+    """P5: entropy > 4.2 and length > 30 (length test first, so only long strings are counted)."""
     v = _c(s)
-    return F.when(F.length(v) > min_length, shannon_entropy(v) > min_entropy).otherwise(F.lit(False))
+    return F.coalesce(string_entropy(F.when(F.length(v) > min_length, v)) > min_entropy, F.lit(False))
 
 
 def is_long_string(s: ColumnOrName, min_length: int = vocab.LONG_STRING_MIN_LENGTH) -> Column:
