@@ -1,14 +1,20 @@
 """Scans at size: name ranges, archives read by member, and input that lies about itself."""
 
+import contextlib
 import io
+import json
 import os
 import tarfile
 import tracemalloc
+import types
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vigil.sources import files as S
+from vigil.sources import listing
 from vigil.sources.listing import name_ranges
 
 
@@ -143,3 +149,61 @@ def test_pagerank_by_blocks_and_by_joins(spark):
             rank, iterations, converged = whole[r[0], r[1]]
             assert abs(r["pagerank"] - rank) < 1e-12 and (r["iterations"], r["converged"]) == (iterations, converged)
     assert pagerank(df.limit(0)).count() == 0
+
+
+def test_listing_grows_with_the_names_alone(tmp_path, monkeypatch):
+    names = [f"p{i:06d}" for i in range(100_000)]
+    assert len(name_ranges(iter(names), 12, 64)) == 63  # each range reads all names again
+    for i in range(400):
+        (tmp_path / f"a{i:03d}.zip").write_bytes(b"")
+    monkeypatch.setattr(listing, "RANGES", 8)
+    reader = listing._Reader({"roots": json.dumps([str(tmp_path)]), "what": "files", "least": "1"})
+    ranges = reader.partitions()
+    assert len(ranges) == 8 and sorted(r[1] for p in ranges for r in reader.read(p)) == [f"a{i:03d}.zip" for i in range(400)]
+    some = [name for name, _, _ in listing.entries(listing.fs_and_base(str(tmp_path))[0], str(tmp_path), ranges[0].holds)]
+    assert 0 < len(some) < 100 and all(ranges[0].holds(name) for name in some)
+
+
+def test_a_read_asks_for_what_is_listed(tmp_path, monkeypatch):
+    (tmp_path / "p").mkdir()
+    for name, body in (("a.py", b"x = 1\n"), ("b.py", b"y" * 50), ("empty.py", b"")):
+        (tmp_path / "p" / name).write_bytes(body)
+    asked = []
+
+    class Asked:
+        def __init__(self, fs):
+            self.fs = fs
+
+        @contextlib.contextmanager
+        def open_input_file(self, name):
+            with self.fs.open_input_file(name) as fh:
+                yield types.SimpleNamespace(read=lambda n: asked.append(n) or fh.read(n))
+
+    fs, base = listing.fs_and_base(str(tmp_path))
+    monkeypatch.setattr(S, "fs_and_base", lambda root: (Asked(fs), base))
+    rows = [("p", "a.py", 6, "r", None), ("p", "b.py", 20, "r", None), ("p", "empty.py", 0, "r", None), ("p", "gone.py", 3, "r", None),
+            ("p", "a.py", None, "r", None), ("p", "large.py", 101, "r", None), ("p", None, None, "r", "no files")]
+    schema = pa.schema([("package_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("root", pa.string()), ("error", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+    got = [r for b in S._read_batches(iter([batch]), 100, ["package_id", "path", "size"]) for r in b.to_pylist()]
+    assert [r["content"] for r in got] == [b"x = 1\n", b"y" * 50, b"", None, b"x = 1\n", None, None]  # b.py has grown, the sixth is too large
+    assert [r["error"] is None for r in got] == [True, True, True, False, True, False, False]
+    assert got[5]["error"] == "larger than 100 bytes" and got[6]["error"] == "no files"
+    assert asked[:2] == [7, 21] and max(asked[0], asked[3]) <= 7
+
+
+def test_files_of_a_folder_are_read_together(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH_FILES", 100)
+    rows = [(f"p{i}", f"{d}m{j:02d}.py", 6) for i in range(20) for d in ("", "sub/") for j in range(10)] + [("large", f"m{j:04d}.py", 6) for j in range(1000)] + [(None, None, None)]
+    files = spark.createDataFrame(rows, "package_id string, path string, size long").repartition(7)
+    dealt = S._dealt(files, 8).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(map(str, ((r["package_id"], r["path"], r["size"]) for r in dealt))) == sorted(map(str, rows))
+    at = {}
+    for r in dealt:
+        if r["path"]:
+            at.setdefault((r["package_id"], r["path"].rpartition("/")[0]), set()).add(r["task"])
+    assert all((len(tasks) > 3) == (package == "large") and (package == "large" or len(tasks) == 1) for (package, _), tasks in at.items())
+    assert len({t for tasks in at.values() for t in tasks}) == 8
+    for t in range(8):
+        own = [(r["package_id"], r["path"]) for r in dealt if r["task"] == t and r["path"]]
+        assert own == sorted(own)
