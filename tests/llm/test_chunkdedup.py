@@ -1,10 +1,13 @@
 """Substring dedup against a sequential version, and its resistance to shifts."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 
 from vigil.llm import chunkdedup as cd
+from vigil.llm.common import written
+from vigil.llm.wordspans import flat, parts
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -121,3 +124,34 @@ def test_whole_copies(spark):
     assert [g[:3] for g in got[:7]] == [(0, two, 0), (2, one, 0), (2, one, 0), (4, "", n), (5, "a few words", 0), (6, "a few words", 0), (7, "", m)]
     assert got[7][0] == 8 and got[7][1].strip() == ""
     assert [g[3] for g in got[:4]] == [m, n, n, n]
+
+
+def test_slices_take_little_memory():
+    rng = random.Random(3)
+    column = pa.array([" ".join(f"w{rng.randrange(9000)}" for _ in range(300)) for _ in range(1200)])
+    assert len(flat(column)[0]) > 2_000_000
+    tracemalloc.start()
+    try:
+        found = [own for lo, hi in parts(column, cd.PART) for own in cd.chunks(column.slice(lo, hi - lo))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
+    assert all((a == b).all() for a, b in zip(found, cd.chunks(column), strict=True))
+
+
+def test_intermediate_tables_are_written_in_small_batches(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    try:
+        for own, most in (("10000", 1024), ("0", 1024), ("300", 300)):
+            spark.conf.set(rows, own)
+            got = [r["n"] for r in written(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+            assert sum(got) == 5000 and max(got) == most and spark.conf.get(rows) == own
+    finally:
+        spark.conf.set(rows, before)

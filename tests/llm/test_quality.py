@@ -3,6 +3,9 @@
 import collections
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from vigil.llm import quality
 
@@ -49,3 +52,24 @@ def test_held_out_accuracy(spark):
     assert sum((p[i] >= 0.5) == (i % 2 == 1) for i in range(200, 400)) >= 195
     nothing = quality.train(d, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert all(r["kept"] for r in quality.score(d, nothing).collect() if not r["base_failed"])
+
+
+def test_training_sums_in_blocks_are_the_same(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(1))
+    length = rng.integers(0, 300, 400)
+    first = np.concatenate([[0], np.cumsum(length)])
+    row, n, size = np.repeat(np.arange(400), length), int(first[-1]), 50
+    col, val, w, err = rng.integers(0, size, n).astype(np.int32), rng.random(n).astype(np.float32), rng.normal(size=size), rng.normal(size=400)
+    monkeypatch.setattr(quality, "BLOCK", 1000)
+    assert (quality._sums_by_text(w, col, val, first) == np.bincount(row, val * w[col], 400)).all()
+    assert (quality._sums_by_feature(err, col, val, first, size) == np.bincount(col, val * err[row], size)).all()
+    monkeypatch.setattr(quality, "BLOCK", 10_000)
+    col, val, first = np.tile(col, 40), np.tile(val, 40), np.concatenate([[0], np.cumsum(np.tile(length, 40))])
+    err = np.tile(err, 40)
+    tracemalloc.start()
+    try:
+        quality._sums_by_text(w, col, val, first)
+        quality._sums_by_feature(err, col, val, first, size)
+        assert tracemalloc.get_traced_memory()[1] < 4 * len(col)  # before: 16 bytes an entry and more
+    finally:
+        tracemalloc.stop()

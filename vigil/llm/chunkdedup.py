@@ -41,6 +41,8 @@ REACH, LONGEST, MIN_RUN, SNAP = 16, 4096, 96, 48
 _WINDOW = 16
 #: Bytes that a cut depends on before and after it: where they and the chunk are the same, so is the cut.
 BEHIND, AHEAD = SNAP + REACH + _WINDOW + 4, SNAP + REACH + 4
+#: Bytes of text worked on at a time: the arrays beside them take some sixty times as much.
+PART = 1 << 18
 GEAR = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GEAR[255] = 0  # never a byte of UTF-8: it stands between texts
 
@@ -100,7 +102,7 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, text_key, seq) of every chunk."""
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text"), 1 << 20):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 data, offsets = flat(part.column("text"))
                 digests, seq = [], []
@@ -120,7 +122,7 @@ def _chunk_hashes(docs: DataFrame) -> DataFrame:
     """A 64-bit hash of every chunk, the first half of its digest."""
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text"), 1 << 20):
+            for lo, hi in parts(batch.column("text"), PART):
                 column = batch.column("text").slice(lo, hi - lo)
                 data, offsets = flat(column)
                 digests = []
@@ -165,7 +167,7 @@ def _surroundings(docs: DataFrame) -> DataFrame:
     """For texts with asks, an array of (seq, side): the bytes before (side 0) or after (1) the chunk seq, the next chunk and some more."""
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text"), 1 << 20):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 data, offsets = flat(part.column("text"))
                 row, seq, side, near = [], [], [], []
@@ -251,7 +253,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi in parts(batch.column("text"), 1 << 20):
+            for lo, hi in parts(batch.column("text"), PART):
                 part = batch.slice(lo, hi - lo)
                 data, offsets = flat(part.column("text"))
                 texts, counts = [], []

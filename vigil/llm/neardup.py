@@ -43,7 +43,7 @@ LEVELS, BRANCHES = 4, 2
 #: The most classes, and shingles of all of them, that are compared exhaustively at once.
 NODE, NODE_SHINGLES = 4096, 4 << 20
 #: Bytes of text that are shingled at once; the arrays for it take some 80 times as much.
-PART = 1 << 20
+PART = 1 << 18
 _BINS, _MARGIN = 64, 0.25
 _PERM = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, (2, 64), dtype=np.uint64) | np.uint64(1)
 

@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended
-from .wordspans import SPACE, as_is, flat, grams, parts, scrambled, sums, words_of
+from .wordspans import SPACE, as_is, flat, grams, parts, released, scrambled, sums, words_of
 
 #: Features of each of the three kinds.
 BITS = 14
 MAX_LABELLED = 4000
 THRESHOLD = 0.5
 #: Bytes of text whose words, lines and n-grams are in arrays at a time (about a hundred times as many bytes).
-PART = 1 << 20
+PART = 1 << 18
+#: Entries of the training sample that the driver multiplies at a time.
+BLOCK = 1 << 19
 MIN_WORDS, REPEAT_SPAN, REPEAT_PERCENT = 20, 8, 30
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -131,7 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    got = sorted((bytes(r["at"]), bytes(r["share"]), r["quality"]) for r in _features(rows).collect())
+    got, rows = [], _features(rows).collect()
+    while rows:
+        r = rows.pop()
+        got.append((bytes(r["at"]), bytes(r["share"]), r["quality"]))
+    got.sort()
     y = np.array([q for _, _, q in got], float)
     if len(set(y)) < 2:
         return Model(np.zeros(3 << BITS), 0.0, 0.0, 10.0)
@@ -141,25 +147,55 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def stacked(which):
         ids = np.flatnonzero(which)
-        return np.concatenate([at[i] for i in ids]), np.concatenate([share[i] for i in ids]), np.repeat(np.arange(len(ids)), [len(at[i]) for i in ids]), y[ids]
+        return np.concatenate([at[i] for i in ids]), np.concatenate([share[i] for i in ids]), np.cumsum([0, *(len(at[i]) for i in ids)]), y[ids]
 
-    col, val, row, target = stacked(~fold)
+    last = stacked(fold)
+    col, val, first, target = stacked(~fold)
+    del got, at, share  # the driver holds the sample once
+    released()
     each = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))  # the kinds weigh alike
     w, b = np.zeros(3 << BITS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
-        margin = np.bincount(row, val * w[col], len(target)) + b
+        margin = _sums_by_text(w, col, val, first) + b
         err = (1 / (1 + np.exp(-margin)) - target) * each
-        g, gb = np.bincount(col, val * err[row], len(w)) + l2 * w, err.sum()
+        g, gb = _sums_by_feature(err, col, val, first, len(w)) + l2 * w, err.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= 0.5 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
         b -= 0.05 * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.999 ** t)) + 1e-9)
-    col, val, row, target = stacked(fold)
-    margin = np.bincount(row, val * w[col], len(target)) + b
+    col, val, first, target = last
+    margin = _sums_by_text(w, col, val, first) + b
     slope, shift = _platt(margin, target)
     return Model(w, b, slope, shift)
 
 
+def _blocks(first: np.ndarray):
+    """Ranges (of texts, of entries) with about ``BLOCK`` entries each."""
+    lo = 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + BLOCK, "right")) - 1)
+        yield slice(lo, hi), slice(int(first[lo]), int(first[hi]))
+        lo = hi
+
+
+def _sums_by_text(w: np.ndarray, col: np.ndarray, val: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text the sum of val * w[col] over its entries, in their order; first: its first entry."""
+    out = np.zeros(len(first) - 1)
+    for texts, own in _blocks(first):
+        n = texts.stop - texts.start
+        out[texts] = np.bincount(np.repeat(np.arange(n), np.diff(first[texts.start:texts.stop + 1])), val[own] * w[col[own]], n)
+    return out
+
+
+def _sums_by_feature(err: np.ndarray, col: np.ndarray, val: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """For each feature the sum of val * err of the text, added up in the order of the entries whatever the blocks."""
+    out = np.zeros(size)
+    for texts, own in _blocks(first):
+        each = np.repeat(err[texts], np.diff(first[texts.start:texts.stop + 1]))
+        out = np.bincount(np.concatenate([np.arange(size), col[own]]), np.concatenate([out, val[own] * each]), size)
+    return out
+
+
 def _platt(margin: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     """Newton's method on Platt's smoothed targets."""
     up, down = (target == 1).sum(), (target == 0).sum()
