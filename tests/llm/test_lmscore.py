@@ -100,3 +100,39 @@ def test_query_with_null_and_large_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op9_lm_score"](spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted([(None, 3), (2 ** 60 + 1, 2), (7, 1)], key=str)
+
+
+def test_blocks_take_several_batches(spark):
+    """Of 3,000 short rows, handed over 100 at a time, one block; before, a block for each batch, each with its own keys."""
+    df = spark.range(3000).selectExpr("id as row_id", "concat('some words and one more w', id % 7) as text", "0 as role").coalesce(1)
+    name, own = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "100")
+    try:
+        streams, requests = lmscore._blocks(df, 1, True).collect(), lmscore._blocks(df, 1, False).collect()
+    finally:
+        spark.conf.set(name, own)
+    assert [r["kind"] for r in streams] == ["s"] and [r["kind"] for r in requests] == ["u", "b"]
+    assert len({r["block"] for r in streams + requests}) == 1 and len(streams[0]["roles"]) == 3000
+
+
+def test_blocks_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [None if n % 11 == 0 else "é" * rng.randrange(9) if n % 50 else "long " * 40 for n in range(400)]
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "row_id": list(range(400))})
+    want = None
+    for step in (1, 3, 64, 400):
+        got = [b.to_pydict() for b in lmscore._gathered((whole.slice(i, step) for i in range(0, 400, step)), 100)]
+        assert [i for b in got for i in b["row_id"]] == list(range(400)) and [t for b in got for t in b["text"]] == texts
+        assert all(len(b["text"]) == 1 or sum(len((t or "").encode()) for t in b["text"]) <= 100 or b["text"][0] == "long " * 40 for b in got)
+        assert got == (want := want or got)
+
+
+def test_values_of_any_order_travel_sorted():
+    values = np.array([7 << 24 | 5, 3, 0xFFFFFFFF, 3, 0], np.uint32)
+    for v in (values, values[:0]):
+        packed = lmscore._sorted_pack(v)
+        assert np.cumsum(lmscore._unpack(packed, np.uint32), dtype=np.uint32).tolist() == sorted(v.tolist())
+    many = np.random.default_rng(1).integers(0, 1 << 24, 2000).astype(np.uint32)
+    assert len(lmscore._sorted_pack(many)) < 0.7 * len(lmscore._pack(many))

@@ -9,8 +9,9 @@ from the others. An unseen context leaves the unigram alone.
 
 Flow, with tokens as 64-bit hashes:
 
-1. *Blocks.* Each Arrow batch of texts becomes one block: its distinct tokens and
-   bigrams with counts, cut into ranges of the hash, and its token stream.
+1. *Blocks.* About ``BLOCK_BYTES`` of a task's texts, from however many Arrow batches,
+   become one block: its distinct tokens and bigrams with counts, cut into ranges of
+   the hash, and its token stream. The more texts share a block, the fewer keys travel.
 2. *Counting.* The ranges of all blocks meet by range; each block gets the corpus
    counts of its own keys back, in its own order. A key occurs once in a block
    however often its texts have it, so frequent words weigh no more than rare ones.
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import groups, partitions_for, written
-from .wordspans import flat, lowered, parts, scrambled, words_of
+from .wordspans import flat, lowered, released, scrambled, words_of
 
 BLOCK_BYTES, RANGE_BYTES = 12 << 20, 24 << 20
 BUCKETS, STEPS, ROUNDS = 40, 16, 60
@@ -103,38 +104,66 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _gathered(batches, size: int):
+    """The rows of ``batches`` in blocks of about ``size`` bytes of text (one row at least); how they are batched is all the same."""
+    held, room = [], size
+    for batch in batches:
+        lo, ends = 0, flat(batch.column("text"))[1]
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(ends, ends[lo] + room, "right")) - 1
+            if not held:
+                hi = max(hi, lo + 1)
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+                room -= int(ends[hi] - ends[lo])
+                lo = hi
+            if lo < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, room = [], size
+                released()
+    if held:
+        yield pa.concat_batches(held)
+        released()
+
+
+def _sorted_pack(numbers: np.ndarray) -> bytes:
+    """Numbers whose order doesn't matter: sorted, by their differences."""
+    return _pack(np.diff(np.sort(numbers), prepend=numbers.dtype.type(0)))
+
+
 def _blocks(rows: DataFrame, ranges: int, streams: bool) -> DataFrame:
     """The blocks of rows (row_id, text, role): their streams (kind s), or their requests (kinds u and b).
 
-    Both read the rows once; a block is the same in both as long as the input gives its rows in the same batches.
+    Both read the rows once; a block is the same in both as long as the input gives its rows in the same order.
     """
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for lo, hi in parts(batch.column("text"), BLOCK_BYTES):
-                part = batch.slice(lo, hi - lo)
-                data, offsets = flat(part.column("text"))
-                words = words_of(data, offsets, lowered())
-                role = part.column("role").to_numpy(zero_copy_only=False).astype(np.int8)
-                token, begin = _stream(words.hash, words.first)
-                own = np.repeat(role, np.diff(words.first) + 1)
-                keys, at = np.unique(token, return_inverse=True)
-                if streams:
-                    often = np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")  # frequent words get small numbers
-                    number = np.empty(len(keys), np.uint32)
-                    number[often] = np.arange(len(keys), dtype=np.uint32)
-                    yield _batch([("s", 0, block, keys[often].tobytes(), _pack(number[at]), np.diff(words.first).astype(np.int64).tobytes(), _kept(part.column("row_id")), role.tobytes())])
-                    block += 1
-                    continue
-                count = lambda at, n, which: np.bincount(at[own == which], minlength=n)
-                begins = [[(role == which).sum()] for which in (ESTIMATE, WEIGHTS)]
-                place = int(np.searchsorted(keys, START))  # the start counts as a context, once for each text
-                yield _batch(_cut("u", np.insert(keys, place, START), *(np.insert(count(at, len(keys), w), place, b) for w, b in zip((ESTIMATE, WEIGHTS), begins)), block, ranges))
-                pairs, where = np.unique(_pairs(_contexts(token, begin, START), token), return_inverse=True)
-                yield _batch(_cut("b", pairs, count(where, len(pairs), ESTIMATE), count(where, len(pairs), WEIGHTS), block, ranges))
+        for part in _gathered(batches, BLOCK_BYTES):
+            data, offsets = flat(part.column("text"))
+            words = words_of(data, offsets, lowered())
+            role = part.column("role").to_numpy(zero_copy_only=False).astype(np.int8)
+            token, begin = _stream(words.hash, words.first)
+            own = np.repeat(role, np.diff(words.first) + 1)
+            keys, at = np.unique(token, return_inverse=True)
+            if streams:
+                # frequent words get small numbers, by powers of two; those alike in that stay sorted by key, so that differences travel
+                rank = np.empty(len(keys), np.int64)
+                rank[np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")] = np.arange(1, len(keys) + 1)
+                often = np.argsort(np.frexp(rank)[1], kind="stable")
+                number = np.empty(len(keys), np.uint32)
+                number[often] = np.arange(len(keys), dtype=np.uint32)
+                yield _batch([("s", 0, block, _pack(np.diff(keys[often], prepend=np.uint64(0))), _pack(number[at]), np.diff(words.first).astype(np.int64).tobytes(), _kept(part.column("row_id")), role.tobytes())])
                 block += 1
+                continue
+            count = lambda at, n, which: np.bincount(at[own == which], minlength=n)
+            begins = [[(role == which).sum()] for which in (ESTIMATE, WEIGHTS)]
+            place = int(np.searchsorted(keys, START))  # the start counts as a context, once for each text
+            yield _batch(_cut("u", np.insert(keys, place, START), *(np.insert(count(at, len(keys), w), place, b) for w, b in zip((ESTIMATE, WEIGHTS), begins)), block, ranges))
+            pairs, where = np.unique(_pairs(_contexts(token, begin, START), token), return_inverse=True)
+            yield _batch(_cut("b", pairs, count(where, len(pairs), ESTIMATE), count(where, len(pairs), WEIGHTS), block, ranges))
+            block += 1
 
     return rows.mapInArrow(run, _ROW)
 
@@ -176,7 +205,7 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int, id_field: Struct
                 stream = r
             else:
                 by[r["kind"]].append((r["range"], _unpack(r["first"], np.uint32), _unpack(r["second"], np.uint32)))
-        given = np.frombuffer(stream["keys"], np.uint64)
+        given = np.cumsum(_unpack(stream["keys"], np.uint64), dtype=np.uint64)
         order = np.argsort(given)
         keys, place_of = given[order], np.empty(len(given), np.int32)
         place_of[order] = np.arange(len(given), dtype=np.int32)
@@ -192,7 +221,7 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int, id_field: Struct
         counts = {k: [np.concatenate([x[i] for x in sorted(v, key=lambda x: x[0])]).astype(np.float64) for i in (1, 2)] for k, v in by.items()}
         by.clear()
         if len(counts["u"][0]) != len(keys) + 1 or len(counts["b"][0]) != pair.max(initial=-1) + 1:
-            raise ValueError("the two passes saw different batches: write the rows to a table first")
+            raise ValueError("the two passes saw different rows: write them to a table first")
 
         def ratios(u, b):
             """Buckets of the contexts, and c(h, w) / (c(h) * (c(w) + 0.5)), which the denominator N + 0.5 (V + 1) makes the ratio of the estimates."""
@@ -210,7 +239,7 @@ def _parted(streams: DataFrame, counts: DataFrame, parts_: int, id_field: Struct
             unseen = np.bincount(own[~seen & (own != NONE)], minlength=BUCKETS).astype(np.uint32)
             # ratios to 16 bits of the mantissa, by rounding the fourth byte of a float
             r = (r[seen].astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
-            data = unseen.tobytes() + _pack(r | own[seen].astype(np.uint32) << np.uint32(24))
+            data = unseen.tobytes() + _sorted_pack(r | own[seen].astype(np.uint32) << np.uint32(24))
             out.append(("d", i, int(role[i]), int(hi - lo), int(known[lo:hi].sum()), float(logs[lo:hi].sum()), data))
         chosen = np.repeat(role, length + 1) == WEIGHTS
         if chosen.any():
@@ -286,7 +315,7 @@ def log_scores(docs: DataFrame, fold: str = "fold", total_bytes: int | None = No
             for data in batch.column("data"):
                 raw = data.as_buffer()
                 unseen = np.frombuffer(raw, np.uint32, BUCKETS)
-                seen = _unpack(bytes(raw[4 * BUCKETS:]), np.uint32)
+                seen = np.cumsum(_unpack(bytes(raw[4 * BUCKETS:]), np.uint32), dtype=np.uint32)
                 bucket, ratio = seen >> np.uint32(24), (seen << np.uint32(8)).view(np.float32).astype(float)
                 more.append(np.log10(keep[bucket] + change[bucket] * ratio * denominator).sum() + (unseen * np.log10(keep[:BUCKETS])).sum())
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(batch.column("role").to_numpy() == HELD_OUT), batch.column("n_tokens"), batch.column("n_known"),
