@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import bpe, chunkdedup, neardup, quality
-from vigil.llm.common import table, written
+from vigil.llm.common import bitmap, maybe_in, table, written
 from vigil.llm.decontamination import contamination
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,9 +60,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("first_key").isNull(), "gone").when(F.col("n") > 1, "again")
     marks = written(rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")), "left")
                     .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), mark.alias("__mark")).where("__mark is not null"), "marks")
-    left = (docs.withColumn("__text_key", F.md5(F.coalesce("text", F.lit(""))))
-            .join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"))
-    out = left.where("__mark is null")
+    keyed = docs.withColumn("__text_key", F.md5(F.coalesce("text", F.lit("")))).withColumn("__both", F.xxhash64("doc_id", "__text_key"))
+    known = maybe_in(keyed, "__both", bitmap(marks.select(F.xxhash64("__id", "__key").alias("__both")), "__both"), keep=True)
+    left = known.where("__maybe").join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
+    # texts that surely have no mark, which are most, stay where they are
+    out = left.where("__mark is null").unionByName(known.where("not __maybe"), allowMissingColumns=True)
     if not marks.where("__mark = 'again'").isEmpty():  # rows met twice, of which one stays
         out = out.unionByName(left.where("__mark = 'again'").dropDuplicates(["doc_id", "__text_key"]))
     return out.select(*docs.columns)

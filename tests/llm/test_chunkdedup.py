@@ -155,3 +155,24 @@ def test_intermediate_tables_are_written_in_small_batches(spark):
             assert sum(got) == 5000 and max(got) == most and spark.conf.get(rows) == own
     finally:
         spark.conf.set(rows, before)
+
+
+def test_marks_are_grouped_once(spark, monkeypatch):
+    """All marks of a text, and whether it has copies, meet in one shuffle; before, marks were grouped, and the groups once more."""
+    plans, own = {}, cd.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, name)
+
+    monkeypatch.setattr(cd, "written", seen)
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    passage = say(80)
+    texts = [say(20) + " " + passage + " " + say(20), say(20) + " " + passage + " " + say(20), say(30)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[2], texts[0]])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in cd.deduplicate(df).collect()}
+    top, _, below = plans["found"].partition("Union")
+    assert top.count("Exchange") == 1 and "collect_set(mark" in top and "collect_set(mark" not in below
+    assert [got[k]["n_removed"] > 0 for k in range(5)] == [False, True, False, True, True] and got[3]["text"] == got[4]["text"] == ""
+    assert got[2]["n_repeated"] == len(texts[2]) and got[0]["n_repeated"] == len(texts[0])

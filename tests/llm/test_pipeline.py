@@ -113,3 +113,39 @@ def test_columns_of_any_name_are_carried(spark, folder):
         rows = docs.collect()
         assert rows and all(r[n] == f"{m}{r['doc_id']}" for r in rows for n, m in more.items()), name
     assert corpus_pipeline.byte_bpe(spark, docs, d).count() == len(rows)
+
+
+def _shuffled_rows(df):
+    """The rows that the shuffles of a frame's last job wrote, for each shuffle."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                out.append(node.metrics().get("shuffleRecordsWritten").get().value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_near_dedup_leaves_texts_that_have_no_mark_where_they_are(spark):
+    """Of 400 texts with 10 copies, only the marked ones are shuffled to meet the marks; before, all 410 were."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(1 << 30)}" for _ in range(n))
+    rows = [(k, say(30)) for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(10)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    name, own = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, df, "")
+        moved = _shuffled_rows(out)
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(400))
+    finally:
+        spark.conf.set(name, own)
+    assert moved and max(moved) <= 20, moved

@@ -192,7 +192,7 @@ def _key():
 
 
 def _marks(leads: DataFrame) -> DataFrame:
-    """doc_id, text_key and marks of the texts that have repeated chunks: (lo, hi, later) of a stretch, (lo, side, near) of its ends."""
+    """doc_id, text_key and mark, a row for each of a text's marks: (lo, hi, later) of a stretch of repeated chunks, (lo, side, near) of its ends."""
     again = written(_chunk_hashes(leads).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     chunk = _chunk_rows(leads).withColumn("hash", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
     twice = written(maybe_in(chunk, "hash", bitmap(again, "hash")).drop("hash"), "chunks")
@@ -215,8 +215,7 @@ def _marks(leads: DataFrame) -> DataFrame:
     none = {"hi": "int", "later": "boolean", "side": "int", "near": "binary"}
     def marks(rows):
         return rows.select("doc_id", "text_key", F.struct("lo", *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]).alias("mark"))
-    both = marks(runs.drop("before", "after")).unionByName(marks(answered.select("doc_id", "text_key", "lo", "side", "near")))
-    return both.groupBy("doc_id", "text_key").agg(F.collect_set("mark").alias("marks"))
+    return marks(runs.drop("before", "after")).unionByName(marks(answered.select("doc_id", "text_key", "lo", "side", "near")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -237,17 +236,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     keyed = rows.withColumn("key", _key())
     leads = maybe_in(keyed.select("doc_id", "text_key", "text", "key"), "key", leading).select("doc_id", "text_key", "text")
     copied = equal.where("copied").select("doc_id", "text_key", F.lit(True).alias("copied"))
-    nothing = F.lit(None)
-    own = _marks(leads)
-    found = written(own.withColumn("copied", F.lit(False)).unionByName(copied.withColumn("marks", nothing.cast(own.schema["marks"].dataType)))
-                    .groupBy("doc_id", "text_key").agg(F.max("copied").alias("copied"), F.first("marks", ignorenulls=True).alias("marks")), "found")
+    found = written(_marks(leads).withColumn("copied", F.lit(False)).unionByName(copied, allowMissingColumns=True)
+                    .groupBy("doc_id", "text_key").agg(F.max("copied").alias("copied"), F.collect_set("mark").alias("marks")), "found")
     known = maybe_in(maybe_in(keyed, "key", leading, keep=True).withColumnRenamed("__maybe", "lead"),
                      "key", bitmap(found.select(_key().alias("key")), "key"), keep=True)
     there = F.col("lead") & F.col("__maybe")
     there_found = known.where(there).join(found.select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), "copied", "marks"),
                                           F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
     wanted = ["doc_id", "text", "held", "lead", "copied", "marks"]
-    rest = known.where(~there).withColumn("copied", F.lit(False)).withColumn("marks", nothing.cast(own.schema["marks"].dataType))
+    rest = known.where(~there).withColumn("copied", F.lit(False)).withColumn("marks", F.lit(None).cast(found.schema["marks"].dataType))
     joined = there_found.select(*wanted).unionByName(rest.select(*wanted))
     names = ["doc_id", "text", "held"]
 
