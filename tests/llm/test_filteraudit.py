@@ -71,6 +71,16 @@ def test_empty_tables(spark, corpus):
     assert sorted(map(tuple, filteraudit.audit(d, none).collect())) == brute(docs[:20], [])
 
 
+def test_labels_are_no_broadcast(spark, corpus, tmp_path):
+    """However small their file is: they are salted, and grow with the documents."""
+    docs, labels = corpus
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, mask int")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels"))
+    plan = filteraudit.mask_counts(d, spark.read.parquet(str(tmp_path / "labels")))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "salt" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_swaps_keep_the_diagram_right():
     rng = random.Random(1)
     counts = {m: (rng.randrange(4), rng.randrange(2), 0) for m in rng.sample(range(32), 20)}

@@ -98,7 +98,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
              .where("good or toxic").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
     # one doc_id may be on a third of all rows, so are null ones: the salt deals them out by text
     salt = F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
-    known = (rows.withColumn("salt", salt).join(flags, ["doc_id", "salt"], "left")
+    # never by broadcast: the planner goes by the labels' bytes on disk, a tenth and less of what their salted rows take in memory
+    known = (rows.withColumn("salt", salt).join(flags.hint("merge"), ["doc_id", "salt"], "left")
              .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}))
     # doc_id, digest, part and mask are unique by now, so the least doc_id of a group brings all of its rows along
     kind = ["digest", "part", "mask", "good", "toxic"]
