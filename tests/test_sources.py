@@ -207,3 +207,46 @@ def test_files_of_a_folder_are_read_together(spark, monkeypatch):
     for t in range(8):
         own = [(r["package_id"], r["path"]) for r in dealt if r["task"] == t and r["path"]]
         assert own == sorted(own)
+
+
+def test_the_corpus_of_events_takes_the_disk_of_a_wave(spark, tmp_path, monkeypatch):
+    """Packages are written in waves; when the next one is written the files of the last are empty, and none is left in the end."""
+    import glob
+
+    from vigil.plans import catalog, fixtures
+    from vigil.session import ensure_checkpoint_dir
+
+    rows = [(i, i % 40, ("view", "error", "click")[i % 3], f'{{"k": {i}}}') for i in range(600)]
+    rows += [(600 + i, None, "view", None) for i in range(3)] + [(603, 7, "click", "it's")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    top = f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/corpus-files-*"
+    before, waves, write = set(glob.glob(top)), [], fixtures.write_files
+
+    def watched(df, root):
+        waves.append([f for g in set(glob.glob(top)) - before for f in glob.glob(f"{g}/*/*") if os.path.getsize(f)])
+        write(df, root)
+
+    def result(name):
+        out = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        return sorted(map(tuple, out), key=repr)
+
+    once = result("rt_capped_files")
+    monkeypatch.setattr(fixtures, "write_files", watched)
+    monkeypatch.setattr(fixtures, "WAVE_BYTES", 200_000)
+    calls = result("rt_calls")
+    assert any(r[0] is not None for r in calls)
+    # a null user_id is a folder named None
+    assert result("rt_scan_files") == sorted(((("None" if r[0] is None else r[0]), *r[1:]) for r in calls), key=repr)
+    assert len(waves) > 2 and not any(waves)
+    assert result("rt_capped_files") == once and not set(glob.glob(top)) - before
+
+
+def test_waves_are_whole_packages(spark, monkeypatch):
+    from vigil.plans import fixtures
+
+    events = spark.createDataFrame([(i, i % 50 or None, "view", None) for i in range(500)], "event_id long, user_id long, event_type string, props string")
+    assert [w.count() for w in fixtures.event_waves(events)] == [500]
+    monkeypatch.setattr(fixtures, "WAVE_BYTES", 100_000)
+    users = [{r["user_id"] for r in w.select("user_id").collect()} for w in fixtures.event_waves(events)]
+    assert len(users) > 2 and sum(map(len, users)) == 50 == len(set().union(*users))
+    assert [w.count() for w in fixtures.event_waves(events.limit(0))] == [0]
