@@ -125,3 +125,83 @@ def test_a_small_archive_is_one_stretch(spark, tmp_path):
     members = pd.concat(S._directories(iter([frame])))
     assert len(members) == 40 and set(members["part"]) == {0}
     assert {(r["path"], bytes(r["content"])) for r in S.scan_archives(spark, str(tmp_path)).collect()} == {(f"m{i}.py", f"x = {i}\n".encode()) for i in range(40)}
+
+
+def token_views(metadata, snippets, edges, hash="md5", **kw):
+    """The view matrix with a row for each token of the graphs and each cell of the vectors."""
+    cells = (V.text_cells(V.metadata_lines(metadata), "metadata", hash=hash).unionByName(V.text_cells(snippets, "code", hash=hash))
+             .unionByName(V.token_cells(V.graph_view_tokens(edges, **kw), hash=hash)))
+    return V.densify(V.normalised(cells))
+
+
+def vectors(df):
+    return {(r["package_id"], r["view"]): tuple(r["vector"]) for r in df.collect()}
+
+
+def a_corpus(spark):
+    rng = random.Random(5)
+    texts = spark.createDataFrame(TEXTS * 40, "package_id string, text string").repartition(3)
+    fields = spark.createDataFrame([("p", "name", "os"), ("q", "name", None), ("s", "summary", "fast cache")], "package_id string, field string, value string")
+    edges = [(f"p{i % 9}", rng.choice(["os.system", "a", "", "näh", f"f{rng.randrange(40)}"]), rng.choice(["eval", "b", f"g{rng.randrange(15)}"]), rng.randrange(1, 9)) for i in range(900)]
+    edges += [("loop", "a", "a", 2), ("p", "x", "y", 1), ("p", "y", "x", 1), (None, "x", "y", 1)] + [("often", "u", "v", 1)] * 200
+    return texts, fields, spark.createDataFrame(edges, "package_id string, src string, dst string, weight long").repartition(4)
+
+
+def test_view_vectors_are_those_of_the_tokens(spark):
+    texts, fields, edges = a_corpus(spark)
+    for hash in ("md5", "blake2b"):
+        assert vectors(V.view_matrix(fields, texts, edges, hash=hash)) == vectors(token_views(fields, texts, edges, hash=hash))
+    nothing = [df.limit(0) for df in (fields, texts, edges)]
+    assert V.view_matrix(*nothing).count() == 0
+
+
+def test_graph_rows_of_large_packages_and_of_unfinished_ranks(spark):
+    _, _, edges = a_corpus(spark)
+    for kw in ({}, {"max_iter": 3}):
+        want = vectors(V.densify(V.normalised(V.token_cells(V.graph_view_tokens(edges, **kw)))))
+        for local in (1 << 20, 90, 3):  # all whole; some by joins, some of many rows but few edges; nearly all by joins
+            assert vectors(V.unit_vectors(V.graph_rows(edges, local_edges=local, **kw))) == want
+    given = V.G.pagerank(edges)
+    assert vectors(V.unit_vectors(V.graph_rows(edges, pagerank=given))) == vectors(V.unit_vectors(V.graph_rows(edges)))
+    odd = spark.createDataFrame([("p", "a", "b", 1), ("p", None, "b", 1), ("p", "a", None, 1)], "package_id string, src string, dst string, weight long")
+    (row,) = V.graph_rows(odd).collect()
+    assert {T.buckets_of([t], 768)[0] for t in ("a", "b", "a->b")} >= set(row["dims"])  # null is no token
+
+
+def test_word_graphs_are_the_pairs_of_words(spark, monkeypatch):
+    from vigil.operators import graph as G
+
+    long = " ".join(f"w{i * i % 31}" for i in range(300))
+    df = spark.createDataFrame([*TEXTS, ("p", long), ("z", long), ("z", "two words"), ("z", "Two")], "package_id string, text string").repartition(2)
+    words = T.embed_tokens("text")
+    pairs = F.explode(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))))
+    edges = df.select("package_id", pairs.alias("e")).select("package_id", "e.src", "e.dst", F.lit(1).alias("weight")).where("dst is not null")
+
+    def counted(e):
+        return Counter({tuple(r)[:3]: r[3] for r in e.groupBy("package_id", "src", "dst").agg(F.sum("weight")).collect()})
+
+    want = counted(edges)
+    assert want["z", "two", "words"] == 1 and ("z", "words", "two") not in want
+    whole = V.word_graphs(df)
+    assert counted(G.edge_rows(whole)) == want
+    matrix = vectors(V.unit_vectors(V.graph_rows(edges)))
+    assert vectors(V.unit_vectors(V.graph_rows(whole))) == matrix == vectors(V.unit_vectors(V.graph_rows(whole, local_edges=20)))
+    for name, n in (("PAIRS", 7), ("TOKENS", 50)):
+        monkeypatch.setattr(V, name, n)
+    some = V.word_graphs(df)
+    assert counted(G.edge_rows(some)) == want and max(sum(r["n"]) for r in some.collect()) <= 7
+    monkeypatch.setattr(G, "LOCAL_EDGES", 15)
+    assert vectors(V.unit_vectors(V.graph_rows(some))) == matrix
+
+
+def test_sums_are_given_back_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(V, "SLOTS", 2)
+    rows = [(f"k{i % 7}", "the words of" + " the" * (i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "package_id string, text string").repartition(2)
+    assert vectors(V.unit_vectors(V.text_rows(df, "code"))) == vectors(V.densify(V.normalised(V.text_cells(df, "code"))))
+
+
+def test_views_shuffle_neither_tokens_nor_cells(spark):
+    """One shuffle of the edges and one of a row for each package, task and view."""
+    texts, fields, edges = a_corpus(spark)
+    assert plan(V.view_matrix(fields, texts, edges)).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2

@@ -10,6 +10,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,66 +87,138 @@ def pagerank(edges: DataFrame, key: str = KEY, alpha: float = vocab.PAGERANK_ALP
     if tol is None and max_iter is None:
         raise ValueError("without tol, max_iter is needed")
     spark = edges.sparkSession
-    weights = saved(edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("w")), "edges")
-    large = saved(weights.groupBy(key).agg(F.count(F.lit(1)).alias("_e")).where(F.col("_e") > local_edges).select(key), "large")
-    total = weights.count()
-    if large.isEmpty():
+    weights, total, large = sized_weights(edges, key, local_edges)
+    if large is None:
         return _by_blocks(weights, total, key, alpha, max_iter, tol)
-    few = broadcast_if_small(large)
-    small = _by_blocks(weights.join(few, key, "left_anti"), total, key, alpha, max_iter, tol)
-    return small.unionByName(_by_joins(spark, weights.join(few, key, "left_semi"), key, alpha, max_iter, tol))
+    small = _by_blocks(weights.join(large, key, "left_anti"), total, key, alpha, max_iter, tol)
+    return small.unionByName(_by_joins(spark, weights.join(large, key, "left_semi"), key, alpha, max_iter, tol))
 
 
-def _by_blocks(weights: DataFrame, total: int, key: str, alpha: float, max_iter: int | None, tol: float | None) -> DataFrame:
-    """Ranks of whole packages, in blocks of about ``LOCAL_EDGES`` edges."""
-    parts = max(weights.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * LOCAL_EDGES)))
-    id_type = weights.schema[key].dataType.simpleString()
+def sized_weights(edges: DataFrame, key: str = KEY, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, int, DataFrame | None]:
+    """The stored edges ``(package_id, src, dst, w)``, each once, their number, and the packages of more than ``local_edges`` if there are any."""
+    weights = saved(edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("w")), "edges")
+    return weights, weights.count(), packages_over(weights, local_edges, key)
+
+
+def packages_over(edges: DataFrame, n: int, key: str = KEY) -> DataFrame | None:
+    """The packages of more than ``n`` edges, counted by rows or in graphs of texts, for a join, or none."""
+    size = F.sum(F.size("src")) if "words" in edges.columns else F.count(F.lit(1))
+    large = saved(edges.groupBy(key).agg(size.alias("_e")).where(F.col("_e") > n).select(key), "large")
+    return None if large.isEmpty() else broadcast_if_small(large)
+
+
+def in_blocks(rows: DataFrame, total: int, key: str, make, schema: str) -> DataFrame:
+    """``make(block)`` of blocks of whole packages, about ``LOCAL_EDGES`` of their ``total`` edges each: Arrow tables sorted by
+    package, to Arrow batches. ``rows`` are edges or, with a column ``words``, graphs of texts (:func:`edge_rows`)."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * LOCAL_EDGES)))
+
+    def edges_in(part):
+        return part.num_rows if "words" not in part.schema.names else int(pc.sum(pc.list_value_length(part.column("src"))).as_py() or 0)
 
     def run(batches):
         held, size = [], 0
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
             if held and size >= LOCAL_EDGES:  # all but the last package of what is held are whole
-                block = pd.concat(held, ignore_index=True)
-                last = block[key].iloc[-1]
-                begin = int(np.flatnonzero((block[key] != last).to_numpy())[-1]) + 1 if (block[key] != last).any() else 0
+                block = pa.Table.from_batches(held)
+                begin = block.num_rows - int(pc.sum(pc.equal(block.column(key), block.column(key)[-1])).as_py())
                 if begin:
-                    yield _ranked(block.iloc[:begin], key, alpha, max_iter, tol)
-                held = [block.iloc[begin:]]
-                size = len(held[0])
-            held.append(pdf)
-            size += len(pdf)
+                    yield from make(block.slice(0, begin))
+                    block = block.slice(begin)
+                held, size = block.to_batches(), edges_in(block)
+            held.append(batch)
+            size += edges_in(batch)
         if held:
-            yield _ranked(pd.concat(held, ignore_index=True), key, alpha, max_iter, tol)
-
-    return (weights.where(F.col(key).isNotNull()).repartition(parts, key).sortWithinPartitions(key)
-            .mapInPandas(run, f"{key} {id_type}, {_RANKED}"))
-
-
-def _ranked(block: pd.DataFrame, key: str, alpha: float, max_iter: int | None, tol: float | None) -> pd.DataFrame:
-    """The ranks of all nodes of the packages in ``block``, which is all of their edges."""
-    package, packages = pd.factorize(block[key])
-    name, names = pd.factorize(np.concatenate([block["src"].to_numpy(object), block["dst"].to_numpy(object)]))
-    nodes, at = np.unique(np.concatenate([package, package]).astype(np.int64) * len(names) + name, return_inverse=True)
-    src, dst = at[:len(block)], at[len(block):]
-    of = nodes // len(names)
-    w = block["w"].to_numpy(float)
-    out_w = np.bincount(src, w, len(nodes))
-    p, dangling = w / out_w[src], out_w == 0
-    n = np.bincount(of, minlength=len(packages)).astype(float)
-    rank = 1.0 / n[of]
-    done, iterations, i = np.zeros(len(packages), bool), np.zeros(len(packages), np.int32), 0
-    while not done.all() and i != max_iter:
-        i += 1
-        loose = np.bincount(of, np.where(dangling, rank, 0.0), len(packages))
-        new = alpha * (np.bincount(dst, rank[src] * p, len(nodes)) + (loose / n)[of]) + ((1.0 - alpha) / n)[of]
-        new = np.where(done[of], rank, new)
-        change = np.bincount(of, np.abs(new - rank), len(packages))
-        iterations[~done] = i
-        done = done | (change < n * tol) if tol is not None else np.full(len(packages), i == max_iter)
-        rank = new
-    return pd.DataFrame({key: np.asarray(packages)[of], "node": names[nodes % len(names)], "pagerank": rank, "iterations": iterations[of], "converged": done[of]})
+            yield from make(pa.Table.from_batches(held))
+
+    dealt = rows.where(F.col(key).isNotNull()).repartition(parts, key).sortWithinPartitions(key)
+    return dealt.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+
+
+def edge_rows(graphs: DataFrame, key: str = KEY) -> DataFrame:
+    """Graphs of texts, ``(package_id, words, src, dst, n)`` where ``src`` and ``dst`` are places in ``words`` and ``n`` counts
+    each such pair, as edges ``(package_id, src, dst, weight)``."""
+    pairs = graphs.select(key, "words", F.explode(F.arrays_zip("src", "dst", "n")).alias("_e"))
+    return pairs.select(key, F.col("words")[F.col("_e.src")].alias("src"), F.col("words")[F.col("_e.dst")].alias("dst"), F.col("_e.n").alias("weight"))
+
+
+def _by_blocks(weights: DataFrame, total: int, key: str, alpha: float, max_iter: int | None, tol: float | None) -> DataFrame:
+    """Ranks of whole packages, in blocks of about ``LOCAL_EDGES`` edges."""
+    def make(block):
+        graph = Block(block, key)
+        rank, iterations, done = graph.ranks(alpha, max_iter, tol)
+        columns = [graph.packages.take(pa.array(graph.of)), graph.names.take(pa.array(graph.name)), pa.array(rank), pa.array(iterations[graph.of]), pa.array(done[graph.of])]
+        yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.string()), *columns[2:]], names=[key, *(c.split()[0] for c in _RANKED.split(", "))])
+
+    return in_blocks(weights, total, key, make, _RANKED)
+
+
+def _coded(chunks: list[pa.Array]) -> pa.DictionaryArray:
+    """Strings as places in their dictionary; null is one of these."""
+    return pa.chunked_array([x.cast(pa.large_string()) for x in chunks], pa.large_string()).combine_chunks().dictionary_encode(null_encoding="encode")
+
+
+class Block:
+    """All edges of some packages (:func:`in_blocks`) as numbers: ``src`` and ``dst`` (places of nodes), ``w`` and ``package`` by edge, ``of``
+    (package) and ``name`` (place in ``names``) by node. Rows of the same edge add up."""
+
+    def __init__(self, block: pa.Table, key: str):
+        coded = block.column(key).combine_chunks().dictionary_encode()
+        package, self.packages = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if "words" in block.schema.names:
+            words, src, dst, w = ([c for c in block.column(name).chunks] for name in ("words", "src", "dst", "n"))
+            coded = _coded([x.flatten() for x in words])
+            sizes, edges = (np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]) for lists in (words, src))
+            begin = np.repeat(np.cumsum(sizes) - sizes, edges)
+            name = coded.indices.to_numpy()
+            ends = [name[begin + np.concatenate([x.flatten().to_numpy() for x in lists])] for lists in (src, dst)]
+            package, w = np.repeat(package, edges), np.concatenate([x.flatten().to_numpy() for x in w])
+        else:
+            coded = _coded([x for c in ("src", "dst") for x in block.column(c).chunks])
+            ends, w = np.split(coded.indices.to_numpy(), 2), block.column("w").to_numpy()
+        self.names = coded.dictionary
+        at, nodes = pd.factorize(np.concatenate([package, package]) * len(self.names) + np.concatenate(ends))
+        self.of, self.name = nodes // len(self.names), nodes % len(self.names)
+        row, edges = pd.factorize(at[:len(package)] * len(nodes) + at[len(package):])
+        self.src, self.dst = edges // len(nodes), edges % len(nodes)
+        self.w = np.bincount(row, w.astype(float), len(edges))
+        self.package = self.of[self.src]
+
+    def ranks(self, alpha: float, max_iter: int | None, tol: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank of each node, and of each package the iterations and whether it has converged.
+
+        Packages that have are left out of the iterations once they are half of the edges.
+        """
+        src, dst, of, packages = self.src, self.dst, self.of, len(self.packages)
+        out_w = np.bincount(src, self.w, len(of))
+        p, dangling = self.w / out_w[src], out_w == 0
+        n = np.bincount(of, minlength=packages).astype(float)
+        rank = 1.0 / n[of]
+        ranks, ids = rank.copy(), np.arange(len(of))
+        done, iterations, i = np.zeros(packages, bool), np.zeros(packages, np.int32), 0
+        while not done.all() and i != max_iter:
+            i += 1
+            loose = np.bincount(of, np.where(dangling, rank, 0.0), packages)
+            new = alpha * (np.bincount(dst, rank[src] * p, len(of)) + (loose / n)[of]) + ((1.0 - alpha) / n)[of]
+            change = np.bincount(of, np.abs(new - rank), packages)
+            iterations[~done] = i
+            ended = ~done & ((change < n * tol) if tol is not None else np.full(packages, i == max_iter))
+            if i == max_iter:
+                ended, done = ~done, done | ended  # what has not converged has the ranks of the last iteration
+            else:
+                done = done | ended
+            if ended.any():
+                there = ended[of]
+                ranks[ids[there]] = new[there]
+            rank = new
+            live = ~done[of]
+            own = live[src]
+            if 2 * np.count_nonzero(own) < len(src):
+                place = np.cumsum(live) - 1
+                src, dst, p = place[src[own]], place[dst[own]], p[own]
+                of, dangling, rank, ids = of[live], dangling[live], rank[live], ids[live]
+        return ranks, iterations, done
 
 
 def _bucketed(df: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, str]:
