@@ -190,7 +190,8 @@ def test_word_graphs_are_the_pairs_of_words(spark, monkeypatch):
         monkeypatch.setattr(V, name, n)
     some = V.word_graphs(df)
     assert counted(G.edge_rows(some)) == want and max(sum(r["n"]) for r in some.collect()) <= 7
-    monkeypatch.setattr(G, "LOCAL_EDGES", 15)
+    for name, n in (("BLOCK_EDGES", 15), ("BLOCK_TEXTS", 2)):
+        monkeypatch.setattr(G, name, n)
     assert vectors(V.unit_vectors(V.graph_rows(some))) == matrix
 
 

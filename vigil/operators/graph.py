@@ -61,8 +61,10 @@ def graph_stats(edges: DataFrame, key: str = KEY, degrees: DataFrame | None = No
         (F.col("_deg") / n).alias("avg_degree"))
 
 
-#: Packages of at most so many edges are ranked whole, many at a time, in one task; about as many edges make a block.
+#: Packages of at most so many edges are ranked whole, many at a time, in one task.
 LOCAL_EDGES = 1 << 20
+#: Edges that make a block, if no package has more, and graphs of texts that are looked at together.
+BLOCK_EDGES, BLOCK_TEXTS = 1 << 18, 64
 _RANKED = "node string, pagerank double, iterations int, converged boolean"
 
 
@@ -108,19 +110,22 @@ def packages_over(edges: DataFrame, n: int, key: str = KEY) -> DataFrame | None:
 
 
 def in_blocks(rows: DataFrame, total: int, key: str, make, schema: str) -> DataFrame:
-    """``make(block)`` of blocks of whole packages, about ``LOCAL_EDGES`` of their ``total`` edges each: Arrow tables sorted by
+    """``make(block)`` of blocks of whole packages, about ``BLOCK_EDGES`` of their ``total`` edges each: Arrow tables sorted by
     package, to Arrow batches. ``rows`` are edges or, with a column ``words``, graphs of texts (:func:`edge_rows`)."""
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * LOCAL_EDGES)))
 
     def edges_in(part):
         return part.num_rows if "words" not in part.schema.names else int(pc.sum(pc.list_value_length(part.column("src"))).as_py() or 0)
 
+    def pieces(batches):
+        for batch in batches:
+            step = BLOCK_TEXTS if "words" in batch.schema.names else BLOCK_EDGES
+            yield from (batch.slice(begin, step) for begin in range(0, batch.num_rows, step))
+
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held and size >= LOCAL_EDGES:  # all but the last package of what is held are whole
+        for batch in pieces(batches):
+            if held and size >= BLOCK_EDGES:  # all but the last package of what is held are whole
                 block = pa.Table.from_batches(held)
                 begin = block.num_rows - int(pc.sum(pc.equal(block.column(key), block.column(key)[-1])).as_py())
                 if begin:
@@ -144,7 +149,7 @@ def edge_rows(graphs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _by_blocks(weights: DataFrame, total: int, key: str, alpha: float, max_iter: int | None, tol: float | None) -> DataFrame:
-    """Ranks of whole packages, in blocks of about ``LOCAL_EDGES`` edges."""
+    """Ranks of whole packages, in blocks of about ``BLOCK_EDGES`` edges."""
     def make(block):
         graph = Block(block, key)
         rank, iterations, done = graph.ranks(alpha, max_iter, tol)

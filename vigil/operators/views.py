@@ -263,7 +263,7 @@ def graph_rows(edges: DataFrame, key: str = KEY, dim: int = vocab.EMBED_DIM, has
             yield sparse_rows(graph.packages.take(pa.array(begin + own)), "graph", sums.reshape(n, dim)[own], [key, "view", "dims", "values"])
 
     packed = "words" in edges.columns
-    rows = saved(edges if packed else edges.select(key, "src", "dst", F.col("weight").cast("double").alias("w")), "edges")
+    rows = saved(edges if packed else edges.select(key, "src", "dst", F.col("weight").cast("double").alias("w")), "edges", batch_rows=BATCH_ROWS if packed else None)
     total = (rows.agg(F.sum(F.size("src")).alias("n")).first()["n"] or 0) if packed else rows.count()
     many = G.packages_over(rows, local_edges, key)
     if many is None:
@@ -322,6 +322,10 @@ def unit_vectors(rows: DataFrame, dim: int = vocab.EMBED_DIM, key: str = KEY) ->
     return dealt.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, view string, vector array<double>")
 
 
+#: Rows that Python is given at a time where these are texts, word graphs or sums by dimension: some 10 KB each.
+BATCH_ROWS = 512
+
+
 def view_matrix(metadata: DataFrame, snippets: DataFrame, edges: DataFrame, key: str = KEY,
                 hash: str = "md5", dim: int = vocab.EMBED_DIM, pagerank: DataFrame | None = None) -> DataFrame:
     """``(package_id, view, vector)`` for the metadata, code and graph views
